@@ -29,11 +29,11 @@ def accuracy(df: DataFrame, label: str, prediction: str) -> DataFrame:
 def forecast(
     df: DataFrame, keys: list[str], qty: str = "qty_expected", price: str = "price"
 ) -> DataFrame:
-    """Expected quantity and revenue per key. Sums are of decimals, so they do not depend on order."""
+    """Expected quantity and revenue per key; decimal sums do not depend on their order."""
     amount = F.col(qty).cast("decimal(18,6)")
     money = amount * F.col(price).cast("decimal(18,2)")
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(amount).cast("double").alias("expected_qty"),
-        F.sum(money).cast("double").alias("expected_revenue"),
+        F.sum(money).cast("decimal(38,2)").cast("double").alias("expected_revenue"),
     )

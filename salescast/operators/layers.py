@@ -26,13 +26,8 @@ def fit_buy_layer(
 ) -> GBTClassificationModel:
     """Boosted trees for the 0/1 label; rows without a label are left out."""
     rows = _training_rows(df, features, label)
-    trees = GBTClassifier(
-        labelCol="_label",
-        predictionCol="buy_prediction",
-        probabilityCol="buy_probability",
-        rawPredictionCol="buy_raw",
-        seed=SEED,
-    )
+    trees = GBTClassifier(labelCol="_label", predictionCol="buy_prediction", seed=SEED)
+    trees.setProbabilityCol("buy_probability").setRawPredictionCol("buy_raw")
     return trees.setParams(**params).fit(rows)
 
 

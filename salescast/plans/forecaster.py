@@ -47,7 +47,8 @@ class Roles:
 
     ``gaps`` maps a column of the items to the attributes it is filled from, and
     ``widths`` gives the interval of a numeric one. ``nominal`` lists the columns, or
-    crossed columns, to encode; ``numeric`` those used as they are.
+    crossed columns, to encode; ``numeric`` those used as they are. ``offer`` is the
+    price a contact saw, where contacts have one of their own.
     """
 
     row_id: str
@@ -63,6 +64,7 @@ class Roles:
     widths: dict[str, float] = field(default_factory=dict)
     nominal: list[list[str]] = field(default_factory=list)
     numeric: list[str] = field(default_factory=list)
+    offer: str | None = None
     m: float = 20.0
     n_folds: int = 5
 
@@ -71,11 +73,15 @@ def _encoded(keys: list[str]) -> str:
     return "likelihood_" + "_".join(keys)
 
 
-def _measures(roles: Roles) -> dict[str, Column]:
-    return {
+def _measures(roles: Roles, side: str) -> dict[str, Column]:
+    measures = {
         "buys": F.coalesce(F.col(roles.buy).cast("long"), F.lit(0)),
         "qty": F.coalesce(F.col(roles.amount).cast("decimal(18,4)"), F.lit(0)),
     }
+    if side == "item" and roles.offer:
+        offer = F.col(roles.offer).cast("decimal(18,2)")
+        measures |= {"offer": offer, "offers": offer.isNotNull().cast("long")}
+    return measures
 
 
 def feature_names(roles: Roles) -> list[str]:
@@ -88,6 +94,7 @@ def feature_names(roles: Roles) -> list[str]:
         *[f"{side}_{name}" for side in ("user", "item") for name in past],
         *[_encoded(keys) for keys in roles.nominal],
         *roles.numeric,
+        *([roles.offer, "offer_vs_list", "offer_vs_past"] if roles.offer else []),
     ]
 
 
@@ -176,6 +183,15 @@ def _finished(wide: DataFrame, roles: Roles, keep: list[str]) -> DataFrame:
     """Calendar added, the given columns kept, features as doubles without NULL."""
     names = feature_names(roles)
     plain = [c for c in keep if c not in names]
+    if roles.offer:
+        offer = F.col(roles.offer).cast("double")
+        past = F.try_divide(F.col("item_offer_before").cast("double"), "item_offers_before")
+        wide = wide.withColumns(
+            {
+                "offer_vs_list": F.try_divide(offer, roles.price),
+                "offer_vs_past": F.try_divide(offer, past),
+            }
+        )
     return calendar(wide, roles.ts, roles.origin).select(
         *plain,
         *[F.coalesce(F.col(c).cast("double"), F.lit(NO_VALUE)).alias(c) for c in names],
@@ -218,9 +234,9 @@ def training_features(
         encodings={},
         prior=labels["mean"] or 0.0,
     )
-    measures = _measures(roles)
     wide = attach_items(contacts, ready, roles.item, row_id)
     for side, key in (("user", roles.user), ("item", roles.item)):
+        measures = _measures(roles, side)
         table = history_table(contacts, key, roles.ts, measures, side)
         wide = history_join(wide, table, key, roles.ts, row_id)
         fitted.totals[side] = history_totals(contacts, key, roles.ts, measures, side)
