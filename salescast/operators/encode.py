@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from salescast.functions.columns import fold_of, smoothed
 from salescast.operators.joins import lookup_join
@@ -59,10 +62,8 @@ def likelihood_apply(
     return joined.withColumn(out, F.coalesce(F.col(out), prior))
 
 
-def fold_counts(
-    df: DataFrame, keys: list[str], label: str, fold: str, n_folds: int = 5
-) -> DataFrame:
-    """Per key: ``n_rows``, and labelled rows ``n0..`` and label sums ``s0..`` by fold.
+def fold_columns(label: str, fold: str, n_folds: int = 5) -> list[Column]:
+    """Aggregates ``n_rows``, and labelled rows ``n0..`` and label sums ``s0..`` by fold.
 
     ``fold`` is a column of whole numbers, taken modulo ``n_folds``. One aggregate
     serves all folds.
@@ -76,44 +77,68 @@ def fold_counts(
             F.count(own).alias(f"n{f}"),
             F.coalesce(F.sum(own), F.lit(0.0)).alias(f"s{f}"),
         ]
-    return df.groupBy(*keys).agg(*columns)
+    return columns
 
 
-def roll_up(counts: DataFrame, keys: list[str]) -> DataFrame:
+def fold_counts(
+    df: DataFrame, keys: list[str], label: str, fold: str, n_folds: int = 5
+) -> DataFrame:
+    """``fold_columns`` per key."""
+    return df.groupBy(*keys).agg(*fold_columns(label, fold, n_folds))
+
+
+def roll_up(counts: DataFrame, keys: list[str], n_folds: int = 5) -> DataFrame:
     """Counts by coarser ``keys``, added up from finer counts instead of from the rows."""
-    sums = [c for c in counts.columns if c == "n_rows" or c[1:].isdigit() and c[0] in "ns"]
+    sums = ["n_rows", *[f"{letter}{f}" for f in range(n_folds) for letter in "ns"]]
     return counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def _total(letter: str, folds: list[int]) -> Column:
+def total(letter: str, folds: Iterable[int]) -> Column:
+    """Labelled rows (``n``) or label sum (``s``) over some folds."""
     return sum((F.col(f"{letter}{f}") for f in folds), F.lit(0))
 
 
-def likelihood_from_counts(
-    counts: DataFrame, keys: list[str], m: float, n_folds: int, out: str = "likelihood"
-) -> DataFrame:
-    """The encoding over all folds, as ``likelihood_stats`` gives it."""
+def _samples(n_folds: int) -> list[list[int]]:
+    """All folds, then for each fold the other ones."""
     every = list(range(n_folds))
-    whole = counts.select(
-        *keys, "n_rows", _total("n", every).alias("n"), _total("s", every).alias("s")
-    )
-    return whole.withColumn(out, smoothed(F.col("s"), F.col("n"), likelihood_prior(whole), m))
+    return [every] + [[o for o in every if o != f] for f in every]
+
 
+def encoding_priors(counts: DataFrame, n_folds: int) -> Column:
+    """Array of label means: over all folds, then without each fold in turn."""
+    means = [
+        F.try_divide(F.sum(total("s", o)), F.sum(total("n", o))) for o in _samples(n_folds)
+    ]
+    return counts.agg(F.array(*means)).scalar()
 
-def oof_from_counts(counts: DataFrame, keys: list[str], m: float, n_folds: int) -> DataFrame:
-    """Per key an array of encodings, one per fold, each learned from the other folds.
 
-    Sums and prior of a fold add up the other folds (and do not subtract its own), so
-    the label of a row has no part in its own value.
+def encoding_columns(
+    priors: Column, m: float, n_folds: int, over: WindowSpec | None = None
+) -> tuple[Column, Column]:
+    """The encoding over all rows, and the array of those for training, one per fold.
+
+    A value of the array is learned from the other folds. Sums and prior of a fold add
+    up the other folds (and do not subtract its own), so the label of a row has no part
+    in its own value. With ``over`` the counts of a key are added up over that window.
     """
-    others = [[o for o in range(n_folds) if o != f] for f in range(n_folds)]
-    priors = counts.agg(
-        F.array(*[F.try_divide(F.sum(_total("s", o)), F.sum(_total("n", o))) for o in others])
-    ).scalar()
-    values = [
-        smoothed(_total("s", o), _total("n", o), priors[f], m) for f, o in enumerate(others)
+
+    def summed(letter: str, folds: list[int]) -> Column:
+        parts = total(letter, folds)
+        return parts if over is None else F.sum(parts).over(over)
+
+    whole, *by_fold = [
+        smoothed(summed("s", o), summed("n", o), priors[i], m)
+        for i, o in enumerate(_samples(n_folds))
     ]
-    return counts.select(*keys, "n_rows", F.array(*values).alias("_by_fold"))
+    return whole, F.array(*by_fold)
+
+
+def encodings_from_counts(
+    counts: DataFrame, keys: list[str], m: float, n_folds: int, out: str = "likelihood"
+) -> DataFrame:
+    """``encoding_columns`` per key, named ``out`` and ``by_fold``."""
+    whole, by_fold = encoding_columns(encoding_priors(counts, n_folds), m, n_folds)
+    return counts.select(*keys, "n_rows", whole.alias(out), by_fold.alias("by_fold"))
 
 
 def oof_join(
@@ -125,9 +150,9 @@ def oof_join(
     out: str = "likelihood",
     row_id: list[str] | None = None,
 ) -> DataFrame:
-    """Give each row its fold's value from the staged result of ``oof_from_counts``."""
+    """Give each row its fold's value from staged ``keys, n_rows, by_fold``."""
     joined = lookup_join(df, table, keys, weight="n_rows", row_id=row_id)
-    return joined.withColumn(out, F.col("_by_fold")[fold_of(fold, n_folds)]).drop("_by_fold")
+    return joined.withColumn(out, F.col("by_fold")[fold_of(fold, n_folds)]).drop("by_fold")
 
 
 def likelihood_oof(
@@ -142,5 +167,5 @@ def likelihood_oof(
 ) -> DataFrame:
     """Add to each row the encoding learned from the other folds only."""
     counts = fold_counts(df, keys, label, fold, n_folds)
-    table = stage(oof_from_counts(counts, keys, m, n_folds))
+    table = stage(encodings_from_counts(counts, keys, m, n_folds).drop("likelihood"))
     return oof_join(df, table, keys, fold, n_folds, out, row_id)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -43,22 +45,36 @@ def calendar(df: DataFrame, ts: str, origin: str) -> DataFrame:
     )
 
 
-def _daily(df: DataFrame, key: str, ts: str, measures: dict[str, Column]) -> DataFrame:
+def daily_sums(
+    df: DataFrame,
+    key: str,
+    ts: str,
+    measures: dict[str, Column],
+    extra: list[Column] | None = None,
+) -> DataFrame:
+    """Per key and day (``_day``): ``contacts``, the sum of each measure, ``extra`` aggregates.
+
+    The one pass over the contacts that history needs. It has one row per day however
+    busy a key is, and partial sums are made before the shuffle.
+    """
     return df.groupBy(key, day_of(ts).alias("_day")).agg(
         F.count(F.lit(1)).alias("contacts"),
         *[F.coalesce(F.sum(expr), F.lit(0)).alias(name) for name, expr in measures.items()],
+        *(extra or []),
     )
 
 
 def history_table(
-    df: DataFrame, key: str, ts: str, measures: dict[str, Column], prefix: str
+    daily: DataFrame,
+    key: str,
+    measures: Iterable[str],
+    prefix: str,
+    extra: Iterable[Column] = (),
 ) -> DataFrame:
-    """Per key and day the sums over the key's earlier days; the columns of ``history``.
+    """From ``daily_sums``: per key and day the sums over the key's earlier days.
 
-    Rows are first summed per key and day, so a window holds one row per day however
-    busy the key is.
+    ``extra`` columns may use windows over ``key``, which cost no further shuffle.
     """
-    daily = _daily(df, key, ts, measures)
     by_day = W.partitionBy(key).orderBy("_day")
     earlier = by_day.rowsBetween(W.unboundedPreceding, -1)
     sums = [
@@ -66,21 +82,20 @@ def history_table(
         for m in ("contacts", *measures)
     ]
     last = F.lag("_day").over(by_day)
-    return stage(
-        daily.select(
-            key,
-            "_day",
-            F.col("contacts").alias("_rows"),
-            *sums,
-            F.date_diff("_day", last).alias(f"{prefix}_days_since"),
-        )
+    return daily.select(
+        key,
+        "_day",
+        F.col("contacts").alias("_rows"),
+        *sums,
+        F.date_diff("_day", last).alias(f"{prefix}_days_since"),
+        *extra,
     )
 
 
 def history_join(
     df: DataFrame, table: DataFrame, key: str, ts: str, row_id: list[str] | None = None
 ) -> DataFrame:
-    """Add the columns of ``history_table`` to the rows it was made of."""
+    """Add the columns of a staged ``history_table`` to the rows it was made of."""
     rows = df.withColumn("_day", day_of(ts))
     return lookup_join(rows, table, [key, "_day"], "_rows", row_id=row_id).drop("_day")
 
@@ -99,19 +114,25 @@ def history(
     earlier day) and ``<prefix>_days_since`` (NULL without one). Measures should be
     whole numbers or decimals, whose sums do not depend on order.
     """
-    return history_join(df, history_table(df, key, ts, measures, prefix), key, ts, row_id)
+    table = stage(history_table(daily_sums(df, key, ts, measures), key, measures, prefix))
+    return history_join(df, table, key, ts, row_id)
 
 
 def history_totals(
-    df: DataFrame, key: str, ts: str, measures: dict[str, Column], prefix: str
+    daily: DataFrame,
+    key: str,
+    measures: Iterable[str],
+    prefix: str,
+    extra: Iterable[Column] = (),
 ) -> DataFrame:
-    """Per key the sums over all days of ``df`` and the last day, for rows after it."""
-    daily = _daily(df, key, ts, measures)
-    return stage(
-        daily.groupBy(key).agg(
-            *[F.sum(m).alias(f"{prefix}_{m}_before") for m in ("contacts", *measures)],
-            F.max("_day").alias("_last"),
-        )
+    """From ``daily_sums``: per key the sums over all days and the last day, for later rows.
+
+    ``extra`` are further aggregates.
+    """
+    return daily.groupBy(key).agg(
+        *[F.sum(m).alias(f"{prefix}_{m}_before") for m in ("contacts", *measures)],
+        F.max("_day").alias("_last"),
+        *extra,
     )
 
 
@@ -123,9 +144,9 @@ def history_apply(
     prefix: str,
     row_id: list[str] | None = None,
 ) -> DataFrame:
-    """Add ``history_totals`` to later rows, in the columns that ``history`` gives."""
+    """Add staged ``history_totals`` to later rows, in the columns that ``history`` gives."""
     joined = lookup_join(df, totals, [key], row_id=row_id)
-    sums = [c for c in totals.columns if c not in (key, "_last")]
+    sums = [c for c in totals.columns if c.startswith(f"{prefix}_")]
     return joined.withColumns(
         {c: F.coalesce(F.col(c), F.lit(0)).cast(totals.schema[c].dataType) for c in sums}
         | {f"{prefix}_days_since": F.date_diff(day_of(ts), F.col("_last"))}

@@ -16,23 +16,16 @@ CELL_BYTES = 16
 def fits_broadcast(table: DataFrame) -> bool:
     """Measure ``table``: few enough rows, and few enough bytes with its texts counted.
 
-    Meant for staged or source tables, where counting reads file footers only. The
-    texts are measured only once the rows are known to be few.
+    Meant for staged or source tables, where this reads the text columns only.
     """
-    rows = table.count()
-    if rows > MAX_BROADCAST_ROWS:
-        return False
-    size = rows * CELL_BYTES * len(table.columns)
-    lengths = []
+    lengths = F.lit(CELL_BYTES * len(table.columns))
     for field in table.schema.fields:
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            lengths.append(F.octet_length(field.name))
+            lengths = lengths + F.coalesce(F.octet_length(field.name), F.lit(0))
         elif isinstance(field.dataType, T.ArrayType):
-            lengths.append(F.size(field.name) * CELL_BYTES)
-    if lengths and rows:
-        per_row = sum((F.coalesce(n, F.lit(0)) for n in lengths), F.lit(0))
-        size += table.agg(F.sum(per_row).alias("b")).first()["b"]
-    return size <= MAX_BROADCAST_BYTES
+            lengths = lengths + F.coalesce(F.size(field.name), F.lit(0)) * CELL_BYTES
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.sum(lengths.cast("long")).alias("b")).first()
+    return size["n"] <= MAX_BROADCAST_ROWS and (size["b"] or 0) <= MAX_BROADCAST_BYTES
 
 
 def slices_of(df: DataFrame) -> int:

@@ -47,6 +47,23 @@ def _training_rows(df: DataFrame, features: list[str], label: str) -> DataFrame:
     return assemble(labelled, features).select("features", "_label")
 
 
+def score_buy_layer(
+    df: DataFrame, model: GBTClassificationModel, features: list[str], threshold: float = 0.5
+) -> DataFrame:
+    """Add ``p_buy`` and ``buy_predicted``."""
+    p = vector_to_array("buy_probability")[1]
+    scored = model.transform(assemble(df, features)).select(*df.columns, p.alias("p_buy"))
+    return scored.withColumn("buy_predicted", (F.col("p_buy") >= threshold).cast("int"))
+
+
+def score_amount_layer(
+    df: DataFrame, model: GBTRegressionModel, features: list[str]
+) -> DataFrame:
+    """Add ``amount``, the quantity expected of a customer who does buy."""
+    scored = model.transform(assemble(df, features))
+    return scored.select(*df.columns, F.col("amount_prediction").alias("amount"))
+
+
 def score_two_layer(
     df: DataFrame,
     buy_layer: GBTClassificationModel,
@@ -58,17 +75,9 @@ def score_two_layer(
 
     Row by row, without a shuffle.
     """
-    wide = amount_layer.transform(buy_layer.transform(assemble(df, features)))
-    scored = wide.select(
-        *df.columns,
-        vector_to_array("buy_probability")[1].alias("p_buy"),
-        F.col("amount_prediction").alias("amount"),
-    )
-    return scored.select(
-        "*",
-        (F.col("p_buy") >= threshold).cast("int").alias("buy_predicted"),
-        *combine_layers("p_buy", "amount", threshold),
-    )
+    bought = score_buy_layer(df, buy_layer, features, threshold)
+    both = score_amount_layer(bought, amount_layer, features)
+    return both.select("*", *combine_layers("p_buy", "amount", threshold))
 
 
 def feature_importance(

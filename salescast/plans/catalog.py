@@ -18,6 +18,7 @@ from salescast.operators.evaluate import accuracy, forecast
 from salescast.operators.features import (
     attach_items,
     calendar,
+    daily_sums,
     history,
     history_apply,
     history_totals,
@@ -26,7 +27,13 @@ from salescast.operators.features import (
     split_by_time,
 )
 from salescast.operators.fill import nb_apply, nb_fit, null_profile
-from salescast.plans.forecaster import fit_forecaster
+from salescast.operators.layers import (
+    fit_amount_layer,
+    fit_buy_layer,
+    score_amount_layer,
+    score_buy_layer,
+)
+from salescast.plans.forecaster import feature_names, fit_forecaster, prepare_training
 from salescast.plans.testbed import (
     CUTOFF,
     ORIGIN,
@@ -39,6 +46,7 @@ from salescast.plans.testbed import (
     score_rows,
     table,
 )
+from salescast.sources.staging import stage
 
 ITEM_COLUMNS = ["p_partkey", "p_brand", "p_type", "p_size", "p_retailprice"]
 ROW = ["event_id"]
@@ -145,7 +153,8 @@ def item_history(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def score_row_history(spark: SparkSession, folder: str) -> DataFrame:
-    totals = history_totals(contacts(spark, folder), "user_id", "ts", _measures(), "user")
+    daily = daily_sums(contacts(spark, folder), "user_id", "ts", _measures())
+    totals = stage(history_totals(daily, "user_id", _measures(), "user"))
     rows = score_rows(spark, folder).select("event_id", "ts", "user_id")
     wide = history_apply(rows, totals, "user_id", "ts", "user", ROW)
     return wide.select("event_id", "user_id", *_history_columns("user"))
@@ -203,13 +212,18 @@ def _fitted(spark: SparkSession, folder: str):
 
 
 def buy_layer(spark: SparkSession, folder: str) -> DataFrame:
-    scored = _fitted(spark, folder).score(score_rows(spark, folder))
+    fitted, train = prepare_training(contacts(spark, folder), items(spark, folder), ROLES)
+    model = fit_buy_layer(train, feature_names(ROLES), "buy")
+    rows = fitted.features(score_rows(spark, folder))
+    scored = score_buy_layer(rows, model, feature_names(ROLES))
     return scored.select("event_id", "p_buy", "buy_predicted")
 
 
 def amount_layer(spark: SparkSession, folder: str) -> DataFrame:
-    scored = _fitted(spark, folder).score(score_rows(spark, folder))
-    return scored.select("event_id", "amount")
+    fitted, train = prepare_training(contacts(spark, folder), items(spark, folder), ROLES)
+    model = fit_amount_layer(train.filter("buy = 1"), feature_names(ROLES), "amount")
+    rows = fitted.features(score_rows(spark, folder))
+    return score_amount_layer(rows, model, feature_names(ROLES)).select("event_id", "amount")
 
 
 def two_layer_scores(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,24 +4,30 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from salescast.functions.columns import fold_of, smoothed
 from salescast.operators.encode import (
+    encoding_columns,
+    encoding_priors,
+    encodings_from_counts,
+    fold_columns,
     fold_counts,
     likelihood_apply,
-    likelihood_from_counts,
-    oof_from_counts,
-    oof_join,
     roll_up,
+    total,
 )
 from salescast.operators.evaluate import accuracy
 from salescast.operators.features import (
     attach_items,
     calendar,
+    daily_sums,
     history_apply,
     history_join,
     history_table,
@@ -73,6 +79,10 @@ def _encoded(keys: list[str]) -> str:
     return "likelihood_" + "_".join(keys)
 
 
+def _sides(roles: Roles) -> dict[str, str]:
+    return {"user": roles.user, "item": roles.item}
+
+
 def _measures(roles: Roles, side: str) -> dict[str, Column]:
     measures = {
         "buys": F.coalesce(F.col(roles.buy).cast("long"), F.lit(0)),
@@ -101,18 +111,23 @@ def feature_names(roles: Roles) -> list[str]:
 def prepare_items(items: DataFrame, roles: Roles) -> DataFrame:
     """Fill the gaps of the items and compare each price with its peers'."""
     filled = nb_fill(items, roles.gaps, widths=roles.widths) if roles.gaps else items
-    return stage(price_vs_peers(stage(filled), roles.peers, roles.price, [roles.item]))
+    return stage(price_vs_peers(filled, roles.peers, roles.price, [roles.item]))
 
 
 @dataclass
 class Forecaster:
-    """Fitted statistics and layers; nothing in it comes from the rows to be scored."""
+    """Fitted statistics and layers; nothing in it comes from the rows to be scored.
+
+    ``items`` carry the encodings of their attributes, ``totals`` the encodings of user
+    and item, ``encodings`` the other ones. ``defaults`` are the encodings of rows that
+    match none of them.
+    """
 
     roles: Roles
     items: DataFrame
     totals: dict[str, DataFrame]
     encodings: dict[str, DataFrame]
-    prior: float
+    defaults: dict[str, float]
     buy_layer: GBTClassificationModel | None = None
     amount_layer: GBTRegressionModel | None = None
 
@@ -120,13 +135,17 @@ class Forecaster:
         """Features of rows later than the training rows."""
         roles, row_id = self.roles, [self.roles.row_id]
         wide = attach_items(rows, self.items, roles.item, row_id)
-        for side, key in (("user", roles.user), ("item", roles.item)):
+        for side, key in _sides(roles).items():
             wide = history_apply(wide, self.totals[side], key, roles.ts, side, row_id)
         for keys in roles.nominal:
             name = _encoded(keys)
-            wide = likelihood_apply(
-                wide, self.encodings[name], keys, self.prior, name, row_id
-            )
+            default = F.lit(self.defaults[name])
+            if name in self.encodings:
+                wide = likelihood_apply(
+                    wide, self.encodings[name], keys, default, name, row_id
+                )
+            else:
+                wide = wide.withColumn(name, F.coalesce(F.col(name), default))
         return _finished(wide, roles, rows.columns)
 
     def score(self, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -157,7 +176,13 @@ class Forecaster:
                 table.write.parquet(f"{path}/{kind}/{name}")
         self.buy_layer.write().save(f"{path}/buy_layer")
         self.amount_layer.write().save(f"{path}/amount_layer")
-        about = json.dumps({"roles": asdict(self.roles), "prior": self.prior})
+        about = json.dumps(
+            {
+                "roles": asdict(self.roles),
+                "defaults": self.defaults,
+                "encodings": list(self.encodings),
+            }
+        )
         # last, so that a folder with it is whole
         spark.createDataFrame([(about,)], "value string").coalesce(1).write.text(f"{path}/about")
 
@@ -170,10 +195,10 @@ class Forecaster:
             items=spark.read.parquet(f"{path}/items"),
             totals={s: spark.read.parquet(f"{path}/totals/{s}") for s in ("user", "item")},
             encodings={
-                _encoded(k): spark.read.parquet(f"{path}/encodings/{_encoded(k)}")
-                for k in roles.nominal
+                name: spark.read.parquet(f"{path}/encodings/{name}")
+                for name in about["encodings"]
             },
-            prior=about["prior"],
+            defaults=about["defaults"],
             buy_layer=GBTClassificationModel.load(f"{path}/buy_layer"),
             amount_layer=GBTRegressionModel.load(f"{path}/amount_layer"),
         )
@@ -203,61 +228,106 @@ def training_features(
 ) -> tuple[Forecaster, DataFrame]:
     """Statistics of the training contacts, and the contacts with features.
 
-    Contacts are counted per item and per user once; the encodings of all item
-    attributes are added up from the counts per item.
+    The contacts are read once per item and day, once per user and day, and once for
+    the rows themselves; other statistics are added up from those two daily tables. An
+    encoding of item attributes joins the items, and one of the user or item its
+    history, so the contacts meet three tables however many encodings there are.
     """
-    row_id = [roles.row_id]
+    row_id, n_folds, m = [roles.row_id], roles.n_folds, roles.m
+    sides = _sides(roles)
     ready = prepare_items(items, roles)
-    counts = {}
-    by_item = None
+    attributes = set(ready.columns) - {roles.item}
+    folds = fold_columns(roles.buy, roles.row_id, n_folds)
+    by_fold: dict[str, Column] = {}
+    defaults: dict[str, float] = {}
+
+    daily, totals, histories = {}, {}, {}
+    for side, key in sides.items():
+        measures = _measures(roles, side)
+        daily[side] = stage(daily_sums(contacts, key, roles.ts, measures, folds))
+        in_history, in_totals = [], []
+        if [key] in roles.nominal:
+            name = _encoded([key])
+            priors = encoding_priors(daily[side], n_folds)
+            one_key = W.partitionBy(key)
+            array = encoding_columns(priors, m, n_folds, one_key)[1]
+            s, n = (F.sum(total(letter, range(n_folds))) for letter in "sn")
+            in_history = [array.alias(f"_by_fold_{name}")]
+            in_totals = [smoothed(s, n, priors[0], m).alias(name)]
+        table = history_table(daily[side], key, measures, side, in_history)
+        histories[side] = stage(table)
+        totals[side] = stage(history_totals(daily[side], key, measures, side, in_totals))
+
+    overall = daily["item"].select(encoding_priors(daily["item"], n_folds)[0].alias("g")).first()
+    prior = overall["g"] if overall and overall["g"] is not None else 0.0
+    per_item = roll_up(daily["item"], [roles.item], n_folds)
+    by_item = stage(attach_items(per_item, ready, roles.item))
+    described, encodings, elsewhere = ready, {}, []
+    unlisted = {}
     for keys in roles.nominal:
-        if set(keys) <= set(ready.columns):
-            if by_item is None:
-                per_item = stage(
-                    fold_counts(contacts, [roles.item], roles.buy, roles.row_id, roles.n_folds)
-                )
-                known = ready.filter(F.col(roles.item).isNotNull())
-                by_item = lookup_join(per_item, known, [roles.item])
-            counts[_encoded(keys)] = stage(roll_up(by_item, keys))
+        name = _encoded(keys)
+        defaults[name] = prior
+        by_fold[name] = F.col(f"_by_fold_{name}")
+        if len(keys) == 1 and keys[0] in sides.values():
+            continue
+        if set(keys) <= attributes:
+            counts = roll_up(by_item, keys, n_folds)
+            table = stage(encodings_from_counts(counts, keys, m, n_folds, name))
+            values = table.select(*keys, name, F.col("by_fold").alias(f"_by_fold_{name}"))
+            described = lookup_join(described, values, keys, row_id=[roles.item])
+            # contacts of an item that is not listed: all attributes are NULL
+            nothing = reduce(lambda a, b: a & b, [F.col(k).isNull() for k in keys])
+            row = table.filter(nothing).first()
+            if row is not None:
+                defaults[name] = row[name]
+                unlisted[name] = F.array(*[F.lit(v) for v in row["by_fold"]])
         else:
-            source = contacts
-            if not set(keys) <= set(contacts.columns):
-                source = attach_items(contacts, ready, roles.item, row_id)
-            counts[_encoded(keys)] = stage(
-                fold_counts(source, keys, roles.buy, roles.row_id, roles.n_folds)
-            )
-    labels = contacts.agg(F.avg(F.col(roles.buy).cast("double")).alias("mean")).first()
-    fitted = Forecaster(
-        roles=roles,
-        items=ready,
-        totals={},
-        encodings={},
-        prior=labels["mean"] or 0.0,
+            rows = attach_items(contacts, ready, roles.item, row_id)
+            counts = fold_counts(rows, keys, roles.buy, roles.row_id, n_folds)
+            encodings[name] = stage(encodings_from_counts(counts, keys, m, n_folds, name))
+            elsewhere.append(keys)
+
+    described = stage(described)
+    wide = attach_items(contacts, described, roles.item, row_id).drop(
+        *[_encoded(keys) for keys in roles.nominal]
     )
-    wide = attach_items(contacts, ready, roles.item, row_id)
-    for side, key in (("user", roles.user), ("item", roles.item)):
-        measures = _measures(roles, side)
-        table = history_table(contacts, key, roles.ts, measures, side)
-        wide = history_join(wide, table, key, roles.ts, row_id)
-        fitted.totals[side] = history_totals(contacts, key, roles.ts, measures, side)
-    for keys in roles.nominal:
+    for side, key in sides.items():
+        wide = history_join(wide, histories[side], key, roles.ts, row_id)
+    for keys in elsewhere:
         name = _encoded(keys)
-        table = stage(oof_from_counts(counts[name], keys, roles.m, roles.n_folds))
-        wide = oof_join(wide, table, keys, roles.row_id, roles.n_folds, name, row_id)
-        fitted.encodings[name] = stage(
-            likelihood_from_counts(counts[name], keys, roles.m, roles.n_folds, name)
+        table = encodings[name].select(
+            *keys, "n_rows", F.col("by_fold").alias(f"_by_fold_{name}")
         )
+        wide = lookup_join(wide, table, keys, "n_rows", row_id=row_id)
+    own = fold_of(roles.row_id, n_folds)
+    for name, array in by_fold.items():
+        values = F.coalesce(array, unlisted[name]) if name in unlisted else array
+        wide = wide.withColumn(name, values[own])
+    fitted = Forecaster(
+        roles=roles,
+        items=described.drop(*[f"_by_fold_{name}" for name in by_fold]),
+        totals=totals,
+        encodings=encodings,
+        defaults=defaults,
+    )
     return fitted, _finished(wide, roles, contacts.columns)
 
 
+def prepare_training(
+    contacts: DataFrame, items: DataFrame, roles: Roles
+) -> tuple[Forecaster, DataFrame]:
+    """``training_features`` with the columns the layers need written to the shared folder."""
+    fitted, rows = training_features(contacts, items, roles)
+    kept = dict.fromkeys([*feature_names(roles), roles.buy, roles.amount])
+    return fitted, stage(rows.select(*kept))
+
+
 def fit_forecaster(
     contacts: DataFrame, items: DataFrame, roles: Roles, **params
 ) -> Forecaster:
     """Fit both layers on ``contacts``; the second on those that bought."""
-    fitted, rows = training_features(contacts, items, roles)
+    fitted, train = prepare_training(contacts, items, roles)
     names = feature_names(roles)
-    kept = [c for c in dict.fromkeys([*names, roles.buy, roles.amount])]
-    train = stage(rows.select(kept))
     fitted.buy_layer = fit_buy_layer(train, names, roles.buy, **params)
     buyers = train.filter(F.col(roles.buy) == 1)
     fitted.amount_layer = fit_amount_layer(buyers, names, roles.amount, **params)

@@ -1,0 +1,159 @@
+import dataclasses
+
+import pytest
+from pyspark.sql import functions as F
+
+from salescast.operators.encode import likelihood_apply, likelihood_oof, likelihood_stats
+from salescast.operators.evaluate import forecast
+from salescast.operators.features import attach_items, history
+from salescast.plans import Forecaster, Roles, fit_forecaster
+from salescast.plans.forecaster import (
+    _measures,
+    feature_names,
+    prepare_items,
+    training_features,
+)
+from salescast.sources import stage
+
+ROLES = Roles(
+    row_id="id",
+    user="user",
+    item="item",
+    ts="ts",
+    buy="buy",
+    amount="qty",
+    price="price",
+    origin="2024-01-01",
+    peers="kind",
+    gaps={"maker": ["kind", "band"]},
+    nominal=[["user"], ["item"], ["maker"], ["maker", "kind"], ["user", "kind"]],
+    numeric=["size"],
+    offer="offer",
+)
+
+
+@pytest.fixture(scope="module")
+def shop(spark):
+    """A made-up shop in which what is bought follows from price and maker."""
+    i = F.col("item")
+    items = stage(
+        spark.range(40).select(
+            F.col("id").alias("item"),
+            F.when(F.col("id") % 7 != 0, F.concat(F.lit("m"), (F.col("id") % 4).cast("string")))
+            .alias("maker"),
+            F.concat(F.lit("k"), (F.col("id") % 3).cast("string")).alias("kind"),
+            (F.col("id") % 4).alias("band"),
+            (F.col("id") % 5).cast("double").alias("size"),
+            (10 + F.col("id") % 11).cast("double").alias("price"),
+        )
+    )
+    days = F.expr("make_dt_interval(cast(id % 30 as int), cast(id % 23 as int))")
+    item = F.when(F.col("id") % 3 == 0, 6).when(F.col("id") % 101 == 1, None).otherwise(
+        F.col("id") * 7 % 43  # 40 to 42 are not listed
+    )
+    rows = spark.range(2500).select(
+        "id",
+        (F.col("id") * 13 % 29).alias("user"),
+        item.alias("item"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + days).alias("ts"),
+        (8 + F.col("id") % 6).cast("double").alias("offer"),
+    )
+    rows = rows.withColumn("buy", (F.col("offer") < 10).cast("int")).withColumn(
+        "qty", F.when(F.col("buy") == 1, F.when((i < 40) & (i % 5 < 2), 5.0).otherwise(2.0))
+    )
+    return stage(rows), items
+
+
+@pytest.fixture(scope="module")
+def parts(shop):
+    rows, items = shop
+    cut = F.lit("2024-01-25").cast("timestamp_ntz")
+    return rows.filter(F.col("ts") < cut), rows.filter(F.col("ts") >= cut), items
+
+
+@pytest.fixture(scope="module")
+def fitted(parts):
+    train, _, items = parts
+    return fit_forecaster(train, items, ROLES, maxIter=5, maxDepth=3)
+
+
+def differences(rows, alone, names):
+    """Rows in both, and per feature the rows in which the two differ."""
+    both = rows.join(alone, "id")
+    off = [F.count_if(F.abs(F.col(n) - F.col(f"want_{n}")) > 1e-12).alias(n) for n in names]
+    found = both.agg(F.count(F.lit(1)).alias("rows"), *off).first().asDict()
+    return found.pop("rows"), {n: k for n, k in found.items() if k}
+
+
+def test_training_features_equal_single_operators(parts, join_way):
+    train, _, items = parts
+    _, rows = training_features(train, items, ROLES)
+    assert rows.columns[-len(feature_names(ROLES)) :] == feature_names(ROLES)
+    alone = stage(attach_items(train, prepare_items(items, ROLES), "item"))
+    names = ["likelihood_" + "_".join(keys) for keys in ROLES.nominal]
+    for keys, name in zip(ROLES.nominal, names):
+        alone = likelihood_oof(alone, keys, "buy", "id", out=f"want_{name}", row_id=["id"])
+    for side, key in (("user", "user"), ("item", "item")):
+        alone = history(alone, key, "ts", _measures(ROLES, side), side, ["id"])
+        for column in ("buys_before", "qty_before", "days_since"):
+            name = f"{side}_{column}"
+            want = F.coalesce(F.col(name).cast("double"), F.lit(-1.0))
+            alone = alone.withColumn(f"want_{name}", want)
+            names.append(name)
+    alone = alone.select("id", *[f"want_{name}" for name in names])
+    assert differences(rows, alone, names) == (train.count(), {})
+
+
+def test_score_features_equal_single_operators(parts, fitted, join_way):
+    train, later, items = parts
+    ready = prepare_items(items, ROLES)
+    seen, alone = (stage(attach_items(x, ready, "item")) for x in (train, later))
+    names = ["likelihood_" + "_".join(keys) for keys in ROLES.nominal]
+    for keys, name in zip(ROLES.nominal, names):
+        stats = stage(likelihood_stats(seen, keys, "buy", out=f"want_{name}"))
+        alone = likelihood_apply(alone, stats, keys, out=f"want_{name}", row_id=["id"])
+    alone = alone.select("id", *[f"want_{name}" for name in names])
+    rows = fitted.features(later.drop("buy", "qty"))
+    assert differences(rows, alone, names) == (later.count(), {})
+
+
+def test_rule_of_the_shop_is_found(parts, fitted):
+    _, later, _ = parts
+    result = fitted.evaluate(later).first()
+    assert result.accuracy == 1.0 and result.majority_share < 0.9
+    scored = fitted.score(later)
+    off = scored.filter("buy = 1").filter(F.abs(F.col("amount") - F.col("qty")) > 0.5)
+    assert off.count() == 0
+    top = {r.layer: r.feature for r in fitted.importance("buy").filter("rank = 1").collect()}
+    assert top["buy"] in ("offer", "offer_vs_past", "offer_vs_list")
+    totals = forecast(scored, ["user"], price="offer")
+    assert totals.count() == later.select("user").distinct().count()
+
+
+def test_score_rows_do_not_change_statistics(parts, fitted):
+    _, later, _ = parts
+    some = later.filter("id % 2 = 0")
+    columns = ["id", "p_buy", "amount", "qty_gated", "qty_expected"]
+    alone = fitted.score(some.drop("buy", "qty")).select(columns)
+    within = fitted.score(later.drop("buy", "qty")).filter("id % 2 = 0").select(columns)
+    assert sorted(alone.collect()) == sorted(within.collect())
+
+
+def test_saved_and_loaded_scores_alike(spark, parts, fitted, tmp_path):
+    _, later, _ = parts
+    fitted.save(str(tmp_path / "model"))
+    again = Forecaster.load(spark, str(tmp_path / "model"))
+    assert again.roles == ROLES
+    columns = ["id", "p_buy", "amount", "qty_expected"]
+    assert sorted(again.score(later).select(columns).collect()) == sorted(
+        fitted.score(later).select(columns).collect()
+    )
+
+
+def test_plain_roles(parts):
+    train, later, items = parts
+    plain = dataclasses.replace(
+        ROLES, gaps={}, nominal=[], numeric=[], offer=None
+    )
+    model = fit_forecaster(train, items, plain, maxIter=1, maxDepth=2)
+    assert model.score(later).count() == later.count()
