@@ -13,18 +13,20 @@ from salescast.operators.joins import lookup_join
 from salescast.sources.staging import stage
 
 
-def likelihood_stats(
+def likelihood_fit(
     df: DataFrame, keys: list[str], label: str, m: float = 20.0, out: str = "likelihood"
 ) -> DataFrame:
     """One row per key: ``n_rows``, labelled ``n``, label sum ``s`` and the encoding.
 
-    One scan: the overall mean is a scalar subquery over the same aggregate.
+    The rows are read once: the overall mean comes from the staged sums per key.
     """
     y = F.col(label).cast("double")
-    counts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count(y).alias("n"),
-        F.coalesce(F.sum(y), F.lit(0.0)).alias("s"),
+    counts = stage(
+        df.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count(y).alias("n"),
+            F.coalesce(F.sum(y), F.lit(0.0)).alias("s"),
+        )
     )
     return counts.withColumn(out, smoothed(F.col("s"), F.col("n"), likelihood_prior(counts), m))
 
@@ -34,13 +36,6 @@ def likelihood_prior(stats: DataFrame) -> Column:
     return stats.agg(F.try_divide(F.sum("s"), F.sum("n"))).scalar()
 
 
-def likelihood_fit(
-    df: DataFrame, keys: list[str], label: str, m: float = 20.0, out: str = "likelihood"
-) -> DataFrame:
-    """``likelihood_stats``, staged for use on other rows."""
-    return stage(likelihood_stats(df, keys, label, m, out))
-
-
 def likelihood_apply(
     df: DataFrame,
     stats: DataFrame,
@@ -95,7 +90,7 @@ def roll_up(counts: DataFrame, keys: list[str], n_folds: int = 5) -> DataFrame:
 
 def total(letter: str, folds: Iterable[int]) -> Column:
     """Labelled rows (``n``) or label sum (``s``) over some folds."""
-    return sum((F.col(f"{letter}{f}") for f in folds), F.lit(0))
+    return F.expr(" + ".join(["0L", *[f"{letter}{f}" for f in folds]]))
 
 
 def _samples(n_folds: int) -> list[list[int]]:
@@ -136,7 +131,7 @@ def encoding_columns(
 def encodings_from_counts(
     counts: DataFrame, keys: list[str], m: float, n_folds: int, out: str = "likelihood"
 ) -> DataFrame:
-    """``encoding_columns`` per key, named ``out`` and ``by_fold``."""
+    """``encoding_columns`` per key, named ``out`` and ``by_fold``; reads ``counts`` twice."""
     whole, by_fold = encoding_columns(encoding_priors(counts, n_folds), m, n_folds)
     return counts.select(*keys, "n_rows", whole.alias(out), by_fold.alias("by_fold"))
 
@@ -150,7 +145,7 @@ def oof_join(
     out: str = "likelihood",
     row_id: list[str] | None = None,
 ) -> DataFrame:
-    """Give each row its fold's value from staged ``keys, n_rows, by_fold``."""
+    """Give each row its fold's value from a table ``keys, n_rows, by_fold``."""
     joined = lookup_join(df, table, keys, weight="n_rows", row_id=row_id)
     return joined.withColumn(out, F.col("by_fold")[fold_of(fold, n_folds)]).drop("by_fold")
 
@@ -166,6 +161,6 @@ def likelihood_oof(
     row_id: list[str] | None = None,
 ) -> DataFrame:
     """Add to each row the encoding learned from the other folds only."""
-    counts = fold_counts(df, keys, label, fold, n_folds)
-    table = stage(encodings_from_counts(counts, keys, m, n_folds).drop("likelihood"))
+    counts = stage(fold_counts(df, keys, label, fold, n_folds))
+    table = encodings_from_counts(counts, keys, m, n_folds).drop("likelihood")
     return oof_join(df, table, keys, fold, n_folds, out, row_id)

@@ -13,6 +13,7 @@ from salescast.functions.columns import day_of
 from salescast.operators.joins import lookup_join, slices_of
 from salescast.sources.staging import stage
 
+QUANTILE_ERROR = 0.005
 
 def to_score_shape(df: DataFrame, behaviour_cols: list[str]) -> DataFrame:
     """Drop what is not known before the customer acts."""
@@ -169,8 +170,9 @@ def price_vs_peers(
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
-    probabilities = [i / slices_of(items) for i in range(1, slices_of(items))]
-    cuts = sorted(set(counts.approxQuantile(price, probabilities, 0.005)))
+    ranges = min(slices_of(items), round(1 / QUANTILE_ERROR))
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = sorted(set(counts.approxQuantile(price, shares, QUANTILE_ERROR)))
     splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
     ranged = Bucketizer(
         splits=splits, inputCol=price, outputCol="_range", handleInvalid="keep"

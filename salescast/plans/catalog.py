@@ -12,7 +12,6 @@ from salescast.operators.encode import (
     likelihood_apply,
     likelihood_fit,
     likelihood_oof,
-    likelihood_stats,
 )
 from salescast.operators.evaluate import accuracy, forecast
 from salescast.operators.features import (
@@ -77,7 +76,7 @@ def profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def likelihood_user(spark: SparkSession, folder: str) -> DataFrame:
-    return likelihood_stats(contacts(spark, folder), ["user_id"], "buy")
+    return likelihood_fit(contacts(spark, folder), ["user_id"], "buy")
 
 
 def likelihood_oof_user(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,7 +96,7 @@ def likelihood_crossed(spark: SparkSession, folder: str) -> DataFrame:
         "p_partkey", crossed("p_brand", "p_type").alias("brand_type")
     )
     wide = attach_items(contacts(spark, folder), pairs, "p_partkey", ROW)
-    return likelihood_stats(wide, ["brand_type"], "buy")
+    return likelihood_fit(wide, ["brand_type"], "buy")
 
 
 def nb_fill_brand(spark: SparkSession, folder: str) -> DataFrame:

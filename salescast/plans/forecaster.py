@@ -283,7 +283,7 @@ def training_features(
                 unlisted[name] = F.array(*[F.lit(v) for v in row["by_fold"]])
         else:
             rows = attach_items(contacts, ready, roles.item, row_id)
-            counts = fold_counts(rows, keys, roles.buy, roles.row_id, n_folds)
+            counts = stage(fold_counts(rows, keys, roles.buy, roles.row_id, n_folds))
             encodings[name] = stage(encodings_from_counts(counts, keys, m, n_folds, name))
             elsewhere.append(keys)
 

@@ -5,7 +5,6 @@ from salescast.operators.encode import (
     likelihood_apply,
     likelihood_fit,
     likelihood_oof,
-    likelihood_stats,
 )
 
 GOLDEN = [("a", 1), ("a", 0), ("a", 1), ("b", 0), ("c", None), ("c", 1), (None, 0)]
@@ -17,7 +16,7 @@ def labelled(spark):
 
 
 def test_golden_stats(labelled):
-    rows = {r.cat: r for r in likelihood_stats(labelled, ["cat"], "y", m=2).collect()}
+    rows = {r.cat: r for r in likelihood_fit(labelled, ["cat"], "y", m=2).collect()}
     assert {c: (r.n, r.s) for c, r in rows.items()} == {
         "a": (3, 2.0), "b": (1, 0.0), "c": (1, 1.0), None: (1, 0.0)
     }
@@ -39,12 +38,12 @@ def test_apply_keeps_null_and_gives_unseen_the_prior(spark, labelled, join_way):
 
 def test_no_smoothing_and_no_label(spark):
     df = spark.createDataFrame([("a", 1), ("b", None), ("a", 0)], "cat string, y int")
-    got = {r.cat: r.likelihood for r in likelihood_stats(df, ["cat"], "y", m=0).collect()}
+    got = {r.cat: r.likelihood for r in likelihood_fit(df, ["cat"], "y", m=0).collect()}
     assert got == {"a": 0.5, "b": 0.5}
     none = spark.createDataFrame([("a", None)], "cat string, y int")
-    assert likelihood_stats(none, ["cat"], "y", m=2).first().likelihood is None
+    assert likelihood_fit(none, ["cat"], "y", m=2).first().likelihood is None
     with pytest.raises(ValueError):
-        likelihood_stats(df, ["cat"], "y", m=-1)
+        likelihood_fit(df, ["cat"], "y", m=-1)
 
 
 def test_golden_out_of_fold(spark, join_way):

@@ -3,7 +3,7 @@ import dataclasses
 import pytest
 from pyspark.sql import functions as F
 
-from salescast.operators.encode import likelihood_apply, likelihood_oof, likelihood_stats
+from salescast.operators.encode import likelihood_apply, likelihood_fit, likelihood_oof
 from salescast.operators.evaluate import forecast
 from salescast.operators.features import attach_items, history
 from salescast.plans import Forecaster, Roles, fit_forecaster
@@ -110,7 +110,7 @@ def test_score_features_equal_single_operators(parts, fitted, join_way):
     seen, alone = (stage(attach_items(x, ready, "item")) for x in (train, later))
     names = ["likelihood_" + "_".join(keys) for keys in ROLES.nominal]
     for keys, name in zip(ROLES.nominal, names):
-        stats = stage(likelihood_stats(seen, keys, "buy", out=f"want_{name}"))
+        stats = likelihood_fit(seen, keys, "buy", out=f"want_{name}")
         alone = likelihood_apply(alone, stats, keys, out=f"want_{name}", row_id=["id"])
     alone = alone.select("id", *[f"want_{name}" for name in names])
     rows = fitted.features(later.drop("buy", "qty"))
