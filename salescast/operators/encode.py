@@ -99,12 +99,12 @@ def _samples(n_folds: int) -> list[list[int]]:
     return [every] + [[o for o in every if o != f] for f in every]
 
 
-def encoding_priors(counts: DataFrame, n_folds: int) -> Column:
-    """Array of label means: over all folds, then without each fold in turn."""
+def label_means(n_folds: int) -> Column:
+    """Aggregate of counts: array of label means, over all folds, then without each in turn."""
     means = [
         F.try_divide(F.sum(total("s", o)), F.sum(total("n", o))) for o in _samples(n_folds)
     ]
-    return counts.agg(F.array(*means)).scalar()
+    return F.array(*means)
 
 
 def encoding_columns(
@@ -132,7 +132,8 @@ def encodings_from_counts(
     counts: DataFrame, keys: list[str], m: float, n_folds: int, out: str = "likelihood"
 ) -> DataFrame:
     """``encoding_columns`` per key, named ``out`` and ``by_fold``; reads ``counts`` twice."""
-    whole, by_fold = encoding_columns(encoding_priors(counts, n_folds), m, n_folds)
+    priors = counts.agg(label_means(n_folds)).scalar()
+    whole, by_fold = encoding_columns(priors, m, n_folds)
     return counts.select(*keys, "n_rows", whole.alias(out), by_fold.alias("by_fold"))
 
 

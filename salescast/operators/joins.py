@@ -29,8 +29,8 @@ def fits_broadcast(table: DataFrame) -> bool:
 
 
 def slices_of(df: DataFrame) -> int:
-    """How finely to cut hot keys: a few pieces per shuffle partition."""
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """How finely to cut hot keys: into pieces that are small next to a shuffle partition."""
+    return 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def heavy_keys(table: DataFrame, keys: list[str], weight: str) -> DataFrame:
@@ -102,16 +102,18 @@ def lookup_join(
     weight: str | None = None,
     where: Column | None = None,
     row_id: list[str] | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Add the columns of ``table`` (one row per key, NULL being a key) to ``rows``.
 
     A table measured small is broadcast, and ``rows`` are not shuffled at all. A larger
     one is joined by shuffle, heavy keys salted. ``weight`` names the column of
     ``table`` holding the rows per key, and is not passed on; if there is none, the
-    rows are counted.
+    rows are counted. ``small`` spares the measuring where ``fits_broadcast`` has
+    already answered for this table or one that contains it.
     """
     values = table if weight is None else table.drop(weight)
-    if fits_broadcast(table):
+    if fits_broadcast(table) if small is None else small:
         right, names = _renamed(values, keys)
         condition = _same(keys, names)
         if where is not None:

@@ -6,7 +6,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salescast.functions.columns import combine_layers
@@ -81,12 +81,12 @@ def score_two_layer(
 
 
 def feature_importance(
-    model: GBTClassificationModel | GBTRegressionModel, names: list[str], spark
+    model: GBTClassificationModel | GBTRegressionModel, names: list[str]
 ) -> DataFrame:
     """``feature, importance, rank``; importances add up to 1. One row per feature."""
     pairs = zip(names, model.featureImportances.toArray().tolist(), strict=True)
     ordered = sorted(pairs, key=lambda p: (-p[1], p[0]))
-    return spark.createDataFrame(
+    return SparkSession.active().createDataFrame(
         [(name, value, i + 1) for i, (name, value) in enumerate(ordered)],
         "feature string, importance double, rank int",
     )

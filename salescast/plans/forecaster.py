@@ -4,21 +4,20 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
-from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.regression import GBTRegressionModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from salescast.functions.columns import fold_of, smoothed
+from salescast.functions.columns import crossed, fold_of, smoothed
 from salescast.operators.encode import (
     encoding_columns,
-    encoding_priors,
     encodings_from_counts,
     fold_columns,
     fold_counts,
+    label_means,
     likelihood_apply,
     roll_up,
     total,
@@ -35,7 +34,7 @@ from salescast.operators.features import (
     price_vs_peers,
 )
 from salescast.operators.fill import nb_fill
-from salescast.operators.joins import lookup_join
+from salescast.operators.joins import fits_broadcast, lookup_join
 from salescast.operators.layers import (
     feature_importance,
     fit_amount_layer,
@@ -164,9 +163,9 @@ class Forecaster:
 
     def importance(self, layer: str) -> DataFrame:
         model = {"buy": self.buy_layer, "amount": self.amount_layer}[layer]
-        return feature_importance(
-            model, feature_names(self.roles), self.items.sparkSession
-        ).select(F.lit(layer).alias("layer"), "feature", "importance", "rank")
+        return feature_importance(model, feature_names(self.roles)).select(
+            F.lit(layer).alias("layer"), "feature", "importance", "rank"
+        )
 
     def save(self, path: str) -> None:
         spark = self.items.sparkSession
@@ -223,6 +222,66 @@ def _finished(wide: DataFrame, roles: Roles, keep: list[str]) -> DataFrame:
     )
 
 
+def _describe(
+    items: DataFrame,
+    per_item: DataFrame,
+    nominal: list[list[str]],
+    priors: Column,
+    roles: Roles,
+) -> tuple[DataFrame, dict[str, Row]]:
+    """The items with the encodings of their attributes, ``<name>`` and ``_by_fold_<name>``.
+
+    ``per_item`` has the counts of the contacts of each item. One aggregate serves all
+    encodings. The second result has, per encoding, the row for items that are not
+    listed, whose attributes are all NULL.
+    """
+    if not nominal:
+        return items, {}
+    names = {_encoded(keys): crossed(*keys) for keys in nominal}
+    cells = [
+        F.struct(F.lit(name).alias("name"), value.alias("value"))
+        for name, value in names.items()
+    ]
+    counted = (
+        attach_items(per_item, items, roles.item)
+        .withColumn("cell", F.explode(F.array(*cells)))
+        .select("*", "cell.name", "cell.value")
+    )
+    whole, by_fold = encoding_columns(priors, roles.m, roles.n_folds)
+    table = stage(
+        roll_up(counted, ["name", "value"], roles.n_folds).select(
+            "name", "value", whole.alias("whole"), by_fold.alias("by_fold")
+        )
+    )
+    nothing = [r"|".join([r"\N"] * len(keys)) for keys in nominal]
+    unlisted = {
+        r["name"]: r
+        for r in table.filter(
+            F.struct("name", "value").isin(
+                *[F.struct(F.lit(n), F.lit(v)) for n, v in zip(names, nothing)]
+            )
+        ).collect()
+    }
+    small = fits_broadcast(table)
+    described = items
+    for name, value in names.items():
+        own = table.filter(F.col("name") == name).select(
+            F.col("value").alias("_value"),
+            F.col("whole").alias(name),
+            F.col("by_fold").alias(f"_by_fold_{name}"),
+        )
+        described = lookup_join(
+            described.withColumn("_value", value),
+            own,
+            ["_value"],
+            row_id=[roles.item],
+            small=small or None,
+        ).drop("_value")
+        # NULL is left to items that are not listed
+        described = described.withColumn(name, F.coalesce(F.col(name), priors[0]))
+    return stage(described), unlisted
+
+
 def training_features(
     contacts: DataFrame, items: DataFrame, roles: Roles
 ) -> tuple[Forecaster, DataFrame]:
@@ -231,81 +290,66 @@ def training_features(
     The contacts are read once per item and day, once per user and day, and once for
     the rows themselves; other statistics are added up from those two daily tables. An
     encoding of item attributes joins the items, and one of the user or item its
-    history, so the contacts meet three tables however many encodings there are.
+    history, so the contacts meet three tables however many encodings there are. Only
+    encodings that mix both sides take another pass and another join.
     """
     row_id, n_folds, m = [roles.row_id], roles.n_folds, roles.m
     sides = _sides(roles)
     ready = prepare_items(items, roles)
     attributes = set(ready.columns) - {roles.item}
-    folds = fold_columns(roles.buy, roles.row_id, n_folds)
-    by_fold: dict[str, Column] = {}
-    defaults: dict[str, float] = {}
+    own_key = [keys for keys in roles.nominal if keys in [[k] for k in sides.values()]]
+    of_items = [keys for keys in roles.nominal if set(keys) <= attributes]
+    mixed = [keys for keys in roles.nominal if keys not in own_key + of_items]
 
-    daily, totals, histories = {}, {}, {}
+    daily = {}
+    folds = fold_columns(roles.buy, roles.row_id, n_folds)
     for side, key in sides.items():
         measures = _measures(roles, side)
         daily[side] = stage(daily_sums(contacts, key, roles.ts, measures, folds))
-        in_history, in_totals = [], []
-        if [key] in roles.nominal:
+    # the mean of the label, over all contacts and without each fold
+    means = daily["item"].agg(label_means(n_folds).alias("means")).first()["means"]
+    priors = F.array(*[F.lit(v).cast("double") for v in means])
+    defaults = {_encoded(keys): means[0] or 0.0 for keys in roles.nominal}
+
+    totals, histories = {}, {}
+    for side, key in sides.items():
+        measures, in_history, in_totals = _measures(roles, side), [], []
+        if [key] in own_key:
             name = _encoded([key])
-            priors = encoding_priors(daily[side], n_folds)
-            one_key = W.partitionBy(key)
-            array = encoding_columns(priors, m, n_folds, one_key)[1]
+            by_fold = encoding_columns(priors, m, n_folds, W.partitionBy(key))[1]
+            in_history = [by_fold.alias(f"_by_fold_{name}")]
             s, n = (F.sum(total(letter, range(n_folds))) for letter in "sn")
-            in_history = [array.alias(f"_by_fold_{name}")]
             in_totals = [smoothed(s, n, priors[0], m).alias(name)]
-        table = history_table(daily[side], key, measures, side, in_history)
-        histories[side] = stage(table)
+        histories[side] = stage(history_table(daily[side], key, measures, side, in_history))
         totals[side] = stage(history_totals(daily[side], key, measures, side, in_totals))
 
-    overall = daily["item"].select(encoding_priors(daily["item"], n_folds)[0].alias("g")).first()
-    prior = overall["g"] if overall and overall["g"] is not None else 0.0
     per_item = roll_up(daily["item"], [roles.item], n_folds)
-    by_item = stage(attach_items(per_item, ready, roles.item))
-    described, encodings, elsewhere = ready, {}, []
-    unlisted = {}
-    for keys in roles.nominal:
-        name = _encoded(keys)
-        defaults[name] = prior
-        by_fold[name] = F.col(f"_by_fold_{name}")
-        if len(keys) == 1 and keys[0] in sides.values():
-            continue
-        if set(keys) <= attributes:
-            counts = roll_up(by_item, keys, n_folds)
-            table = stage(encodings_from_counts(counts, keys, m, n_folds, name))
-            values = table.select(*keys, name, F.col("by_fold").alias(f"_by_fold_{name}"))
-            described = lookup_join(described, values, keys, row_id=[roles.item])
-            # contacts of an item that is not listed: all attributes are NULL
-            nothing = reduce(lambda a, b: a & b, [F.col(k).isNull() for k in keys])
-            row = table.filter(nothing).first()
-            if row is not None:
-                defaults[name] = row[name]
-                unlisted[name] = F.array(*[F.lit(v) for v in row["by_fold"]])
-        else:
-            rows = attach_items(contacts, ready, roles.item, row_id)
-            counts = stage(fold_counts(rows, keys, roles.buy, roles.row_id, n_folds))
-            encodings[name] = stage(encodings_from_counts(counts, keys, m, n_folds, name))
-            elsewhere.append(keys)
-
-    described = stage(described)
-    wide = attach_items(contacts, described, roles.item, row_id).drop(
-        *[_encoded(keys) for keys in roles.nominal]
-    )
+    described, unlisted = _describe(ready, per_item, of_items, priors, roles)
+    defaults |= {name: row["whole"] for name, row in unlisted.items()}
+
+    wide = attach_items(contacts, described, roles.item, row_id)
+    wide = wide.drop(*[_encoded(keys) for keys in of_items])
     for side, key in sides.items():
         wide = history_join(wide, histories[side], key, roles.ts, row_id)
-    for keys in elsewhere:
+    encodings = {}
+    for keys in mixed:
         name = _encoded(keys)
+        rows = attach_items(contacts, ready, roles.item, row_id)
+        counts = stage(fold_counts(rows, keys, roles.buy, roles.row_id, n_folds))
+        encodings[name] = stage(encodings_from_counts(counts, keys, m, n_folds, name))
         table = encodings[name].select(
             *keys, "n_rows", F.col("by_fold").alias(f"_by_fold_{name}")
         )
         wide = lookup_join(wide, table, keys, "n_rows", row_id=row_id)
     own = fold_of(roles.row_id, n_folds)
-    for name, array in by_fold.items():
-        values = F.coalesce(array, unlisted[name]) if name in unlisted else array
+    for name in map(_encoded, roles.nominal):
+        values = F.col(f"_by_fold_{name}")
+        if name in unlisted:
+            values = F.coalesce(values, F.array(*map(F.lit, unlisted[name]["by_fold"])))
         wide = wide.withColumn(name, values[own])
     fitted = Forecaster(
         roles=roles,
-        items=described.drop(*[f"_by_fold_{name}" for name in by_fold]),
+        items=described.drop(*[f"_by_fold_{_encoded(keys)}" for keys in of_items]),
         totals=totals,
         encodings=encodings,
         defaults=defaults,

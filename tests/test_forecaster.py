@@ -46,9 +46,11 @@ def shop(spark):
             (F.col("id") % 5).cast("double").alias("size"),
             (10 + F.col("id") % 11).cast("double").alias("price"),
         )
+        .union(spark.sql("SELECT 60, 'new maker', 'new kind', 9, 3D, 12D"))
     )
     days = F.expr("make_dt_interval(cast(id % 30 as int), cast(id % 23 as int))")
-    item = F.when(F.col("id") % 3 == 0, 6).when(F.col("id") % 101 == 1, None).otherwise(
+    late = (F.col("id") % 30 >= 24) & (F.col("id") % 11 == 0)  # first contacts of item 60
+    item = F.when(late, 60).when(F.col("id") % 3 == 0, 6).when(F.col("id") % 101 == 1, None).otherwise(
         F.col("id") * 7 % 43  # 40 to 42 are not listed
     )
     rows = spark.range(2500).select(
@@ -92,9 +94,11 @@ def test_training_features_equal_single_operators(parts, join_way):
     alone = stage(attach_items(train, prepare_items(items, ROLES), "item"))
     names = ["likelihood_" + "_".join(keys) for keys in ROLES.nominal]
     for keys, name in zip(ROLES.nominal, names):
-        alone = likelihood_oof(alone, keys, "buy", "id", out=f"want_{name}", row_id=["id"])
+        alone = stage(
+            likelihood_oof(alone, keys, "buy", "id", out=f"want_{name}", row_id=["id"])
+        )
     for side, key in (("user", "user"), ("item", "item")):
-        alone = history(alone, key, "ts", _measures(ROLES, side), side, ["id"])
+        alone = stage(history(alone, key, "ts", _measures(ROLES, side), side, ["id"]))
         for column in ("buys_before", "qty_before", "days_since"):
             name = f"{side}_{column}"
             want = F.coalesce(F.col(name).cast("double"), F.lit(-1.0))

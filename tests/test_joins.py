@@ -16,7 +16,7 @@ def skewed(spark):
 def test_few_keys_can_be_heavy(spark, skewed):
     counts = stage(skewed.groupBy("k").agg(F.count(F.lit(1)).alias("n")))
     rows = heavy_keys(counts, ["k"], "n").collect()
-    slices = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = joins.slices_of(skewed)
     assert len(rows) <= slices
     assert sum(r["_salts"] for r in rows) <= 2 * slices
     assert [r.k for r in rows] == [0]
@@ -59,6 +59,8 @@ def test_hot_key_is_spread_over_partitions(spark, skewed, monkeypatch):
     monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
     try:
         table = stage(skewed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("v")))
         out = lookup_join(skewed, table, ["k"], "n", row_id=["id"])
@@ -67,6 +69,7 @@ def test_hot_key_is_spread_over_partitions(spark, skewed, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert "SortMergeJoin" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
     # unsalted, one of the 8 partitions would hold 1000 rows more than the others
     assert sum(sizes) == 3000 and max(sizes) < 2 * 3000 / 8

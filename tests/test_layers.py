@@ -45,10 +45,10 @@ def test_planted_rule_is_found(planted):
     assert other.filter("qty_gated != 0 or buy_predicted != 0").count() == 0
 
 
-def test_importance(spark, planted):
+def test_importance(planted):
     _, first, second = planted
-    one = {r.feature: r for r in feature_importance(first, FEATURES, spark).collect()}
-    two = {r.feature: r for r in feature_importance(second, FEATURES, spark).collect()}
+    one = {r.feature: r for r in feature_importance(first, FEATURES).collect()}
+    two = {r.feature: r for r in feature_importance(second, FEATURES).collect()}
     assert sum(r.importance for r in one.values()) == pytest.approx(1)
     assert one["brand"].importance == 0 and one["brand"].rank == 3
     assert two["brand"].importance == pytest.approx(1) and two["brand"].rank == 1
