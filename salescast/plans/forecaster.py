@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -369,10 +371,19 @@ def prepare_training(
 def fit_forecaster(
     contacts: DataFrame, items: DataFrame, roles: Roles, **params
 ) -> Forecaster:
-    """Fit both layers on ``contacts``; the second on those that bought."""
+    """Fit both layers on ``contacts``; the second on those that bought.
+
+    Growing trees is a long row of short jobs, so the layers, which do not depend on
+    each other, are fitted side by side.
+    """
     fitted, train = prepare_training(contacts, items, roles)
     names = feature_names(roles)
-    fitted.buy_layer = fit_buy_layer(train, names, roles.buy, **params)
     buyers = train.filter(F.col(roles.buy) == 1)
-    fitted.amount_layer = fit_amount_layer(buyers, names, roles.amount, **params)
+    keep_settings = inheritable_thread_target(train.sparkSession)
+    with ThreadPoolExecutor(2) as pool:
+        first = pool.submit(keep_settings(fit_buy_layer), train, names, roles.buy, **params)
+        second = pool.submit(
+            keep_settings(fit_amount_layer), buyers, names, roles.amount, **params
+        )
+        fitted.buy_layer, fitted.amount_layer = first.result(), second.result()
     return fitted
