@@ -16,14 +16,18 @@ CELL_BYTES = 16
 def fits_broadcast(table: DataFrame) -> bool:
     """Measure ``table``: few enough rows, and few enough bytes with its texts counted.
 
-    Meant for staged or source tables, where this reads the text columns only.
+    Meant for staged or source tables, where this reads the text columns only. A table
+    with nested columns other than arrays of numbers cannot be measured, and does not fit.
     """
     lengths = F.lit(CELL_BYTES * len(table.columns))
     for field in table.schema.fields:
-        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        kind = field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
             lengths = lengths + F.coalesce(F.octet_length(field.name), F.lit(0))
-        elif isinstance(field.dataType, T.ArrayType):
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
             lengths = lengths + F.coalesce(F.size(field.name), F.lit(0)) * CELL_BYTES
+        elif not isinstance(kind, T.AtomicType):
+            return False
     size = table.agg(F.count(F.lit(1)).alias("n"), F.sum(lengths.cast("long")).alias("b")).first()
     return size["n"] <= MAX_BROADCAST_ROWS and (size["b"] or 0) <= MAX_BROADCAST_BYTES
 
@@ -113,6 +117,9 @@ def lookup_join(
     already answered for this table or one that contains it.
     """
     values = table if weight is None else table.drop(weight)
+    twice = set(rows.columns) & set(values.columns) - set(keys)
+    if twice:
+        raise ValueError(f"in the rows and in the table to look up: {sorted(twice)}")
     if fits_broadcast(table) if small is None else small:
         right, names = _renamed(values, keys)
         condition = _same(keys, names)

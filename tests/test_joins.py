@@ -85,3 +85,16 @@ def test_size_counts_rows_and_texts(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", 99)
     assert not fits_broadcast(table)
+
+
+def test_what_cannot_be_measured_is_not_broadcast(spark):
+    table = spark.range(3).select("id", F.array(F.lit(1.0)).alias("numbers"))
+    assert fits_broadcast(table)
+    assert not fits_broadcast(table.withColumn("texts", F.array(F.lit("x"))))
+    assert not fits_broadcast(table.withColumn("both", F.struct("id")))
+
+
+def test_column_in_both_is_an_error(spark, skewed):
+    table = spark.range(3).select(F.col("id").alias("k"), F.lit(1).alias("id"))
+    with pytest.raises(ValueError, match="id"):
+        lookup_join(skewed, table, ["k"])

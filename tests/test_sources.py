@@ -73,3 +73,24 @@ def test_stage_reads_back_what_was_written(spark):
     staged = stage(df)
     assert sorted(staged.collect(), key=str) == sorted(df.collect(), key=str)
     assert shared_folder(spark).removeprefix("file:") in staged.inputFiles()[0]
+
+
+class FakeSession:
+    """Only what ``shared_folder`` asks of a session."""
+
+    def __init__(self, master, named):
+        self.master, self.folder = master, None
+        self.conf, self.sparkContext = {"spark.checkpoint.dir": named} if named else {}, self
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_shared_folder_is_the_named_one():
+    assert shared_folder(FakeSession("yarn", "hdfs:///shared")) == "hdfs:///shared"
+    assert "salescast-" in shared_folder(FakeSession("local[2]", None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(FakeSession("spark://host:7077", None))
