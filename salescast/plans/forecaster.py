@@ -50,7 +50,8 @@ NO_VALUE = -1.0  # stands for NULL in the trees; all features are 0 or more
 
 @dataclass(frozen=True)
 class Roles:
-    """Which columns play which part. ``item`` has one name in contacts and items.
+    """Which columns play which part. ``item`` has one name in contacts and items, and is
+    the only name they share; ``row_id`` is unique among the contacts.
 
     ``gaps`` maps a column of the items to the attributes it is filled from, and
     ``widths`` gives the interval of a numeric one. ``nominal`` lists the columns, or
@@ -296,6 +297,9 @@ def training_features(
     encodings that mix both sides take another pass and another join.
     """
     row_id, n_folds, m = [roles.row_id], roles.n_folds, roles.m
+    columns = contacts.columns
+    # a hash, so that folds are even whatever the ids look like
+    contacts = contacts.withColumn("_fold", F.xxhash64(roles.row_id))
     sides = _sides(roles)
     ready = prepare_items(items, roles)
     attributes = set(ready.columns) - {roles.item}
@@ -304,7 +308,7 @@ def training_features(
     mixed = [keys for keys in roles.nominal if keys not in own_key + of_items]
 
     daily = {}
-    folds = fold_columns(roles.buy, roles.row_id, n_folds)
+    folds = fold_columns(roles.buy, "_fold", n_folds)
     for side, key in sides.items():
         measures = _measures(roles, side)
         daily[side] = stage(daily_sums(contacts, key, roles.ts, measures, folds))
@@ -337,13 +341,13 @@ def training_features(
     for keys in mixed:
         name = _encoded(keys)
         rows = attach_items(contacts, ready, roles.item, row_id)
-        counts = stage(fold_counts(rows, keys, roles.buy, roles.row_id, n_folds))
+        counts = stage(fold_counts(rows, keys, roles.buy, "_fold", n_folds))
         encodings[name] = stage(encodings_from_counts(counts, keys, m, n_folds, name))
         table = encodings[name].select(
             *keys, "n_rows", F.col("by_fold").alias(f"_by_fold_{name}")
         )
         wide = lookup_join(wide, table, keys, "n_rows", row_id=row_id)
-    own = fold_of(roles.row_id, n_folds)
+    own = fold_of("_fold", n_folds)
     for name in map(_encoded, roles.nominal):
         values = F.col(f"_by_fold_{name}")
         if name in unlisted:
@@ -356,7 +360,7 @@ def training_features(
         encodings=encodings,
         defaults=defaults,
     )
-    return fitted, _finished(wide, roles, contacts.columns)
+    return fitted, _finished(wide, roles, columns)
 
 
 def prepare_training(

@@ -91,11 +91,12 @@ def test_training_features_equal_single_operators(parts, join_way):
     train, _, items = parts
     _, rows = training_features(train, items, ROLES)
     assert rows.columns[-len(feature_names(ROLES)) :] == feature_names(ROLES)
-    alone = stage(attach_items(train, prepare_items(items, ROLES), "item"))
+    folded = train.withColumn("fold", F.xxhash64("id"))
+    alone = stage(attach_items(folded, prepare_items(items, ROLES), "item"))
     names = ["likelihood_" + "_".join(keys) for keys in ROLES.nominal]
     for keys, name in zip(ROLES.nominal, names):
         alone = stage(
-            likelihood_oof(alone, keys, "buy", "id", out=f"want_{name}", row_id=["id"])
+            likelihood_oof(alone, keys, "buy", "fold", out=f"want_{name}", row_id=["id"])
         )
     for side, key in (("user", "user"), ("item", "item")):
         alone = stage(history(alone, key, "ts", _measures(ROLES, side), side, ["id"]))
