@@ -5,11 +5,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from salescast.plans.catalog import QUERIES
+from salescast.plans.oracle import ORACLE as SQL
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = """region nation customer supplier part orders lineitem events documents
 embeddings pages benchmark labels conversations""".split()
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +52,10 @@ def test_two_layer_scores(spark):
         assert r.qty_expected == pytest.approx(r.p_buy * r.amount)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(driver.queries()) and set(SQL) <= set(driver.oracle_sql())
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
 
