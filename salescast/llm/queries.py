@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from salescast.llm.fingerprints import fingerprint, lexicon, likeness, with_next
 from salescast.llm.mixing import mix, word_count
 from salescast.llm.packing import pack
 from salescast.llm.sql import MIX
+from salescast.sources.staging import stage
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +22,35 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    known = lexicon(docs)
+    paired = with_next(docs, "doc_id", "text")
+    n = F.length("text")
+    quarter = F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("_next", F.lit(1), quarter))
+    texts = paired.select("_range", "_place", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    texts = texts.withColumn("edited_sha256", F.sha2("edited", 256))
+    key, keep = ["_range", "_place"], ["doc_id", "n_chars", "edited_sha256"]
+    prints = stage(fingerprint(texts, known, ["text", "edited"], key, keep))
+    # the next document's: within the range, or the first of the next range
+    order = Window.partitionBy("_range").orderBy("_place")
+    firsts = prints.filter("_place = 1").select("_range", F.col("text").alias("first"))
+    ring = Window.orderBy("_range")  # one row per range
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = F.coalesce(F.lead("first").over(ring), F.first("first").over(whole))
+    firsts = firsts.select("_range", after.alias("_after"))
+    joined = prints.withColumn("_lead", F.lead("text").over(order)).join(firsts, "_range")
+    following = F.coalesce("_lead", "_after")
+    return joined.select(
+        *keep,
+        F.col("text").alias("fingerprint"),
+        F.col("edited").alias("edited_fingerprint"),
+        likeness(F.col("text"), F.col("edited")).alias("near_edited"),
+        likeness(F.col("text"), following).alias("near_next"),
+    )
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), tokenizer_file())
 
@@ -29,6 +61,6 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(sized, sized["words"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 
 ORACLE = {"op10_mixing": MIX}
