@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salescast.llm.fingerprints import fingerprint, lexicon, likeness, with_next
+from salescast.llm.jaccard import jaccard_components
 from salescast.llm.mixing import mix, word_count
 from salescast.llm.packing import pack
 from salescast.llm.sql import MIX
@@ -51,6 +52,11 @@ def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), tokenizer_file())
 
@@ -61,6 +67,6 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(sized, sized["words"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op5_jaccard": op5_jaccard, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 
 ORACLE = {"op10_mixing": MIX}
