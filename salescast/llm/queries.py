@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salescast.llm.fingerprints import fingerprint, lexicon, likeness, with_next
 from salescast.llm.jaccard import jaccard_components
+from salescast.llm.langid import identify, learn_profiles
 from salescast.llm.mixing import mix, word_count
 from salescast.llm.packing import pack
+from salescast.llm.secrets import find_secrets
 from salescast.llm.sql import MIX
 from salescast.sources.staging import stage
 
@@ -57,6 +59,32 @@ def op5_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    profiles = learn_profiles(docs.filter(~held_out))
+    return identify(docs, profiles, ["doc_id", held_out.alias("held_out")])
+
+
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_secrets(table(spark, folder, "documents"))
+
+    def listed(spans: Column) -> Column:
+        shown = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+        return F.array_join(shown, ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter("secrets", lambda s: s["kind"] != "guess")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("secrets")).alias("spans"),
+    )
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), tokenizer_file())
 
@@ -67,6 +95,6 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(sized, sized["words"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op5_jaccard": op5_jaccard, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op5_jaccard": op5_jaccard, "op7_language": op7_language, "op8_secrets": op8_secrets, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 
 ORACLE = {"op10_mixing": MIX}
