@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,14 +18,29 @@ from salescast.sources.staging import stage
 
 CACHED_WORDS = 400_000
 CACHED_CHARS = 48
+#: letters below this one are lower-cased and composed one by one
+SIMPLE_END = "\u0130"
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies.
+
+    Printable bytes of Latin-1 stand for themselves, the others for the letters from 256 on.
+    """
+    plain = {b for b in range(33, 256) if not 127 <= b <= 160 and b != 173}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
 
 
 class WordTokenizer:
     """Ids of whole texts, four little-endian bytes each, from the ids of their words.
 
-    For tokenizers that never join text across a space: a text's ids are then those of
-    its space-free pieces one after the other, and most pieces were seen before. The
-    memory of pieces is bounded and starts anew when full.
+    For byte-level tokenizers in lower case that drop white space and part letters from
+    marks: a text's ids are then those of its space-free pieces one after the other, and
+    most pieces were seen before. A new piece of Latin letters, with marks behind it or
+    not, goes to the merges directly, any other through the whole tokenizer. The memory of
+    pieces is bounded and starts anew when full.
     """
 
     def __init__(self, path: str):
@@ -32,19 +48,47 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def whole(self, piece: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def stem(self, letters: str) -> bytes:
+        found = self.stems.get(letters)
+        if found is None:
+            as_bytes = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
+            made = self.merges.tokenize(as_bytes)
+            found = np.array([t.id for t in made], "<u4").tobytes()
+            if len(self.stems) >= CACHED_WORDS:
+                self.stems.clear()
+            if len(letters) <= CACHED_CHARS:
+                self.stems[letters] = found
+        return found
+
+    def piece(self, piece: str) -> bytes:
+        letters = piece.rstrip(MARKS)
+        if not letters or not letters.isalpha() or max(letters) >= SIMPLE_END:
+            return self.whole(piece)
+        found = self.stem(letters.lower())
+        if len(letters) < len(piece):
+            marks = piece[len(letters) :]
+            behind = self.known.get(marks)
+            if behind is None:
+                behind = self.known[marks] = self.whole(marks)
+            found += behind
+        return found
 
     def encode(self, text: str | None) -> bytes:
         words = (text or "").replace("\n", " ").split(" ")
         known = self.known
-        if missing := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) + len(missing) > CACHED_WORDS:
-                known.clear()
-                missing = list(dict.fromkeys(words))
-            for at in range(0, len(missing), 10_000):
-                part = missing[at : at + 10_000]
-                for word, made in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                    known[word] = np.asarray(made.ids, "<u4").tobytes()
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        missing = [w for w in dict.fromkeys(words) if w not in known]
+        for word in missing:
+            known[word] = self.piece(word)
         ids = b"".join([known[w] for w in words])
         for word in missing:
             if len(word) > CACHED_CHARS:
@@ -52,6 +96,12 @@ class WordTokenizer:
         return ids
 
 
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One for each worker process, which keeps it from task to task."""
+    return WordTokenizer(path)
+
+
 PIECES = T.StructType(
     [
         T.StructField("row", T.LongType()),
@@ -73,7 +123,7 @@ def cut(
     out = T.StructType([docs.schema[key], *PIECES.fields[1:]])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer)
+        words = tokenizer_of(tokenizer)
         last = int(end_id).to_bytes(4, "little")
         for batch in batches:
             at, columns = [], [[], [], [], []]
