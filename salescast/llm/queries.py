@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from salescast.llm.fingerprints import fingerprint, lexicon, likeness, with_next
 from salescast.llm.jaccard import jaccard_components
+from salescast.llm.labelled import held_out
 from salescast.llm.langid import identify, learn_profiles
 from salescast.llm.mixing import mix, word_count
 from salescast.llm.packing import pack
+from salescast.llm.quality import score_quality
 from salescast.llm.secrets import find_secrets
 from salescast.llm.sql import MIX
+from salescast.llm.toxicity import score_toxicity
 from salescast.sources.staging import stage
 
 
@@ -54,6 +57,20 @@ def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def scored(rows: DataFrame, least: float) -> DataFrame:
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = (table(spark, folder, name) for name in ("documents", "labels"))
+    return scored(score_toxicity(docs, labels, ["doc_id", held_out().alias("held_out")]), 0.5)
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = (table(spark, folder, name) for name in ("documents", "labels"))
+    return scored(score_quality(docs, labels, ["doc_id", held_out().alias("held_out")]), 0.3)
+
+
 def op5_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
@@ -61,9 +78,9 @@ def op5_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    profiles = learn_profiles(docs.filter(~held_out))
-    return identify(docs, profiles, ["doc_id", held_out.alias("held_out")])
+    kept_back = held_out(parts=4, part=2)
+    profiles = learn_profiles(docs.filter(~kept_back))
+    return identify(docs, profiles, ["doc_id", kept_back.alias("held_out")])
 
 
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,6 +112,15 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(sized, sized["words"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op5_jaccard": op5_jaccard, "op7_language": op7_language, "op8_secrets": op8_secrets, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
+    "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
+    "op5_jaccard": op5_jaccard,
+    "op7_language": op7_language,
+    "op8_secrets": op8_secrets,
+    "op9_packing": op9_packing,
+    "op10_mixing": op10_mixing,
+}
 
 ORACLE = {"op10_mixing": MIX}
