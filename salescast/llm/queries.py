@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salescast.llm.fingerprints import fingerprint, lexicon, likeness, with_next
+from salescast.llm.html import extract
 from salescast.llm.jaccard import jaccard_components
 from salescast.llm.labelled import held_out
 from salescast.llm.langid import identify, learn_profiles
@@ -71,6 +72,11 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored(score_quality(docs, labels, ["doc_id", held_out().alias("held_out")]), 0.3)
 
 
+def op4_html(spark: SparkSession, folder: str) -> DataFrame:
+    found = extract(table(spark, folder, "pages"), ["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
@@ -116,6 +122,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
+    "op4_html": op4_html,
     "op5_jaccard": op5_jaccard,
     "op7_language": op7_language,
     "op8_secrets": op8_secrets,
