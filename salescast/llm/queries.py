@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salescast.llm.fingerprints import fingerprint, lexicon, likeness, with_next
+from salescast.llm.hamming import sign_code, top_k
 from salescast.llm.html import extract
 from salescast.llm.jaccard import jaccard_components
 from salescast.llm.labelled import held_out
@@ -14,7 +15,7 @@ from salescast.llm.mixing import mix, word_count
 from salescast.llm.packing import pack
 from salescast.llm.quality import score_quality
 from salescast.llm.secrets import find_secrets
-from salescast.llm.sql import MIX
+from salescast.llm.sql import MIX, SEARCH
 from salescast.llm.toxicity import score_toxicity
 from salescast.sources.staging import stage
 
@@ -82,6 +83,11 @@ def op5_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_search(spark: SparkSession, folder: str) -> DataFrame:
+    codes = table(spark, folder, "embeddings").select("vec_id", sign_code("embedding", 64).alias("code"))
+    return top_k(codes, codes.filter("vec_id % 20 = 0"), segments=4)
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     kept_back = held_out(parts=4, part=2)
@@ -124,10 +130,11 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_html": op4_html,
     "op5_jaccard": op5_jaccard,
+    "op6_search": op6_search,
     "op7_language": op7_language,
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE = {"op10_mixing": MIX}
+ORACLE = {"op6_search": SEARCH, "op10_mixing": MIX}

@@ -38,3 +38,17 @@ SELECT doc_id, size, source_size, target,
   CAST((floor((place + 1) * rate + start) - floor(place * rate + start)) * size AS BIGINT) AS taken
 FROM rated
 """
+
+SEARCH = """
+WITH codes AS (
+  SELECT DISTINCT vec_id, CAST(list_sum(list_transform(range(64),
+    lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS HUGEINT) << i ELSE 0 END)) AS UBIGINT) AS code
+  FROM embeddings WHERE embedding IS NOT NULL),
+pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id, CAST(bit_count(xor(q.code, r.code)) AS INTEGER) AS distance
+  FROM codes q, codes r WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, distance,
+  row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank
+FROM pairs
+QUALIFY rank <= 10
+"""
