@@ -61,11 +61,13 @@ class Scheme:
       by a difference, so some choice is the same in both sets.
     * up to 8: ``(k + 1) / 2`` parts of three, each with all choices of two of its three.
       Some part has one difference at most, which is outside of one of its choices.
-    * more: ``k + 1`` parts, each a choice by itself; one is without difference.
+    * more: ``k + 1`` parts and a few to spare, each a choice by itself; one is without
+      difference. If both sets have no more empty parts than are to spare, one of the
+      others is without difference, so empty ones count for sets with more of them only.
     """
 
     def __init__(self, largest: int, percent: int):
-        self.largest, self.percent = largest, percent
+        self.largest, self.spare = largest, 0
         self.k = max(t + 2 * (-percent * t // (100 + percent)) for t in range(max(1, 2 * largest - 30), 2 * largest + 1))
         k = self.k
         if k <= 2:
@@ -75,7 +77,8 @@ class Scheme:
             self.parts = 3 * ((k + 2) // 2)
             self.choices = [(p + i, p + j) for p in range(0, self.parts, 3) for i in range(3) for j in range(i)]
         else:
-            self.parts, self.choices = k + 1, None
+            self.spare = 3 + k // 50
+            self.parts, self.choices = k + 1 + self.spare, None
         bounds = [FULL * i // self.parts for i in range(1, self.parts)]
         self.bounds = np.array(bounds, np.uint64)
         if self.choices:
@@ -127,7 +130,7 @@ def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
             continue  # only equal sets are similar
         found, empty = s.of(hashes)
         out.append(found[~empty])
-        if empty.any():
+        if empty.sum() > s.spare:
             finer, _ = s.of(np.sort(mixed(hashes * M1 + M2)))
             out.append((mixed(found[empty])[:, None] + finer[None, :]).ravel())
     return np.concatenate(out) if out else np.empty(0, np.uint64)
@@ -163,9 +166,12 @@ def candidates(docs: DataFrame, text: str, words: int, percent: int) -> DataFram
         starts[1:] = sig[1:] != sig[:-1]
         head = member[starts][np.cumsum(starts) - 1]
         kept = starts | (member != head)
+        sig, member, head, starts = sig[kept], member[kept], head[kept], starts[kept]
+        # rows that are settled already go anywhere
+        at = np.where(starts, sig, mixed(sig.view(np.uint64) ^ mixed(member.view(np.uint64))).view(np.int64))
         return pa.RecordBatch.from_arrays(
-            [pa.array(sig[kept]), pa.array(member[kept]), pa.array(head[kept], mask=starts[kept])],
-            names=["sig", "a", "head"],
+            [pa.array(at), pa.array(member), pa.array(head, mask=starts), pa.array(sig, mask=starts)],
+            names=["at", "a", "head", "sig"],
         )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,12 +194,10 @@ def candidates(docs: DataFrame, text: str, words: int, percent: int) -> DataFram
         if held:
             yield combined(sigs, ids)
 
-    made = docs.select(text).mapInArrow(rows, "sig long, a long, head long")
-    # rows that are settled already go anywhere
-    dealt = made.withColumn("at", F.when(F.col("head").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "a")))
+    made = docs.select(text).mapInArrow(rows, "at long, a long, head long, sig long")
     bucket = Window.partitionBy("at").orderBy("a")
-    found = dealt.withColumn("b", F.coalesce("head", F.first("a").over(bucket)))
-    return stage(found.filter("a != b").select("sig", "a", "b"))
+    found = made.withColumn("b", F.coalesce("head", F.first("a").over(bucket)))
+    return stage(found.filter("a != b").select(F.coalesce("sig", "at").alias("sig"), "a", "b"))
 
 
 def texts_of(
