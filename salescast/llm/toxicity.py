@@ -19,6 +19,7 @@ WORD = re.compile(r"\w+")
 STEM_SIZES = range(3, 8)
 SEEN = 400_000
 WINDOW = 6
+NAMES = ["_total", "_most", "_abuse", "_quoted"]
 
 # fixed values: words that report what someone else says, pairs of quotation marks
 REPORTING = frozenset(
@@ -269,7 +270,8 @@ def score_toxicity(
     ``per_label`` labelled texts of each kind that are not held out. Texts are all that is
     scored: NULL and empty ones have no hits. With one kind of label only, or none, all
     scores are 0. Rows are independent, so repeated ones and NULL keys stay. An empty table
-    gives no rows. Returns ``keep``, ``score`` and ``hits`` (weighed, log).
+    gives no rows. Returns ``keep``, ``score`` and ``hits`` (weighed, log). Rows whose columns
+    may have these names are kept as one struct.
     """
     sample = labelled_texts(docs, labels, label, per_label, key, text)
     lexicon = learn_lexicon(sample)
@@ -281,14 +283,14 @@ def score_toxicity(
         for batch in batches:
             found = np.array([scorer.features(t.as_py()) for t in batch.column(batch.num_columns - 1)]).reshape(-1, 4)
             columns = [pa.array(c) for c in found.T]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "f0", "f1", "f2", "f3"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *NAMES])
 
     def featured(rows: DataFrame) -> DataFrame:
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-        return rows.mapInArrow(features, kinds + "".join(f", f{i} double" for i in range(4)))
+        return rows.mapInArrow(features, kinds + "".join(f", {n} double" for n in NAMES))
 
     got = np.array([tuple(r) for r in featured(sample.select("label", "text")).collect()]).reshape(-1, 5)
-    names = [f"f{i}" for i in range(4)]
+    names = NAMES
     if len(set(got[:, 0])) == 2:
         model = Logistic(got[:, 1:], got[:, 0])
         each = zip(names, model.mean, model.scale, model.w[1:])
@@ -297,4 +299,4 @@ def score_toxicity(
     else:
         score = F.lit(0.0)
     scored = featured(docs.select(*keep, F.col(text).alias("_text")))
-    return scored.select(*scored.columns[:-4], score.alias("score"), F.col("f0").alias("hits"))
+    return scored.select(*scored.columns[:-4], score.alias("score"), F.col(NAMES[0]).alias("hits"))
