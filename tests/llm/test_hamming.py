@@ -1,0 +1,45 @@
+import random
+
+from helpers import as_rows
+from pyspark.sql import functions as F
+
+from salescast.llm.hamming import masks, sign_code, top_k
+
+
+def brute(rows, queries, k):
+    out = []
+    for q, qc in set(queries):
+        near = sorted((sum((a ^ b).bit_count() for a, b in zip(qc, c)), i) for i, c in set(rows))[:k]
+        out += [(q, i, d, n + 1) for n, (d, i) in enumerate(near)]
+    return sorted(out, key=repr)
+
+
+def test_against_brute_force_with_ties_and_copies(spark):
+    draw = random.Random(4)
+    centers = [tuple(draw.getrandbits(16) for _ in range(3)) for _ in range(5)]
+    rows = []
+    for i in range(400):
+        c = list(draw.choice(centers)) if i % 3 else [draw.getrandbits(16) for _ in range(3)]
+        for _ in range(draw.randint(0, 6)):
+            c[draw.randrange(3)] ^= 1 << draw.randrange(16)
+        rows.append((i, tuple(c)))
+    rows += [(1000 + i, centers[0]) for i in range(200)] + rows[:5]
+    frame = spark.createDataFrame([(i, list(c)) for i, c in rows], "vec_id long, code array<int>")
+    for k in (1, 10):
+        queries = [r for r in rows if r[0] % 20 == 0]
+        assert as_rows(top_k(frame, frame.filter("vec_id % 20 = 0"), 3, k)) == brute(rows, queries, k)
+
+
+def test_few_rows_nulls_and_no_rows(spark):
+    rows = [(1, [0]), (2, [65535]), (None, [1]), (3, None)]
+    frame = spark.createDataFrame(rows, "vec_id long, code array<int>").withColumns({"rank": F.lit(1), "distance": F.lit(2)})
+    assert as_rows(top_k(frame, frame, 1, 10)) == [(1, 1, 0, 1), (1, 2, 16, 2), (2, 1, 16, 2), (2, 2, 0, 1)]
+    assert top_k(frame.limit(0), frame, 1).count() == 0
+    assert top_k(frame, frame.limit(0), 1).count() == 0
+
+
+def test_codes(spark):
+    rows = [([0.5, -1.0, None, float("nan"), 2.0],), (None,), ([],)]
+    got = [r.c for r in spark.createDataFrame(rows, "v array<float>").select(sign_code("v", 18).alias("c")).collect()]
+    assert got == [[0b10001, 0], None, [0, 0]]
+    assert sorted(m for r in range(17) for m in masks(r)) == list(range(65536))
