@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,11 +13,11 @@ from pyspark.sql import functions as F
 from salescast.operators.joins import fits_broadcast
 from salescast.sources.staging import stage
 
-WIDTH = 16
+WORD = 16
 
 
 def sign_code(vector: str | Column, dims: int) -> Column:
-    """Code of a vector: bit i is set where component i is above 0; whole segments of 16 bits.
+    """Code of a vector: bit i is set where component i is above 0; whole words of 16 bits.
 
     Components that are missing, NULL or NaN are 0 bits; a NULL vector has no code.
     """
@@ -24,17 +25,37 @@ def sign_code(vector: str | Column, dims: int) -> Column:
 
     def bit(i: int) -> Column:
         x = F.get(vector, F.lit(i))
-        return F.when((x > 0) & ~F.isnan(x), 1 << (i % WIDTH)).otherwise(0)
+        return F.when((x > 0) & ~F.isnan(x), 1 << (i % WORD)).otherwise(0)
 
-    segments = [
-        reduce(add, [bit(i) for i in range(at, min(at + WIDTH, dims))]) for at in range(0, dims, WIDTH)
+    words = [
+        reduce(add, [bit(i) for i in range(at, min(at + WORD, dims))]) for at in range(0, dims, WORD)
     ]
-    return F.when(vector.isNotNull(), F.array(*segments))
+    return F.when(vector.isNotNull(), F.array(*words))
 
 
-def masks(radius: int) -> list[int]:
-    """All segment values with ``radius`` bits."""
-    return [sum(1 << i for i in bits) for bits in combinations(range(WIDTH), radius)]
+def masks(radius: int, width: int) -> list[int]:
+    """All values of ``width`` bits with ``radius`` ones."""
+    return [sum(1 << i for i in bits) for bits in combinations(range(width), radius)]
+
+
+def widths(words: int, codes: int) -> list[int]:
+    """Bits of each segment: about as many as tell the codes apart, at most 16 and at least 4."""
+    bits = WORD * words
+    count = math.ceil(bits / min(WORD, max(4, round(math.log2(max(2, codes))))))
+    return [(i + 1) * bits // count - i * bits // count for i in range(count)]
+
+
+def segments(code: Column, sizes: list[int]) -> Column:
+    """The code's words cut anew into segments."""
+    found, at = [], 0
+    for width in sizes:
+        word, offset = divmod(at, WORD)
+        value = F.shiftright(code[word], offset)
+        if offset + width > WORD:
+            value = value.bitwiseOR(F.shiftleft(code[word + 1], WORD - offset))
+        found.append(value.bitwiseAND(F.lit((1 << width) - 1)))
+        at += width
+    return F.array(*found)
 
 
 def smallest(rows: DataFrame, group: list[str], order: list[Column], k: int, spread: Column) -> DataFrame:
@@ -45,16 +66,17 @@ def smallest(rows: DataFrame, group: list[str], order: list[Column], k: int, spr
     return some.withColumn("_n", F.row_number().over(whole)).filter(F.col("_n") <= k)
 
 
-def top_k(rows: DataFrame, queries: DataFrame, segments: int, k: int = 10, key: str = "vec_id", code: str = "code") -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, words: int, k: int = 10, key: str = "vec_id", code: str = "code") -> DataFrame:
     """The ``k`` rows of the smallest Hamming distance to each query, ties by key.
 
-    Codes are arrays of ``segments`` numbers of 16 bits. The index holds each distinct
-    code once per segment, with its ``k`` smallest keys, so equal codes cost nothing
-    more. Round r looks up, in every segment, the values that differ from the query's in
-    exactly r bits, and measures the codes found; a code is taken where it is found first.
-    After round r every code up to a distance of segments * (r + 1) - 1 has been seen, so
-    queries whose k-th distance is no larger are done; the others go on. After the last
-    radius all codes have been seen. Equal queries are searched once.
+    Codes are arrays of ``words`` numbers of 16 bits, cut into segments of about as many
+    bits as the logarithm of the number of codes, so that a look-up finds few. The index
+    holds each distinct code once per segment, with its ``k`` smallest keys, so equal codes
+    cost nothing more. Round r looks up, in every segment, the values that differ from the
+    query's in exactly r bits, and measures the codes found; a code is taken where it is
+    found first. After round r every code up to a distance of segments * (r + 1) - 1 has
+    been seen, so queries whose k-th distance is no larger are done; the others go on.
+    After the last radius all codes have been seen. Equal queries are searched once.
 
     Rows and queries with a NULL key or code are left out; a query is found among the rows
     if it is one. Repeated (key, code) rows are one. With fewer than ``k`` rows all are
@@ -64,33 +86,35 @@ def top_k(rows: DataFrame, queries: DataFrame, segments: int, k: int = 10, key:
     asked = queries.select(F.col(key).alias("query_id"), F.col(code).alias("q")).filter("query_id is not null and q is not null").distinct()
     listed = smallest(known, ["c"], [F.col("id")], k, F.col("id"))
     codes = stage(listed.groupBy("c").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    each = F.posexplode("c").alias("seg", "value")
-    index = stage(codes.select(each, "c", F.col("ids")[0].alias("first")))
-    small = fits_broadcast(index.select("seg", "value", "c", "first"))
-    right = F.broadcast(index) if small else index
-    active = stage(asked.select("q").distinct())
-    best, total = None, codes.count()
-    done = []
-    for radius in range(WIDTH + 1):
-        probes = active.select("q", F.posexplode("q").alias("seg", "own")).select(
-            "q", "seg", F.explode(F.array(*map(F.lit, masks(radius)))).alias("mask"), "own"
+    total = codes.count()
+    sizes = widths(words, total)
+    cut = codes.select("c", F.col("ids")[0].alias("first"), segments(F.col("c"), sizes).alias("sc"))
+    index = stage(cut.select(F.posexplode("sc").alias("seg", "value"), "c", "sc", "first"))
+    right = F.broadcast(index) if fits_broadcast(index) else index
+    active = stage(asked.select("q", segments(F.col("q"), sizes).alias("sq")).distinct())
+    best, done, last = None, [], max(sizes)
+    every = range(len(sizes))
+    far = [F.bit_count(F.col("sq")[t].bitwiseXOR(F.col("sc")[t])) for t in every]
+    for radius in range(last + 1):
+        flips = F.array(*[F.array(*map(F.lit, masks(radius, w) or [0])) for w in sizes])
+        probes = active.select("q", "sq", F.posexplode("sq").alias("seg", "own")).filter(
+            F.get(F.array(*map(F.lit, sizes)), F.col("seg")) >= radius
         )
-        probes = probes.select("q", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        far = [F.bit_count(F.col("q")[t].bitwiseXOR(F.col("c")[t])) for t in range(segments)]
-        earlier = reduce(
-            lambda a, b: a & b,
-            [(F.col("seg") <= t) | (far[t] > radius) for t in range(segments)]
-            + [(F.col("seg") >= t) | (far[t] >= radius) for t in range(segments)],
+        probes = probes.select("q", "sq", "seg", "own", F.explode(F.get(flips, F.col("seg"))).alias("mask"))
+        probes = probes.select("q", "sq", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        # found in no earlier round, and in no earlier segment of this one
+        first = reduce(
+            and_,
+            [(F.col("seg") <= t) | (far[t] > radius) for t in every] + [(F.col("seg") >= t) | (far[t] >= radius) for t in every],
         )
-        found = probes.join(right, ["seg", "value"]).filter(earlier).select("q", "c", "first", reduce(add, far).alias("distance"))
+        found = probes.join(right, ["seg", "value"]).filter(first)
+        found = found.select("q", "sq", "c", "first", reduce(add, far).alias("distance"))
         pool = found if best is None else best.unionByName(found)
         near = Window.partitionBy("q").orderBy("distance", "first")
         pool = stage(pool.withColumn("_n", F.row_number().over(near)).filter(F.col("_n") <= k).drop("_n"))
         reached = pool.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
-        sure = reached.filter(
-            (F.col("n") >= min(k, total)) & (F.col("far") <= segments * (radius + 1) - 1)
-            | F.lit(radius == WIDTH)
-        ).select("q")
+        covered = (F.col("n") >= min(k, total)) & (F.col("far") <= len(sizes) * (radius + 1) - 1)
+        sure = reached.filter(covered | F.lit(radius == last)).select("q")
         done.append(pool.join(sure, "q"))
         best = stage(pool.join(sure, "q", "left_anti"))
         active = stage(active.join(sure, "q", "left_anti"))

@@ -85,7 +85,7 @@ def op5_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_search(spark: SparkSession, folder: str) -> DataFrame:
     codes = table(spark, folder, "embeddings").select("vec_id", sign_code("embedding", 64).alias("code"))
-    return top_k(codes, codes.filter("vec_id % 20 = 0"), segments=4)
+    return top_k(codes, codes.filter("vec_id % 20 = 0"), words=4)
 
 
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:

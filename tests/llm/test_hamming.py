@@ -3,7 +3,7 @@ import random
 from helpers import as_rows
 from pyspark.sql import functions as F
 
-from salescast.llm.hamming import masks, sign_code, top_k
+from salescast.llm.hamming import masks, sign_code, top_k, widths
 
 
 def brute(rows, queries, k):
@@ -42,4 +42,6 @@ def test_codes(spark):
     rows = [([0.5, -1.0, None, float("nan"), 2.0],), (None,), ([],)]
     got = [r.c for r in spark.createDataFrame(rows, "v array<float>").select(sign_code("v", 18).alias("c")).collect()]
     assert got == [[0b10001, 0], None, [0, 0]]
-    assert sorted(m for r in range(17) for m in masks(r)) == list(range(65536))
+    assert sorted(m for r in range(17) for m in masks(r, 16)) == list(range(65536))
+    for words, codes in ((1, 1), (3, 500), (4, 10_000), (4, 10**9)):
+        assert sum(widths(words, codes)) == 16 * words and max(widths(words, codes)) <= 16
