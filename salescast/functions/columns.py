@@ -1,6 +1,8 @@
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,6 +13,29 @@ def smoothed(s: Column, n: Column, prior: Column, m: float) -> Column:
     return F.when(n + F.lit(m) == 0, prior).otherwise((s + m * prior) / (n + m))
 
 
+SCALE = 12
+SLACK = 1e-9
+
+
+def summable(value: Column, scale: int = SCALE) -> Column:
+    """``value`` as a decimal, whose sums do not depend on the order of the rows.
+
+    ``scale`` places are kept. A value that these would change by more than one part in
+    a thousand million is an error: give it a larger scale, or a larger unit.
+    """
+    kept, given = value.cast(f"decimal(38,{scale})"), value.cast("double")
+    changed = F.abs(kept.cast("double") - given) > F.abs(given) * F.lit(SLACK)
+    message = F.concat(F.lit(f"more than {scale} decimal places: "), value.cast("string"))
+    return F.when(changed, F.raise_error(message).cast(f"decimal(38,{scale})")).otherwise(kept)
+
+
+def refuse(df: DataFrame, names: Iterable[str], what: str) -> None:
+    """Fail if ``df`` has columns that are about to be added."""
+    taken = {c.lower() for c in df.columns} & {n.lower() for n in names}
+    if taken:
+        raise ValueError(f"{what} adds columns that are there already: {sorted(taken)}")
+
+
 def bucket(value: Column, width: float) -> Column:
     """Number of the interval of ``width`` that holds ``value``."""
     return F.floor(value / width).cast("long")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from salescast.functions.columns import SCALE
+
 
 def accuracy(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """One row: ``n_rows``, ``accuracy`` and the share of the commonest label.
@@ -27,13 +29,24 @@ def accuracy(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 
 def forecast(
-    df: DataFrame, keys: list[str], qty: str = "qty_expected", price: str = "price"
+    df: DataFrame,
+    keys: list[str],
+    qty: str = "qty_expected",
+    price: str = "price",
+    scale: int = SCALE,
 ) -> DataFrame:
-    """Expected quantity and revenue per key; decimal sums do not depend on their order."""
-    amount = F.col(qty).cast("decimal(18,6)")
-    money = amount * F.col(price).cast("decimal(18,2)")
+    """Expected quantity and revenue per key; decimal sums do not depend on their order.
+
+    A row without a price counts in ``n_unpriced``, its quantity in ``expected_qty``, and
+    adds nothing to ``expected_revenue``, which is NULL if no row has a price. Results of
+    a model have digits without end; ``scale`` places of them are added up.
+    """
+    amount = F.col(qty).cast("double")
+    money, places = amount * F.col(price).cast("double"), f"decimal(38,{scale})"
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum(amount).cast("double").alias("expected_qty"),
-        F.sum(money).cast("decimal(38,2)").cast("double").alias("expected_revenue"),
+        F.count_if(F.col(price).isNull()).alias("n_unpriced"),
+        F.sum(amount.cast(places)).cast("double").alias("expected_qty"),
+        F.sum(money.cast(places)).cast("double").alias("expected_revenue"),
     )
+

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from salescast.functions.columns import day_of
+from salescast.functions.columns import day_of, refuse, summable
 from salescast.operators.joins import lookup_join, slices_of
 from salescast.sources.staging import stage
 
@@ -20,21 +20,38 @@ def to_score_shape(df: DataFrame, behaviour_cols: list[str]) -> DataFrame:
     return df.drop(*behaviour_cols)
 
 
-def split_by_time(df: DataFrame, ts: str, cutoff: str) -> tuple[DataFrame, DataFrame]:
-    """Rows before ``cutoff`` and rows from it on; both filters reach the scan."""
+def split_by_time(df: DataFrame, ts: str, cutoff: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows before ``cutoff``, rows from it on, and rows without a time.
+
+    Every row is in one of the three; all filters reach the scan.
+    """
     at = F.lit(cutoff).cast(df.schema[ts].dataType)
-    return df.filter(F.col(ts) < at), df.filter(F.col(ts) >= at)
+    return df.filter(F.col(ts) < at), df.filter(F.col(ts) >= at), df.filter(F.col(ts).isNull())
 
 
 def attach_items(
-    df: DataFrame, items: DataFrame, on: str, row_id: list[str] | None = None
+    df: DataFrame, items: DataFrame, on: str, row_id: list[str] | None = None, unique: bool = False
 ) -> DataFrame:
-    """Add the attributes of the item, NULL if it is not listed. ``on`` is unique in ``items``."""
+    """Add the attributes of the item, NULL if it is not listed.
+
+    An item listed twice is an error, since it would multiply rows. ``unique`` spares the
+    count where that has been checked already.
+    """
+    if not unique:
+        refuse_repeated(items, on)
     return lookup_join(df, items.filter(F.col(on).isNotNull()), [on], row_id=row_id)
 
 
+def refuse_repeated(items: DataFrame, on: str) -> None:
+    """Fail if a key is in more than one row; NULL is no key."""
+    twice = items.filter(F.col(on).isNotNull()).groupBy(on).count().filter("count > 1").limit(3).collect()
+    if twice:
+        raise ValueError(f"listed more than once in {on}: {[r[0] for r in twice]}")
+
+
 def calendar(df: DataFrame, ts: str, origin: str) -> DataFrame:
-    """``day``, ``day_of_week`` (Sunday 1), ``month`` and days since ``origin``."""
+    """Add ``day``, ``day_of_week`` (Sunday 1), ``month`` and ``day_number``, days since ``origin``."""
+    refuse(df, ["day", "day_of_week", "month", "day_number"], "calendar")
     day = day_of(ts)
     return df.withColumns(
         {
@@ -56,7 +73,8 @@ def daily_sums(
     """Per key and day (``_day``): ``contacts``, the sum of each measure, ``extra`` aggregates.
 
     The one pass over the contacts that history needs. It has one row per day however
-    busy a key is, and partial sums are made before the shuffle.
+    busy a key is, and partial sums are made before the shuffle. Rows without a time are
+    summed with ``_day`` NULL, which history leaves out.
     """
     return df.groupBy(key, day_of(ts).alias("_day")).agg(
         F.count(F.lit(1)).alias("contacts"),
@@ -65,6 +83,11 @@ def daily_sums(
     )
 
 
+def history_names(measures: Iterable[str], prefix: str) -> list[str]:
+    """Columns of the sums that history adds."""
+    return [f"{prefix}_{m}_before" for m in ("contacts", *measures)]
+
+
 def history_table(
     daily: DataFrame,
     key: str,
@@ -76,11 +99,12 @@ def history_table(
 
     ``extra`` columns may use windows over ``key``, which cost no further shuffle.
     """
-    by_day = W.partitionBy(key).orderBy("_day")
+    # the row without a day comes last, so it is earlier than none
+    by_day = W.partitionBy(key).orderBy(F.col("_day").asc_nulls_last())
     earlier = by_day.rowsBetween(W.unboundedPreceding, -1)
     sums = [
-        F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"{prefix}_{m}_before")
-        for m in ("contacts", *measures)
+        F.when(F.col("_day").isNotNull(), F.coalesce(F.sum(m).over(earlier), F.lit(0))).alias(name)
+        for m, name in zip(("contacts", *measures), history_names(measures, prefix))
     ]
     last = F.lag("_day").over(by_day)
     return daily.select(
@@ -112,8 +136,9 @@ def history(
     """Add sums over the earlier days of the row's ``key``, and days since the last one.
 
     Columns ``<prefix>_contacts_before``, ``<prefix>_<measure>_before`` (0 without an
-    earlier day) and ``<prefix>_days_since`` (NULL without one). Measures should be
-    whole numbers or decimals, whose sums do not depend on order.
+    earlier day) and ``<prefix>_days_since`` (NULL without one). Rows without a time have
+    NULL in all, and are in nobody's history. Measures should be whole numbers or decimals
+    (``summable``), whose sums do not depend on order.
     """
     table = stage(history_table(daily_sums(df, key, ts, measures), key, measures, prefix))
     return history_join(df, table, key, ts, row_id)
@@ -130,8 +155,12 @@ def history_totals(
 
     ``extra`` are further aggregates.
     """
+    dated = F.col("_day").isNotNull()
     return daily.groupBy(key).agg(
-        *[F.sum(m).alias(f"{prefix}_{m}_before") for m in ("contacts", *measures)],
+        *[
+            F.sum(F.when(dated, F.col(m))).alias(name)
+            for m, name in zip(("contacts", *measures), history_names(measures, prefix))
+        ],
         F.max("_day").alias("_last"),
         *extra,
     )
@@ -142,15 +171,22 @@ def history_apply(
     totals: DataFrame,
     key: str,
     ts: str,
+    measures: Iterable[str],
     prefix: str,
     row_id: list[str] | None = None,
 ) -> DataFrame:
-    """Add staged ``history_totals`` to later rows, in the columns that ``history`` gives."""
+    """Add staged ``history_totals`` to later rows, in the columns that ``history`` gives.
+
+    The key stays as it is, of any type; a NULL key has the history of NULL keys.
+    """
     joined = lookup_join(df, totals, [key], row_id=row_id)
-    sums = [c for c in totals.columns if c.startswith(f"{prefix}_")]
+    dated = day_of(ts).isNotNull()
+    sums = {
+        c: F.when(dated, F.coalesce(F.col(c), F.lit(0).cast(totals.schema[c].dataType)))
+        for c in history_names(measures, prefix)
+    }
     return joined.withColumns(
-        {c: F.coalesce(F.col(c), F.lit(0)).cast(totals.schema[c].dataType) for c in sums}
-        | {f"{prefix}_days_since": F.date_diff(day_of(ts), F.col("_last"))}
+        sums | {f"{prefix}_days_since": F.date_diff(day_of(ts), F.col("_last"))}
     ).drop("_last")
 
 
@@ -162,8 +198,9 @@ def price_vs_peers(
     A group may hold most items, so none is gathered in one task: items are counted
     per group and price, prices cut into ranges at common quantiles, and the rank is
     the count in lower ranges plus the count below within the range. Where the cuts
-    fall affects the size of tasks, not the result. Money adds up as decimals.
+    fall affects the size of tasks, not the result. Money adds up as decimals (``summable``).
     """
+    refuse(items, ["peer_price", "price_ratio", "price_rank"], "price_vs_peers")
     keys = [group, price]
     counts = stage(
         items.filter(F.col(price).isNotNull())
@@ -177,7 +214,7 @@ def price_vs_peers(
     ranged = Bucketizer(
         splits=splits, inputCol=price, outputCol="_range", handleInvalid="keep"
     ).transform(counts)
-    money = F.col(price).cast("decimal(18,2)") * F.col("_rows")
+    money = summable(F.col(price).cast("double") * F.col("_rows"))
     in_range = ranged.groupBy(group, "_range").agg(
         F.sum("_rows").alias("_n"), F.sum(money).alias("_money")
     )
@@ -222,8 +259,7 @@ def price_change(df: DataFrame, item: str, ts: str, revenue: Column, quantity: C
     """
     daily = df.groupBy(item, day_of(ts).alias("day")).agg(
         F.try_divide(
-            F.sum(revenue.cast("decimal(18,2)")).cast("double"),
-            F.sum(quantity.cast("decimal(18,2)")).cast("double"),
+            F.sum(summable(revenue)).cast("double"), F.sum(summable(quantity)).cast("double")
         ).alias("price")
     )
     previous = F.lag("price").over(W.partitionBy(item).orderBy("day"))

@@ -9,7 +9,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescast.functions.columns import combine_layers
+from salescast.functions.columns import combine_layers, refuse
 
 SEED = 42
 
@@ -51,6 +51,7 @@ def score_buy_layer(
     df: DataFrame, model: GBTClassificationModel, features: list[str], threshold: float = 0.5
 ) -> DataFrame:
     """Add ``p_buy`` and ``buy_predicted``."""
+    refuse(df, ["features", "buy_probability", "buy_prediction", "buy_raw", "p_buy", "buy_predicted"], "scoring")
     p = vector_to_array("buy_probability")[1]
     scored = model.transform(assemble(df, features)).select(*df.columns, p.alias("p_buy"))
     return scored.withColumn("buy_predicted", (F.col("p_buy") >= threshold).cast("int"))
@@ -59,9 +60,10 @@ def score_buy_layer(
 def score_amount_layer(
     df: DataFrame, model: GBTRegressionModel, features: list[str]
 ) -> DataFrame:
-    """Add ``amount``, the quantity expected of a customer who does buy."""
+    """Add ``amount_predicted``, the quantity expected of a customer who does buy."""
+    refuse(df, ["features", "amount_prediction", "amount_predicted"], "scoring")
     scored = model.transform(assemble(df, features))
-    return scored.select(*df.columns, F.col("amount_prediction").alias("amount"))
+    return scored.select(*df.columns, F.col("amount_prediction").alias("amount_predicted"))
 
 
 def score_two_layer(
@@ -71,13 +73,14 @@ def score_two_layer(
     features: list[str],
     threshold: float = 0.5,
 ) -> DataFrame:
-    """Add ``p_buy``, ``buy_predicted``, ``amount``, ``qty_gated``, ``qty_expected``.
+    """Add ``p_buy``, ``buy_predicted``, ``amount_predicted``, ``qty_gated``, ``qty_expected``.
 
     Row by row, without a shuffle.
     """
+    refuse(df, ["qty_gated", "qty_expected"], "scoring")
     bought = score_buy_layer(df, buy_layer, features, threshold)
     both = score_amount_layer(bought, amount_layer, features)
-    return both.select("*", *combine_layers("p_buy", "amount", threshold))
+    return both.select("*", *combine_layers("p_buy", "amount_predicted", threshold))
 
 
 def feature_importance(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescast.functions.columns import bucket, combine_layers, crossed
+from salescast.functions.columns import bucket, combine_layers, crossed, summable
 from salescast.operators.encode import (
     likelihood_apply,
     likelihood_fit,
@@ -32,12 +32,13 @@ from salescast.operators.layers import (
     score_amount_layer,
     score_buy_layer,
 )
-from salescast.plans.forecaster import feature_names, fit_forecaster, prepare_training
+from salescast.plans.forecaster import feature_columns, fit_forecaster, prepare_training
 from salescast.plans.testbed import (
     CUTOFF,
     ORIGIN,
     ROLES,
     all_contacts,
+    all_events,
     contacts,
     items,
     iso_day,
@@ -52,11 +53,11 @@ ROW = ["event_id"]
 
 
 def scan_items(spark: SparkSession, folder: str) -> DataFrame:
-    return items(spark, folder).select("p_name", *ITEM_COLUMNS)
+    return table(spark, folder, "part").select("p_name", *ITEM_COLUMNS)
 
 
 def scan_contacts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = contacts(spark, folder)
+    rows = all_events(spark, folder)
     return rows.select(
         "event_id", iso_day(), "user_id", "p_partkey", "event_type", "value", "buy", "amount"
     )
@@ -72,7 +73,7 @@ def attach(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def profile(spark: SparkSession, folder: str) -> DataFrame:
-    return null_profile(scan_items(spark, folder))
+    return null_profile(items(spark, folder).select("p_name", *ITEM_COLUMNS))
 
 
 def likelihood_user(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,7 +125,7 @@ def calendar_days(spark: SparkSession, folder: str) -> DataFrame:
 def _measures() -> dict:
     return {
         "buys": F.col("buy").cast("long"),
-        "qty": F.coalesce(F.col("amount"), F.lit(0.0)).cast("decimal(18,2)"),
+        "qty": F.coalesce(summable(F.col("amount")), F.lit(0)),
     }
 
 
@@ -155,7 +156,7 @@ def score_row_history(spark: SparkSession, folder: str) -> DataFrame:
     daily = daily_sums(contacts(spark, folder), "user_id", "ts", _measures())
     totals = stage(history_totals(daily, "user_id", _measures(), "user"))
     rows = score_rows(spark, folder).select("event_id", "ts", "user_id")
-    wide = history_apply(rows, totals, "user_id", "ts", "user", ROW)
+    wide = history_apply(rows, totals, "user_id", "ts", _measures(), "user", ROW)
     return wide.select("event_id", "user_id", *_history_columns("user"))
 
 
@@ -176,11 +177,12 @@ def split_counts(spark: SparkSession, folder: str) -> DataFrame:
         return rows.agg(
             F.lit(name).alias("part"),
             F.count(F.lit(1)).alias("n_rows"),
-            F.sum("buy").alias("n_buys"),
+            F.coalesce(F.sum("buy"), F.lit(0)).alias("n_buys"),
         )
 
-    train, test = split_by_time(all_contacts(spark, folder), "ts", CUTOFF)
-    return counted("train", train).unionByName(counted("test", test))
+    train, test, untimed = split_by_time(all_contacts(spark, folder), "ts", CUTOFF)
+    parts = counted("train", train).unionByName(counted("test", test))
+    return parts.unionByName(counted("untimed", untimed))
 
 
 def two_layer_combine(spark: SparkSession, folder: str) -> DataFrame:
@@ -203,7 +205,32 @@ def fixed_forecast(spark: SparkSession, folder: str) -> DataFrame:
         "qty_expected", F.col("p_partkey") % 10 / F.lit(10.0) * F.col("value")
     )
     wide = attach_items(scored, items(spark, folder), "p_partkey", ROW)
-    return forecast(wide, ["p_type"], price="p_retailprice")
+    return forecast(wide, ["p_type"], price="p_retailprice", scale=6)
+
+
+def small_peers(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices of a fraction of a cent."""
+    parts = table(spark, folder, "part").select(
+        "p_partkey", "p_type", (F.col("p_retailprice") / 1000).alias("price")
+    )
+    return price_vs_peers(parts, "p_type", "price", ["p_partkey"])
+
+
+def small_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Unit prices from amounts of a thousandth."""
+    sales = table(spark, folder, "lineitem")
+    revenue, quantity = F.col("l_extendedprice") / 1000, F.col("l_quantity") / 1000
+    daily = price_change(sales, "l_partkey", "l_shipdate", revenue, quantity)
+    return daily.withColumn("day", F.col("day").cast("string"))
+
+
+def unpriced_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    """Only two thirds of the items are listed; prices are of a fraction of a cent."""
+    scored = later_contacts(spark, folder).withColumn("qty_expected", F.col("value") / 8)
+    listed = items(spark, folder).filter("p_partkey % 3 != 0").select(
+        "p_partkey", (F.col("p_retailprice") / 1000).alias("price")
+    )
+    return forecast(attach_items(scored, listed, "p_partkey", ROW), ["p_partkey"])
 
 
 def _fitted(spark: SparkSession, folder: str):
@@ -212,22 +239,24 @@ def _fitted(spark: SparkSession, folder: str):
 
 def buy_layer(spark: SparkSession, folder: str) -> DataFrame:
     fitted, train = prepare_training(contacts(spark, folder), items(spark, folder), ROLES)
-    model = fit_buy_layer(train, feature_names(ROLES), "buy")
+    model = fit_buy_layer(train, feature_columns(ROLES), "buy")
     rows = fitted.features(score_rows(spark, folder))
-    scored = score_buy_layer(rows, model, feature_names(ROLES))
+    scored = score_buy_layer(rows, model, feature_columns(ROLES))
     return scored.select("event_id", "p_buy", "buy_predicted")
 
 
 def amount_layer(spark: SparkSession, folder: str) -> DataFrame:
     fitted, train = prepare_training(contacts(spark, folder), items(spark, folder), ROLES)
-    model = fit_amount_layer(train.filter("buy = 1"), feature_names(ROLES), "amount")
+    model = fit_amount_layer(train.filter("buy = 1"), feature_columns(ROLES), "amount")
     rows = fitted.features(score_rows(spark, folder))
-    return score_amount_layer(rows, model, feature_names(ROLES)).select("event_id", "amount")
+    scored = score_amount_layer(rows, model, feature_columns(ROLES))
+    return scored.select("event_id", F.col("amount_predicted").alias("amount"))
 
 
 def two_layer_scores(spark: SparkSession, folder: str) -> DataFrame:
     scored = _fitted(spark, folder).score(score_rows(spark, folder))
-    return scored.select("event_id", "p_buy", "amount", "qty_gated", "qty_expected")
+    amount = F.col("amount_predicted").alias("amount")
+    return scored.select("event_id", "p_buy", amount, "qty_gated", "qty_expected")
 
 
 def importances(spark: SparkSession, folder: str) -> DataFrame:
@@ -257,6 +286,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "two_layer_combine": two_layer_combine,
     "accuracy": rule_accuracy,
     "forecast": fixed_forecast,
+    "forecast_unpriced": unpriced_forecast,
+    "price_vs_peers_small": small_peers,
+    "price_change_small": small_changes,
     "buy_layer": buy_layer,
     "amount_layer": amount_layer,
     "two_layer_scores": two_layer_scores,

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from salescast.functions.columns import crossed, fold_of, smoothed
+from salescast.functions.columns import crossed, day_of, fold_of, refuse, smoothed, summable
 from salescast.operators.encode import (
     encoding_columns,
     encodings_from_counts,
@@ -27,13 +27,14 @@ from salescast.operators.encode import (
 from salescast.operators.evaluate import accuracy
 from salescast.operators.features import (
     attach_items,
-    calendar,
     daily_sums,
     history_apply,
     history_join,
+    history_names,
     history_table,
     history_totals,
     price_vs_peers,
+    refuse_repeated,
 )
 from salescast.operators.fill import nb_fill
 from salescast.operators.joins import fits_broadcast, lookup_join
@@ -45,7 +46,8 @@ from salescast.operators.layers import (
 )
 from salescast.sources.staging import stage
 
-NO_VALUE = -1.0  # stands for NULL in the trees; all features are 0 or more
+NO_VALUE = -1.0  # stands for NULL in the trees
+FEATURE = "x_"  # columns of features; those of the rows stay as they are
 
 
 @dataclass(frozen=True)
@@ -78,7 +80,8 @@ class Roles:
 
 
 def _encoded(keys: list[str]) -> str:
-    return "likelihood_" + "_".join(keys)
+    """Name of an encoding, two underlines between its columns."""
+    return "likelihood_" + "__".join(keys)
 
 
 def _sides(roles: Roles) -> dict[str, str]:
@@ -88,15 +91,21 @@ def _sides(roles: Roles) -> dict[str, str]:
 def _measures(roles: Roles, side: str) -> dict[str, Column]:
     measures = {
         "buys": F.coalesce(F.col(roles.buy).cast("long"), F.lit(0)),
-        "qty": F.coalesce(F.col(roles.amount).cast("decimal(18,4)"), F.lit(0)),
+        "qty": F.coalesce(summable(F.col(roles.amount)), F.lit(0)),
     }
     if side == "item" and roles.offer:
-        offer = F.col(roles.offer).cast("decimal(18,2)")
+        offer = summable(F.col(roles.offer))
         measures |= {"offer": offer, "offers": offer.isNotNull().cast("long")}
     return measures
 
 
+def feature_columns(roles: Roles) -> list[str]:
+    """Columns of the features, in the order of ``feature_names``."""
+    return [FEATURE + name for name in feature_names(roles)]
+
+
 def feature_names(roles: Roles) -> list[str]:
+    """What the model sees. A numeric column has a second feature, whether it is there."""
     past = ("contacts_before", "buys_before", "qty_before", "days_since")
     return [
         "day_of_week",
@@ -106,12 +115,14 @@ def feature_names(roles: Roles) -> list[str]:
         *[f"{side}_{name}" for side in ("user", "item") for name in past],
         *[_encoded(keys) for keys in roles.nominal],
         *roles.numeric,
+        *[f"{name}_is_null" for name in roles.numeric],
         *([roles.offer, "offer_vs_list", "offer_vs_past"] if roles.offer else []),
     ]
 
 
 def prepare_items(items: DataFrame, roles: Roles) -> DataFrame:
     """Fill the gaps of the items and compare each price with its peers'."""
+    refuse_repeated(items, roles.item)
     filled = nb_fill(items, roles.gaps, widths=roles.widths) if roles.gaps else items
     return stage(price_vs_peers(filled, roles.peers, roles.price, [roles.item]))
 
@@ -136,9 +147,12 @@ class Forecaster:
     def features(self, rows: DataFrame) -> DataFrame:
         """Features of rows later than the training rows."""
         roles, row_id = self.roles, [self.roles.row_id]
-        wide = attach_items(rows, self.items, roles.item, row_id)
+        _check_names(rows, roles)
+        wide = attach_items(rows, self.items, roles.item, row_id, unique=True)
         for side, key in _sides(roles).items():
-            wide = history_apply(wide, self.totals[side], key, roles.ts, side, row_id)
+            wide = history_apply(
+                wide, self.totals[side], key, roles.ts, _measures(roles, side), side, row_id
+            )
         for keys in roles.nominal:
             name = _encoded(keys)
             default = F.lit(self.defaults[name])
@@ -151,12 +165,16 @@ class Forecaster:
         return _finished(wide, roles, rows.columns)
 
     def score(self, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
-        """Rows with ``p_buy, buy_predicted, amount, qty_gated, qty_expected``."""
+        """Rows, features and ``p_buy, buy_predicted, amount_predicted, qty_gated, qty_expected``.
+
+        The columns of the rows stay as they are, labels included, and the price of the
+        item comes with them, NULL for an item that is not listed.
+        """
         return score_two_layer(
             self.features(rows),
             self.buy_layer,
             self.amount_layer,
-            feature_names(self.roles),
+            feature_columns(self.roles),
             threshold,
         )
 
@@ -206,22 +224,35 @@ class Forecaster:
         )
 
 
+def _check_names(rows: DataFrame, roles: Roles) -> None:
+    """Columns of the rows must not be named as what is added on the way, encodings as each other."""
+    if len({_encoded(keys) for keys in roles.nominal}) < len(roles.nominal):
+        raise ValueError("two encodings have the same name")
+    added = [f"{side}_{name}" for side in _sides(roles) for name in ("days_since",)]
+    for side in _sides(roles):
+        added += history_names(_measures(roles, side), side)
+    added += [_encoded(keys) for keys in roles.nominal] + feature_columns(roles)
+    added += ["peer_price", "price_ratio", "price_rank", "_day", "_fold", "_last", "_value"]
+    refuse(rows, added, "the forecaster")
+
+
 def _finished(wide: DataFrame, roles: Roles, keep: list[str]) -> DataFrame:
-    """Calendar added, the given columns kept, features as doubles without NULL."""
-    names = feature_names(roles)
-    plain = [c for c in keep if c not in names]
+    """The given columns and the item's price as they are, and the features without NULL."""
+    price = [] if roles.price in keep else [roles.price]
+    made = {"day_of_week": F.dayofweek(day_of(roles.ts))}
+    made |= {f"{name}_is_null": F.col(name).isNull().cast("int") for name in roles.numeric}
     if roles.offer:
         offer = F.col(roles.offer).cast("double")
         past = F.try_divide(F.col("item_offer_before").cast("double"), "item_offers_before")
-        wide = wide.withColumns(
-            {
-                "offer_vs_list": F.try_divide(offer, roles.price),
-                "offer_vs_past": F.try_divide(offer, past),
-            }
-        )
-    return calendar(wide, roles.ts, roles.origin).select(
-        *plain,
-        *[F.coalesce(F.col(c).cast("double"), F.lit(NO_VALUE)).alias(c) for c in names],
+        made["offer_vs_list"] = F.try_divide(offer, F.col(roles.price).cast("double"))
+        made["offer_vs_past"] = F.try_divide(offer, past)
+    return wide.select(
+        *keep,
+        *price,
+        *[
+            F.coalesce(made.get(n, F.col(n)).cast("double"), F.lit(NO_VALUE)).alias(FEATURE + n)
+            for n in feature_names(roles)
+        ],
     )
 
 
@@ -242,18 +273,23 @@ def _describe(
         return items, {}
     names = {_encoded(keys): crossed(*keys) for keys in nominal}
     cells = [
-        F.struct(F.lit(name).alias("name"), value.alias("value"))
+        F.struct(F.lit(name).alias("_name"), value.alias("_value"))
         for name, value in names.items()
     ]
+    needed = items.select(roles.item, *dict.fromkeys(k for keys in nominal for k in keys if k != roles.item))
+    sums = {c: f"_{c}" for c in per_item.columns if c != roles.item}
     counted = (
-        attach_items(per_item, items, roles.item)
-        .withColumn("cell", F.explode(F.array(*cells)))
-        .select("*", "cell.name", "cell.value")
+        attach_items(per_item.withColumnsRenamed(sums), needed, roles.item, unique=True)
+        .withColumn("_cell", F.explode(F.array(*cells)))
+        .select(*[F.col(new).alias(old) for old, new in sums.items()], "_cell._name", "_cell._value")
     )
     whole, by_fold = encoding_columns(priors, roles.m, roles.n_folds)
     table = stage(
-        roll_up(counted, ["name", "value"], roles.n_folds).select(
-            "name", "value", whole.alias("whole"), by_fold.alias("by_fold")
+        roll_up(counted, ["_name", "_value"], roles.n_folds).select(
+            F.col("_name").alias("name"),
+            F.col("_value").alias("value"),
+            whole.alias("whole"),
+            by_fold.alias("by_fold"),
         )
     )
     nothing = [r"|".join([r"\N"] * len(keys)) for keys in nominal]
@@ -298,6 +334,7 @@ def training_features(
     """
     row_id, n_folds, m = [roles.row_id], roles.n_folds, roles.m
     columns = contacts.columns
+    _check_names(contacts, roles)
     # a hash, so that folds are even whatever the ids look like
     contacts = contacts.withColumn("_fold", F.xxhash64(roles.row_id))
     sides = _sides(roles)
@@ -333,14 +370,15 @@ def training_features(
     described, unlisted = _describe(ready, per_item, of_items, priors, roles)
     defaults |= {name: row["whole"] for name, row in unlisted.items()}
 
-    wide = attach_items(contacts, described, roles.item, row_id)
+    wide = attach_items(contacts, described, roles.item, row_id, unique=True)
     wide = wide.drop(*[_encoded(keys) for keys in of_items])
     for side, key in sides.items():
         wide = history_join(wide, histories[side], key, roles.ts, row_id)
     encodings = {}
     for keys in mixed:
         name = _encoded(keys)
-        rows = attach_items(contacts, ready, roles.item, row_id)
+        needed = ready.select(roles.item, *[k for k in keys if k in attributes])
+        rows = attach_items(contacts, needed, roles.item, row_id, unique=True)
         counts = stage(fold_counts(rows, keys, roles.buy, "_fold", n_folds))
         encodings[name] = stage(encodings_from_counts(counts, keys, m, n_folds, name))
         table = encodings[name].select(
@@ -368,7 +406,7 @@ def prepare_training(
 ) -> tuple[Forecaster, DataFrame]:
     """``training_features`` with the columns the layers need written to the shared folder."""
     fitted, rows = training_features(contacts, items, roles)
-    kept = dict.fromkeys([*feature_names(roles), roles.buy, roles.amount])
+    kept = dict.fromkeys([*feature_columns(roles), roles.buy, roles.amount])
     return fitted, stage(rows.select(*kept))
 
 
@@ -381,7 +419,7 @@ def fit_forecaster(
     each other, are fitted side by side.
     """
     fitted, train = prepare_training(contacts, items, roles)
-    names = feature_names(roles)
+    names = feature_columns(roles)
     buyers = train.filter(F.col(roles.buy) == 1)
     keep_settings = inheritable_thread_target(train.sparkSession)
     with ThreadPoolExecutor(2) as pool:

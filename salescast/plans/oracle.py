@@ -1,4 +1,8 @@
-"""The same results in plain SQL, for the check against another engine."""
+"""The same results in plain SQL, for the check against another engine.
+
+Sums are of decimals that hold every digit of the given tables, in as few places as that
+takes, since the other engine's doubles are exact for those only.
+"""
 
 from __future__ import annotations
 
@@ -10,13 +14,17 @@ _ITEMS = """items AS (
          CAST(floor(p_size / 10.0) AS BIGINT) AS size_band
   FROM part)"""
 
-_ALL = """all_contacts AS (
+_EVENTS = """all_events AS (
   SELECT event_id, ts, CAST(ts AS DATE) AS day, user_id,
          TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS p_partkey,
          event_type, value,
          CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS buy,
          CASE WHEN event_type = 'purchase' THEN value END AS amount
-  FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+  FROM events)"""
+
+_ALL = f"""{_EVENTS},
+all_contacts AS (
+  SELECT * FROM all_events WHERE event_type IN ('view', 'click', 'purchase')),
 contacts AS (SELECT * FROM all_contacts WHERE ts < TIMESTAMP '2024-01-25'),
 later AS (SELECT * FROM all_contacts WHERE ts >= TIMESTAMP '2024-01-25')"""
 
@@ -87,11 +95,10 @@ FROM parts p LEFT JOIN best b ON b.p_partkey = p.p_partkey"""
 
 
 ORACLE: dict[str, str] = {
-    "scan_items": f"""WITH {_ITEMS}
-SELECT p_name, p_partkey, p_brand, p_type, p_size, p_retailprice FROM items""",
-    "scan_contacts": f"""WITH {_ALL}
+    "scan_items": "SELECT p_name, p_partkey, p_brand, p_type, p_size, p_retailprice FROM part",
+    "scan_contacts": f"""WITH {_EVENTS}
 SELECT event_id, CAST(day AS VARCHAR) AS day, user_id, p_partkey, event_type, value, buy, amount
-FROM contacts""",
+FROM all_events""",
     "scan_score_rows": f"""WITH {_ALL}
 SELECT event_id, CAST(day AS VARCHAR) AS day, user_id, p_partkey FROM later""",
     "attach_items": f"""WITH {_ALL}, {_ITEMS}
@@ -188,7 +195,10 @@ FROM steps""",
     "split_counts": f"""WITH {_ALL}
 SELECT 'train' AS part, count(*) AS n_rows, CAST(sum(buy) AS BIGINT) AS n_buys FROM contacts
 UNION ALL
-SELECT 'test', count(*), CAST(sum(buy) AS BIGINT) FROM later""",
+SELECT 'test', count(*), CAST(sum(buy) AS BIGINT) FROM later
+UNION ALL
+SELECT 'untimed', count(*), CAST(coalesce(sum(buy), 0) AS BIGINT) FROM all_contacts
+WHERE ts IS NULL""",
     "two_layer_combine": """WITH given AS (
   SELECT l_orderkey, l_linenumber, l_discount * 10 AS p_buy, l_quantity AS amount FROM lineitem)
 SELECT l_orderkey, l_linenumber, p_buy, amount,
@@ -204,10 +214,38 @@ SELECT count(*) AS n_rows,
 FROM ruled""",
     "forecast": f"""WITH {_ALL}, {_ITEMS},
 scored AS (
-  SELECT p_type, CAST((l.p_partkey % 10) / 10.0 * value AS DECIMAL(18,6)) AS qty,
-         CAST(p_retailprice AS DECIMAL(18,2)) AS price
+  SELECT p_type, (l.p_partkey % 10) / 10.0 * value AS qty, p_retailprice AS price
   FROM later l LEFT JOIN items i ON i.p_partkey = l.p_partkey)
-SELECT p_type, count(*) AS n_rows, CAST(sum(qty) AS DOUBLE) AS expected_qty,
-       CAST(CAST(sum(qty * price) AS DECIMAL(38,2)) AS DOUBLE) AS expected_revenue
+SELECT p_type, count(*) AS n_rows, count(*) - count(price) AS n_unpriced,
+       CAST(sum(CAST(qty AS DECIMAL(18,6))) AS DOUBLE) AS expected_qty,
+       CAST(sum(CAST(qty * price AS DECIMAL(18,6))) AS DOUBLE) AS expected_revenue
 FROM scored GROUP BY p_type""",
+    "forecast_unpriced": f"""WITH {_ALL},
+scored AS (
+  SELECT l.p_partkey, value / 8 AS qty, p_retailprice / 1000 AS price
+  FROM later l LEFT JOIN part p ON p.p_partkey = l.p_partkey AND p.p_partkey % 3 <> 0)
+SELECT p_partkey, count(*) AS n_rows, count(*) - count(price) AS n_unpriced,
+       CAST(sum(CAST(qty AS DECIMAL(18,6))) AS DOUBLE) AS expected_qty,
+       CAST(sum(CAST(qty * price AS DECIMAL(18,10))) AS DOUBLE) AS expected_revenue
+FROM scored GROUP BY p_partkey""",
+    "price_vs_peers_small": """WITH prices AS (
+  SELECT p_partkey, p_type, p_retailprice / 1000 AS price FROM part),
+counted AS (SELECT p_type, price, count(*) AS n FROM prices GROUP BY p_type, price),
+means AS (
+  SELECT p_type, CAST(sum(CAST(price * n AS DECIMAL(18,6))) AS DOUBLE) / sum(n) AS mean
+  FROM counted GROUP BY p_type)
+SELECT p_partkey, p.p_type, price, mean AS peer_price, price / mean AS price_ratio,
+       percent_rank() OVER (PARTITION BY p.p_type ORDER BY price) AS price_rank
+FROM prices p JOIN means m ON m.p_type = p.p_type""",
+    "price_change_small": """WITH daily AS (
+  SELECT l_partkey, CAST(l_shipdate AS DATE) AS day,
+         CAST(sum(CAST(l_extendedprice / 1000 AS DECIMAL(18,6))) AS DOUBLE)
+         / nullif(CAST(sum(CAST(l_quantity / 1000 AS DECIMAL(18,6))) AS DOUBLE), 0) AS price
+  FROM lineitem GROUP BY l_partkey, CAST(l_shipdate AS DATE)),
+steps AS (
+  SELECT *, lag(price) OVER (PARTITION BY l_partkey ORDER BY day) AS previous_price FROM daily)
+SELECT l_partkey, CAST(day AS VARCHAR) AS day, price, previous_price,
+       price - previous_price AS price_difference,
+       price / nullif(previous_price, 0) AS price_ratio
+FROM steps""",
 }

@@ -34,13 +34,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def all_contacts(spark: SparkSession, folder: str) -> DataFrame:
-    """Views, clicks and purchases; the item key is read from the JSON text."""
+def all_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event, as a contact; the item key is read from the JSON text."""
     item = F.get_json_object("props", "$.k").try_cast("long")
     buy = (F.col("event_type") == "purchase").cast("int")
     return (
         table(spark, folder, "events")
-        .filter(F.col("event_type").isin(KINDS))
         .select(
             "event_id",
             "ts",
@@ -54,6 +53,11 @@ def all_contacts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def all_contacts(spark: SparkSession, folder: str) -> DataFrame:
+    """Views, clicks and purchases."""
+    return all_events(spark, folder).filter(F.col("event_type").isin(KINDS))
+
+
 def contacts(spark: SparkSession, folder: str) -> DataFrame:
     return split_by_time(all_contacts(spark, folder), "ts", CUTOFF)[0]
 

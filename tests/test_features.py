@@ -75,7 +75,7 @@ def test_totals_for_later_rows(spark, join_way):
     new = spark.createDataFrame(
         [(0, day), (3, day), (None, day), (99, day)], "user int, ts timestamp_ntz"
     )
-    got = {r.user: r for r in history_apply(new, totals, "user", "ts", "user").collect()}
+    got = {r.user: r for r in history_apply(new, totals, "user", "ts", measures(), "user").collect()}
     for user in (0, 3, None):
         past = [p for p in rows if p[1] == user]
         assert got[user].user_contacts_before == len(past)
@@ -140,8 +140,11 @@ def test_calendar_and_split_and_shape(spark):
         for r in calendar(df, "ts", "2024-01-01").orderBy("id").collect()
     ]
     assert got == [(dt.date(2024, 1, 7), 1, 1, 6), (dt.date(2024, 2, 1), 5, 2, 31)]
-    before, after = split_by_time(df, "ts", "2024-02-01")
-    assert ([r.id for r in before.collect()], [r.id for r in after.collect()]) == ([1], [2])
+    df = df.union(make(df.sparkSession, [(3, 1, None, 0)]))
+    parts = split_by_time(df, "ts", "2024-02-01")
+    assert [[r.id for r in part.collect()] for part in parts] == [[1], [2], [3]]
+    with pytest.raises(ValueError, match="day"):
+        calendar(df.withColumn("day", F.lit(1)), "ts", "2024-01-01")
     assert to_score_shape(df, ["buy"]).columns == ["id", "user", "ts"]
 
 
@@ -149,3 +152,46 @@ def test_crossed_values_stay_apart(spark):
     rows = [("a|b", "c"), ("a", "b|c"), ("a", None), (None, "a"), ("\\N", "a"), ("a\\", "b"), ("a", "\\b")]
     df = spark.createDataFrame(rows, "x string, y string")
     assert df.select(crossed("x", "y").alias("c")).distinct().count() == len(rows)
+
+
+def test_rows_without_a_time_are_in_no_history(spark):
+    rows = [(1, 7, None, 1), (2, 7, START, 1), (3, 7, START + dt.timedelta(days=1), 0)]
+    df = make(spark, rows)
+    got = {r.id: (r.user_contacts_before, r.user_buys_before, r.user_days_since)
+           for r in history(df, "user", "ts", measures(), "user", ["id"]).collect()}
+    assert got == {1: (None, None, None), 2: (0, 0, None), 3: (1, 1, 1)}
+    totals = stage(history_totals(daily_sums(df, "user", "ts", measures()), "user", measures(), "user"))
+    later = make(spark, [(9, 7, START + dt.timedelta(days=5), None), (10, 7, None, None)])
+    got = {r.id: (r.user_contacts_before, r.user_days_since)
+           for r in history_apply(later, totals, "user", "ts", measures(), "user").collect()}
+    assert got == {9: (2, 4), 10: (None, None)}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_keys_named_like_history_stay_as_they_are(spark, kind, join_way):
+    rows = [(1, 5, START, 1), (2, None, START, 1), (3, None, START, 0)]
+    df = make(spark, rows).withColumn("user_id", F.col("user").cast(kind)).drop("user")
+    totals = stage(history_totals(daily_sums(df, "user_id", "ts", measures()), "user_id", measures(), "user"))
+    later = df.withColumn("ts", F.col("ts") + F.expr("interval 3 days"))
+    got = {r.id: (r.user_id, r.user_contacts_before) for r in
+           history_apply(later, totals, "user_id", "ts", measures(), "user", ["id"]).collect()}
+    five = 5 if kind == "long" else "5"
+    assert got == {1: (five, 1), 2: (None, 2), 3: (None, 2)}
+
+
+def test_items_listed_twice_are_an_error(spark):
+    rows = spark.createDataFrame([(1, 10)], "id int, item int")
+    items = spark.createDataFrame([(10, "a"), (10, "b"), (None, "c"), (None, "d")], "item int, maker string")
+    with pytest.raises(ValueError, match="10"):
+        attach_items(rows, items, "item")
+
+
+def test_digits_are_kept_or_refused(spark):
+    df = spark.createDataFrame([(1, "k", 0.004), (2, "k", 0.004), (3, "k", 0.001)], "id int, kind string, price double")
+    got = price_vs_peers(df, "kind", "price", ["id"]).filter("id = 1").first()
+    assert got.peer_price == pytest.approx(0.003) and got.price_ratio == pytest.approx(4 / 3)
+    sales = spark.createDataFrame([(1, START, 0.008, 0.004)], "item int, ts timestamp_ntz, revenue double, quantity double")
+    assert price_change(sales, "item", "ts", F.col("revenue"), F.col("quantity")).first().price == 2.0
+    tiny = sales.withColumn("revenue", F.lit(1.23456789e-9))
+    with pytest.raises(Exception, match="decimal places"):
+        price_change(tiny, "item", "ts", F.col("revenue"), F.col("quantity")).collect()

@@ -8,8 +8,9 @@ from salescast.operators.evaluate import forecast
 from salescast.operators.features import attach_items, history
 from salescast.plans import Forecaster, Roles, fit_forecaster
 from salescast.plans.forecaster import (
+    _encoded,
     _measures,
-    feature_names,
+    feature_columns,
     prepare_items,
     training_features,
 )
@@ -82,7 +83,7 @@ def fitted(parts):
 def differences(rows, alone, names):
     """Rows in both, and per feature the rows in which the two differ."""
     both = rows.join(alone, "id")
-    off = [F.count_if(F.abs(F.col(n) - F.col(f"want_{n}")) > 1e-12).alias(n) for n in names]
+    off = [F.count_if(F.abs(F.col(f"x_{n}") - F.col(f"want_{n}")) > 1e-12).alias(n) for n in names]
     found = both.agg(F.count(F.lit(1)).alias("rows"), *off).first().asDict()
     return found.pop("rows"), {n: k for n, k in found.items() if k}
 
@@ -90,10 +91,10 @@ def differences(rows, alone, names):
 def test_training_features_equal_single_operators(parts, join_way):
     train, _, items = parts
     _, rows = training_features(train, items, ROLES)
-    assert rows.columns[-len(feature_names(ROLES)) :] == feature_names(ROLES)
+    assert rows.columns[-len(feature_columns(ROLES)) :] == feature_columns(ROLES)
     folded = train.withColumn("fold", F.xxhash64("id"))
     alone = stage(attach_items(folded, prepare_items(items, ROLES), "item"))
-    names = ["likelihood_" + "_".join(keys) for keys in ROLES.nominal]
+    names = [_encoded(keys) for keys in ROLES.nominal]
     for keys, name in zip(ROLES.nominal, names):
         alone = stage(
             likelihood_oof(alone, keys, "buy", "fold", out=f"want_{name}", row_id=["id"])
@@ -113,7 +114,7 @@ def test_score_features_equal_single_operators(parts, fitted, join_way):
     train, later, items = parts
     ready = prepare_items(items, ROLES)
     seen, alone = (stage(attach_items(x, ready, "item")) for x in (train, later))
-    names = ["likelihood_" + "_".join(keys) for keys in ROLES.nominal]
+    names = [_encoded(keys) for keys in ROLES.nominal]
     for keys, name in zip(ROLES.nominal, names):
         stats = likelihood_fit(seen, keys, "buy", out=f"want_{name}")
         alone = likelihood_apply(alone, stats, keys, out=f"want_{name}", row_id=["id"])
@@ -127,7 +128,7 @@ def test_rule_of_the_shop_is_found(parts, fitted):
     result = fitted.evaluate(later).first()
     assert result.accuracy == 1.0 and result.majority_share < 0.9
     scored = fitted.score(later)
-    off = scored.filter("buy = 1").filter(F.abs(F.col("amount") - F.col("qty")) > 0.5)
+    off = scored.filter("buy = 1").filter(F.abs(F.col("amount_predicted") - F.col("qty")) > 0.5)
     assert off.count() == 0
     top = {r.layer: r.feature for r in fitted.importance("buy").filter("rank = 1").collect()}
     assert top["buy"] in ("offer", "offer_vs_past", "offer_vs_list")
@@ -138,7 +139,7 @@ def test_rule_of_the_shop_is_found(parts, fitted):
 def test_score_rows_do_not_change_statistics(parts, fitted):
     _, later, _ = parts
     some = later.filter("id % 2 = 0")
-    columns = ["id", "p_buy", "amount", "qty_gated", "qty_expected"]
+    columns = ["id", "p_buy", "amount_predicted", "qty_gated", "qty_expected"]
     alone = fitted.score(some.drop("buy", "qty")).select(columns)
     within = fitted.score(later.drop("buy", "qty")).filter("id % 2 = 0").select(columns)
     assert sorted(alone.collect()) == sorted(within.collect())
@@ -149,7 +150,7 @@ def test_saved_and_loaded_scores_alike(spark, parts, fitted, tmp_path):
     fitted.save(str(tmp_path / "model"))
     again = Forecaster.load(spark, str(tmp_path / "model"))
     assert again.roles == ROLES
-    columns = ["id", "p_buy", "amount", "qty_expected"]
+    columns = ["id", "p_buy", "amount_predicted", "qty_expected"]
     assert sorted(again.score(later).select(columns).collect()) == sorted(
         fitted.score(later).select(columns).collect()
     )
@@ -162,3 +163,28 @@ def test_plain_roles(parts):
     )
     model = fit_forecaster(train, items, plain, maxIter=1, maxDepth=2)
     assert model.score(later).count() == later.count()
+
+
+def test_prices_keys_and_labels_stay_as_they_are(spark, parts, fitted):
+    _, later, _ = parts
+    some = later.withColumn("user", F.when(F.col("id") % 10 != 0, F.col("user"))).withColumn("amount", F.lit(1))
+    scored = fitted.score(some)
+    assert scored.select(some.columns).exceptAll(some).count() == 0
+    unlisted = scored.filter("item between 40 and 42 or item is null")
+    assert unlisted.count() > 0 and unlisted.filter("price is not null").count() == 0
+    total = forecast(scored, ["item"])
+    assert total.filter("expected_revenue < 0").count() == 0
+    assert total.filter("item = 41").first().expected_revenue is None
+    assert fitted.evaluate(some).first().n_rows == later.count()
+
+
+def test_names_that_are_used_on_the_way(parts):
+    train, later, items = parts
+    renamed = items.withColumnsRenamed({"kind": "name", "band": "value"}).withColumns({"n_rows": F.lit(1), "month": F.lit(2)})
+    roles = dataclasses.replace(ROLES, peers="name", gaps={"maker": ["name"]}, nominal=[["maker", "name"], ["name"]])
+    model = fit_forecaster(train.withColumn("day", F.lit("x")), renamed, roles, maxIter=1, maxDepth=2)
+    scored = model.score(later.withColumn("day", F.lit("x")))
+    assert scored.count() == later.count() and scored.select("day").distinct().first().day == "x"
+    with pytest.raises(ValueError, match="x_price"):
+        model.score(later.withColumn("x_price", F.lit(1)))
+    assert _encoded(["a_b"]) != _encoded(["a", "b"])

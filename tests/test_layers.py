@@ -38,9 +38,9 @@ def test_planted_rule_is_found(planted):
     assert scored.count() == test.count()
     assert accuracy(scored, "buy", "buy_predicted").first().accuracy == 1.0
     buyers = scored.filter("buy = 1")
-    assert buyers.filter(F.abs(F.col("amount") - F.col("qty")) > 1e-6).count() == 0
+    assert buyers.filter(F.abs(F.col("amount_predicted") - F.col("qty")) > 1e-6).count() == 0
     assert scored.filter("p_buy < 0 or p_buy > 1").count() == 0
-    assert scored.filter("qty_gated != 0 and qty_gated != amount").count() == 0
+    assert scored.filter("qty_gated != 0 and qty_gated != amount_predicted").count() == 0
     other = score_two_layer(test, first, second, FEATURES, threshold=0.99)
     assert other.filter("qty_gated != 0 or buy_predicted != 0").count() == 0
 
@@ -74,6 +74,13 @@ def test_combining(spark):
     assert (total.n_rows, total.expected_qty, total.expected_revenue) == (3, 9.0, 17.0)
 
 
+def test_forecast_without_prices(spark):
+    rows = [("a", 20.0, 0.004), ("a", 5.0, None), ("b", 1.0, None)]
+    df = spark.createDataFrame(rows, "k string, qty_expected double, price double")
+    got = {r.k: tuple(r)[1:] for r in forecast(df, ["k"]).collect()}
+    assert got == {"a": (2, 1, 25.0, 0.08), "b": (1, 1, 1.0, None)}
+
+
 def test_accuracy(spark):
     df = spark.createDataFrame([(1, 1), (1, 0), (1, 1), (0, 1), (None, 1)], "y int, p int")
     row = accuracy(df, "y", "p").first()

@@ -24,6 +24,8 @@ def test_three_files_in_and_results_out(spark, tmp_path):
     rows.filter("id < 600").write.option("header", True).csv(paths["train"])
     items.write.option("header", True).csv(paths["items"])
     rows.filter("id >= 600").drop("buy", "qty").write.option("header", True).csv(paths["score"])
+    with open(paths["train"] + "/part-bad.csv", "w") as file:
+        file.write("id,user,item,ts,offer,buy,qty\n1000,not a number,1,2024-01-01 10:00:00,1,0,\n")
     contact = "id long, user long, item long, ts timestamp_ntz, offer double"
     run(
         spark,
@@ -41,6 +43,7 @@ def test_three_files_in_and_results_out(spark, tmp_path):
                 "offer": "offer",
             },
             "trees": {"maxIter": 3, "maxDepth": 3},
+            "holdout": "2024-01-16",
         },
     )
     scores = spark.read.parquet(paths["out"] + "/scores")
@@ -49,5 +52,10 @@ def test_three_files_in_and_results_out(spark, tmp_path):
     assert wrong.count() == 0
     total = spark.read.parquet(paths["out"] + "/forecast")
     assert total.agg(F.sum("n_rows")).first()[0] == 200
+    tried = spark.read.parquet(paths["out"] + "/accuracy").first()
+    assert (tried.n_rows, tried.accuracy, tried.n_untimed) == (150, 1.0, 0) and tried.majority_share < 0.7
+    bad = {r.file: r.n_rejected for r in spark.read.parquet(paths["out"] + "/rejected/counts").collect()}
+    assert bad == {"train": 1, "items": 0, "score": 0}
+    assert "not a number" in spark.read.parquet(paths["out"] + "/rejected/train").first().line
     layers = spark.read.parquet(paths["out"] + "/importance").groupBy("layer").agg(F.sum("importance"))
     assert {r.layer for r in layers.collect()} == {"buy", "amount"}
