@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,7 +18,9 @@ from salescast.sources.staging import stage
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 FULL = 1 << 64
-BUFFER = 2_000_000
+BUFFER = 400_000
+BLOCK = 512
+MOST_BITS = 1 << 15
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -49,6 +52,38 @@ def set_id(hashes: np.ndarray) -> int:
     return int(total.view(np.int64))
 
 
+def spare_parts(k: int, smallest: float) -> int:
+    """Parts beyond ``k + 1`` that a set of ``smallest`` elements leaves empty, and three deviations.
+
+    0 if these would be more than half of ``k``.
+    """
+    for spare in range(1, k // 2):
+        empty = (k + 1 + spare) * math.exp(-smallest / (k + 1 + spare))
+        if spare >= empty + 3 * math.sqrt(empty):
+            return spare
+    return 0
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the set's elements in as many classes as a power of two above their number.
+
+    Each element that two sets do not share changes one parity, so these differ in no more
+    places than the sets. Halves may be folded together: fewer classes, the same bound.
+    """
+    bits = min(MOST_BITS, max(64, 1 << (2 * len(hashes)).bit_length()))
+    odd = np.bincount((mixed(hashes ^ M1) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(words.reshape(-1, size), axis=0)
+
+
+def most_apart(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Elements that similar sets may not share, for the sum of their sizes."""
+    return sizes - 2 * -(-percent * sizes // (100 + percent))
+
+
 class Scheme:
     """Signatures of sets whose sizes lie in one band.
 
@@ -59,7 +94,7 @@ class Scheme:
 
     * ``k`` up to 2: ``k + 2`` parts, all choices of two. ``k`` parts at most are touched
       by a difference, so some choice is the same in both sets.
-    * up to 8: ``(k + 1) / 2`` parts of three, each with all choices of two of its three.
+    * up to some tens: ``(k + 1) / 2`` parts of three, each with all choices of two of its three.
       Some part has one difference at most, which is outside of one of its choices.
     * more: ``k + 1`` parts and a few to spare, each a choice by itself; one is without
       difference. If both sets have no more empty parts than are to spare, one of the
@@ -73,12 +108,11 @@ class Scheme:
         if k <= 2:
             self.parts = k + 2
             self.choices = [(i, j) for i in range(self.parts) for j in range(i)]
-        elif k <= 8:
+        elif not (spare := spare_parts(k, largest * percent * percent / 10_000)):
             self.parts = 3 * ((k + 2) // 2)
             self.choices = [(p + i, p + j) for p in range(0, self.parts, 3) for i in range(3) for j in range(i)]
         else:
-            self.spare = 3 + k // 50
-            self.parts, self.choices = k + 1 + self.spare, None
+            self.spare, self.parts, self.choices = spare, k + 1 + spare, None
         bounds = [FULL * i // self.parts for i in range(1, self.parts)]
         self.bounds = np.array(bounds, np.uint64)
         if self.choices:
@@ -137,17 +171,21 @@ def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """Of each document: its key, the number of its shingles, and the id of their set."""
+    """Of each document: its key, the number of its shingles, the id and the sketch of their set."""
     kind = docs.schema[key].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.as_py(), words) for t in batch.column(1)]
-            sizes = pa.array([len(f) for f in found], pa.int64())
-            ids = pa.array([set_id(f) if len(f) else None for f in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, ids], names=["key", "n", "id"])
+            sizes, ids, sketches = [], [], []
+            for value in batch.column(1):
+                found = shingles(value.as_py(), words)
+                sizes.append(len(found))
+                ids.append(set_id(found) if len(found) else None)
+                sketches.append(sketch(found).tobytes() if len(found) else None)
+            columns = [pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["key", "n", "id", "sketch"])
 
-    return docs.select(key, text).mapInArrow(rows, f"key {kind}, n long, id long")
+    return docs.select(key, text).mapInArrow(rows, f"key {kind}, n long, id long, sketch binary")
 
 
 def candidates(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
@@ -249,6 +287,72 @@ def verified(
     return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(rows, "a long, b long, similar boolean"))
 
 
+def pairs_across(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets that share a ``sig``, are in different components (``root``) and may be similar.
+
+    In a bucket, the sets of its largest component are held against all others, and the
+    others against each other, in blocks of about 512. What is held together are sizes and
+    sketches; pairs that these rule out are never made.
+    """
+    of_root = labelled.groupBy("sig", "root").count()
+    buckets = of_root.groupBy("sig").agg(
+        F.max_by("root", F.struct("count", "root")).alias("major"), F.max("count").alias("big"), F.sum("count").alias("all")
+    )
+    # every row of a bucket of one component ends here
+    buckets = stage(buckets.filter("all > big"))
+    rows = stage(labelled.join(buckets, "sig"))
+    known = sets.join(rows.select("id").distinct(), "id").groupBy("id").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    first, rest = F.ceil(F.col("big") / BLOCK), F.ceil((F.col("all") - F.col("big")) / BLOCK)
+    spread, is_major = F.xxhash64("id"), F.col("root") == F.col("major")
+    blocks = rows.join(known, "id").select(
+        "sig", "id", "root", "n", "sketch",
+        F.when(is_major, F.pmod(spread, first)).otherwise(first + F.pmod(spread, rest)).alias("own"),
+        F.explode(F.sequence(F.when(is_major, first).otherwise(F.lit(0)), first + rest - 1)).alias("other"),
+    )
+    order = ["sig", "low", "high"]
+    blocks = blocks.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    dealt = blocks.select(*order, "own", "id", "root", "n", "sketch").repartition(*order).sortWithinPartitions(*order)
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            found: list[np.ndarray] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][:3] != row[:3]:
+                    found.append(may_be_similar(held, percent))
+                    held = []
+                held.append(row)
+            yield pairs_batch(found)
+        if held:
+            yield pairs_batch([may_be_similar(held, percent)])
+
+    return dealt.mapInArrow(rows_of, "a long, b long").distinct()
+
+
+def may_be_similar(rows: list[tuple], percent: int) -> np.ndarray:
+    """Pairs of one pair of blocks (rows ``sig, low, high, own, id, root, n, sketch``), larger id first."""
+    sketches = [np.frombuffer(r[7], np.uint64) for r in rows]
+    least = min(map(len, sketches))
+    words = np.array([folded(s, least) for s in sketches])
+    own, ids, roots, n = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5, 6))
+    same, out = rows[0][1] == rows[0][2], []
+    for i in range(len(rows)):
+        # within a block each pair once, of two blocks only across
+        others = np.arange(i + 1, len(rows))
+        others = others[(roots[others] != roots[i]) & (same | (own[others] != own[i]))]
+        others = others[most_apart(n[others] + n[i], percent) >= np.abs(n[others] - n[i])]
+        if len(others):
+            apart = np.bitwise_count(words[others] ^ words[i]).sum(axis=1)
+            near = others[apart <= most_apart(n[others] + n[i], percent)]
+            out.append(np.column_stack([np.maximum(ids[near], ids[i]), np.minimum(ids[near], ids[i])]))
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+
+def pairs_batch(found: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+
 def jaccard_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85
 ) -> DataFrame:
@@ -257,8 +361,9 @@ def jaccard_components(
     Two documents link when their sets of distinct ``words``-word shingles have a Jaccard
     similarity of ``percent`` or more. Equal sets are one set from the start. Sets that
     share a PartEnum signature (see ``Scheme``) are held against the smallest of their
-    bucket; then, in buckets with sets of different components, all pairs across
-    components. Every pair is checked on the texts, and no link is lost.
+    bucket; then, in buckets with sets of different components, pairs across components
+    that sizes and sketches do not rule out (see ``pairs_across``). Every pair is checked on
+    the texts, and no link is lost.
 
     Returns the key, ``n_shingles``, ``component_id`` (the smallest key of the group) and
     ``component`` (a number of the group, NULL without words). NULL and empty texts have
@@ -272,22 +377,14 @@ def jaccard_components(
     checked = verified(pairs, sets, docs, key, text, words, percent)
     links = checked.filter("similar").select("a", "b")
     roots = components(links)
-    # buckets that hold sets of different components: all pairs across components
     members = near.select("sig", F.col("a").alias("id")).unionAll(near.select("sig", F.col("b").alias("id"))).distinct()
     labelled = members.join(roots, "id", "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
-    mixed_up = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
-    labelled = stage(labelled.join(mixed_up.select("sig"), "sig"))
-    other = labelled.select("sig", F.col("id").alias("id_b"), F.col("root").alias("root_b"))
-    across = (
-        labelled.join(other, "sig").filter("root < root_b")
-        .select(F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b")).distinct()
-        .join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    )
+    across = pairs_across(labelled, sets, percent).join(checked.select("a", "b"), ["a", "b"], "left_anti")
     across = stage(across)
     if across.limit(1).count():
         more = verified(across, sets, docs, key, text, words, percent).filter("similar").select("a", "b")
         roots = components(links.unionAll(more))
-    found = lookup_join(sets, roots, ["id"], row_id=["key", "id"])
+    found = lookup_join(sets.drop("sketch"), roots, ["id"], row_id=["key", "id"])
     found = found.withColumn("root", F.coalesce("root", "id"))
     least = stage(found.filter("root is not null").groupBy("root").agg(F.min("key").alias("least")))
     named = lookup_join(found, least, ["root"], where=F.col("root").isNotNull(), row_id=["key", "id"])

@@ -43,8 +43,9 @@ def family(seed, base, copies, most):
     return made
 
 
-@pytest.mark.parametrize("words, percent", [(4, 85), (5, 80)])
-def test_components_against_brute_force(spark, words, percent):
+@pytest.mark.parametrize("words, percent, block", [(4, 85, 512), (5, 80, 3)])
+def test_components_against_brute_force(spark, monkeypatch, words, percent, block):
+    monkeypatch.setattr(J, "BLOCK", block)
     texts = [prose(1000 + i, 3 + i) for i in range(40)]
     for i, size in enumerate((5, 9, 14, 20, 33, 60, 120, 400, 900)):
         texts += family(i, prose(i, size), 14, 0.06)
@@ -95,3 +96,23 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 100 + i) for i in range(1, 30)] + [(500, 500)]
     got = {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 61)} | {i: 100 for i in range(100, 130)}
+
+
+def test_sketches_rule_out_no_similar_pair():
+    draw = np.random.default_rng(3)
+    for size in (1, 5, 40, 300, 9000):
+        a = np.unique(draw.integers(0, 1 << 63, size, dtype=np.uint64))
+        for share in (0, 0.05, 0.5):
+            b = np.unique(np.concatenate([a[int(share * len(a)):], draw.integers(0, 1 << 63, int(share * size) + 1, dtype=np.uint64)]))
+            one, two = J.sketch(a), J.sketch(b)
+            least = min(len(one), len(two))
+            apart = int(np.bitwise_count(J.folded(one, least) ^ J.folded(two, least)).sum())
+            assert apart <= len(np.setxor1d(a, b))
+
+
+def test_only_pairs_across_components_are_made(spark):
+    sets = [(i, np.unique(np.random.default_rng(i % 9).integers(0, 1 << 63, 100, dtype=np.uint64))) for i in range(30)]
+    frame = spark.createDataFrame([(i, len(h), bytearray(J.sketch(h).tobytes())) for i, h in sets], "id long, n long, sketch binary")
+    labelled = spark.createDataFrame([(1, i, i % 4) for i in range(30)] + [(2, 0, 0), (2, 4, 0)], "sig long, id long, root long")
+    got = {tuple(r) for r in J.pairs_across(labelled, frame, 85).collect()}
+    assert got == {(i, j) for i in range(30) for j in range(i) if i % 9 == j % 9 and i % 4 != j % 4}
