@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -98,7 +99,9 @@ class Ranker:
         self.length = length
         self.ids: dict[str, int] = {}
         self.order: list[str] = []
-        self.cached: dict[str, list[int]] = {}
+        # code points of each gram in two numbers, for ties
+        self.high, self.low = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.cached: dict[str, bytes] = {}
         for _, gram, _ in profiles:
             self._id(gram)
         self.ranks = np.full((len(self.langs), len(self.order)), length, np.int64)
@@ -111,12 +114,17 @@ class Ranker:
         if at is None:
             at = self.ids[gram] = len(self.order)
             self.order.append(gram)
+            if at == len(self.high):
+                self.high, self.low = (np.concatenate([x, np.zeros_like(x)]) for x in (self.high, self.low))
+            points = [ord(c) for c in gram] + [0] * 3
+            self.high[at] = points[0] << 42 | points[1] << 21 | points[2]
+            self.low[at] = points[3]
         return at
 
-    def _grams(self, word: str) -> list[int]:
+    def _grams(self, word: str) -> bytes:
         found = self.cached.get(word)
         if found is None:
-            found = [self._id(g) for g in grams_of(word)]
+            found = array("i", [self._id(g) for g in grams_of(word)]).tobytes()
             if len(word) <= 40:
                 self.cached[word] = found
         return found
@@ -141,17 +149,19 @@ class Ranker:
             return "und", 0.0
         self._bounded()
         lists = [self._grams(w) for w in words]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((g for one in lists for g in one), np.int64, int(sizes.sum()))
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        flat = np.frombuffer(b"".join(lists), np.int32)
         weight = np.repeat(np.fromiter(words.values(), np.int64, len(lists)), sizes)
-        found, back = np.unique(flat, return_inverse=True)
-        counts = np.bincount(back, weights=weight).astype(np.int64)
+        # gram and weight in one number, so that a plain sort brings equal grams together
+        both = np.sort(flat.astype(np.int64) << 32 | weight)
+        flat, weight = both >> 32, both & 0xFFFFFFFF
+        starts = np.flatnonzero(np.diff(flat, prepend=-1))
+        found, counts = flat[starts], np.add.reduceat(weight, starts)
         if len(found) > self.length:
             least = np.partition(counts, len(counts) - self.length)[len(counts) - self.length]
             kept = counts >= least
             found, counts = found[kept], counts[kept]
-        order = sorted(range(len(found)), key=lambda i: (-counts[i], self.order[found[i]]))[: self.length]
-        top = found[order]
+        top = found[np.lexsort((self.low[found], self.high[found], -counts))][: self.length]
         ranks = np.full((len(self.langs), len(top)), self.length, np.int64)
         inside = top < self.known
         ranks[:, inside] = self.ranks[:, top[inside]]
