@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,7 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
-            if not context.master.startswith("local"):
+            # local-cluster has executors of their own
+            if not re.match(r"local(\[|$)", context.master):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             named = tempfile.mkdtemp(prefix="salescast-")
         context.setCheckpointDir(named)
