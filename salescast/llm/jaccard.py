@@ -20,6 +20,7 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 FULL = 1 << 64
 BUFFER = 400_000
 BLOCK = 512
+DRAWS = 8
 MOST_BITS = 1 << 15
 
 
@@ -287,12 +288,14 @@ def verified(
     return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(rows, "a long, b long, similar boolean"))
 
 
-def pairs_across(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def pairs_across(labelled: DataFrame, sets: DataFrame, percent: int, one: bool = False) -> DataFrame:
     """Pairs of sets that share a ``sig``, are in different components (``root``) and may be similar.
 
     In a bucket, the sets of its largest component are held against all others, and the
     others against each other, in blocks of about 512. What is held together are sizes and
-    sketches; pairs that these rule out are never made.
+    sketches; pairs that these rule out are never made. With ``one``, only one set of the
+    largest component, drawn by a hash, is held against the others: most of those that
+    belong to it are found so, and what is left for a whole comparison is little.
     """
     of_root = labelled.groupBy("sig", "root").count()
     buckets = of_root.groupBy("sig").agg(
@@ -302,12 +305,21 @@ def pairs_across(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFram
     buckets = stage(buckets.filter("all > big"))
     rows = stage(labelled.join(buckets, "sig"))
     known = sets.join(rows.select("id").distinct(), "id").groupBy("id").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    if one:
+        drawn = F.xxhash64(F.pmod("sig", F.lit(DRAWS)), "id")
+        chosen = rows.filter("root = major").groupBy("sig").agg(F.min_by("id", drawn).alias("id"))
+        rows = stage(rows.filter("root != major").unionByName(rows.join(chosen, ["sig", "id"])).withColumn("big", F.lit(1)))
     first, rest = F.ceil(F.col("big") / BLOCK), F.ceil((F.col("all") - F.col("big")) / BLOCK)
     spread, is_major = F.xxhash64("id"), F.col("root") == F.col("major")
     blocks = rows.join(known, "id").select(
         "sig", "id", "root", "n", "sketch",
         F.when(is_major, F.pmod(spread, first)).otherwise(first + F.pmod(spread, rest)).alias("own"),
-        F.explode(F.sequence(F.when(is_major, first).otherwise(F.lit(0)), first + rest - 1)).alias("other"),
+        F.explode(
+            F.sequence(
+                F.when(is_major, first).otherwise(F.lit(0)),
+                F.when(is_major | F.lit(not one), first + rest - 1).otherwise(F.lit(0)),
+            )
+        ).alias("other"),
     )
     order = ["sig", "low", "high"]
     blocks = blocks.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
@@ -378,12 +390,14 @@ def jaccard_components(
     links = checked.filter("similar").select("a", "b")
     roots = components(links)
     members = near.select("sig", F.col("a").alias("id")).unionAll(near.select("sig", F.col("b").alias("id"))).distinct()
-    labelled = members.join(roots, "id", "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
-    across = pairs_across(labelled, sets, percent).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    across = stage(across)
-    if across.limit(1).count():
-        more = verified(across, sets, docs, key, text, words, percent).filter("similar").select("a", "b")
-        roots = components(links.unionAll(more))
+    members = stage(members)
+    checked = checked.select("a", "b", "similar")
+    for one in (True, False):
+        labelled = members.join(roots, "id", "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
+        across = stage(pairs_across(labelled, sets, percent, one).join(checked, ["a", "b"], "left_anti"))
+        if across.limit(1).count():
+            checked = stage(checked.unionByName(verified(across, sets, docs, key, text, words, percent)))
+            roots = components(checked.filter("similar").select("a", "b"))
     found = lookup_join(sets.drop("sketch"), roots, ["id"], row_id=["key", "id"])
     found = found.withColumn("root", F.coalesce("root", "id"))
     least = stage(found.filter("root is not null").groupBy("root").agg(F.min("key").alias("least")))
