@@ -50,41 +50,88 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
+TALK = frozenset("comment comments disqus reply replies respond discussion".split())
 GROUP = 4
 
 
 class Node:
-    """A block of a page, or a part that is dropped: label, children (nodes and texts)."""
+    """A block of a page, or a part that is dropped: label, children (nodes and texts).
 
-    __slots__ = ("tag", "label", "children", "dropped", "block")
+    ``named`` says that it is dropped by a class or id alone.
+    """
+
+    __slots__ = ("tag", "label", "children", "dropped", "block", "named")
 
-    def __init__(self, tag: str, label: str, dropped: bool, block: bool):
-        self.tag, self.label, self.dropped, self.block = tag, label, dropped, block
+    def __init__(self, tag: str, label: str, dropped: bool, block: bool, named: bool = False):
+        self.tag, self.label, self.dropped, self.block, self.named = tag, label, dropped, block, named
         self.children: list = []
 
 
-def describe(tag: str, attributes: str) -> tuple[str, bool]:
-    """Label of a tag (name and classes without digits), and whether it is no part of the article."""
+def noisy(name: str) -> bool:
+    """Whether a whole class or id, such as ``sidebar`` or ``cookie-notice``, names no article; ``no-sidebar`` may."""
+    parts = PART.findall(name)
+    return bool(parts) and NOISE.issuperset(parts)
+
+
+def describe(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """Label of a tag (name and classes without digits), whether it is no part of the article, and if only by its names."""
+    dropped = tag in DROPPED
     if "=" not in attributes:
-        return tag, tag in DROPPED
-    names, dropped = [], tag in DROPPED
+        return tag, dropped, False
+    names, named = [], False
     for m in NAMED.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        parts = PART.findall(value)
         if kind == "role":
             dropped = dropped or value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog")
-        else:
-            names += parts
-            dropped = dropped or (tag not in ("body", "html", "article", "main") and not NOISE.isdisjoint(parts)) or (
-                tag == "article" and not NOISE.isdisjoint(parts) and "comment" in value
-            )
-    return ".".join([tag, *dict.fromkeys(names)]), dropped
+            continue
+        parts = PART.findall(value)
+        names += parts
+        if tag == "article":
+            dropped = dropped or not NOISE.isdisjoint(parts) and "comment" in value
+        elif tag not in ("body", "html", "main"):
+            named = named or any(map(noisy, value.split()))
+    return ".".join([tag, *dict.fromkeys(names)]), dropped or named, named and not dropped
+
+
+def spare(root: Node) -> None:
+    """Take back a drop by name around the article: the largest ``article`` and ``main``, or else most of the text.
+
+    Comments may be longer than what they are about, so these stay dropped in the second case.
+    """
+    sizes: dict[int, int] = {}
+    found: dict[str, tuple[int, list[Node]]] = {}
+
+    def walk(node: Node, above: list[Node]) -> int:
+        size = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        for child in node.children:
+            if isinstance(child, Node) and (child.named or not child.dropped):
+                size += walk(child, [*above, node])
+        sizes[id(node)] = size
+        if node.tag in ("article", "main") and size > found.get(node.tag, (0, []))[0]:
+            found[node.tag] = size, above
+        return size
+
+    def most(node: Node) -> None:
+        for child in node.children:
+            if isinstance(child, Node) and 2 * sizes.get(id(child), 0) > sizes[id(root)]:
+                if child.named and TALK.isdisjoint(child.label.split(".")[1:]):
+                    child.dropped = child.named = False
+                if not child.dropped:
+                    most(child)
+
+    walk(root, [])
+    for _, above in found.values():
+        for node in above:
+            if node.named:
+                node.dropped = node.named = False
+    if not found:
+        most(root)
 
 
 def parse(page: str) -> Node:
     """The page as a tree of blocks. Inline tags are looked through; open ends are closed."""
     root = Node("", "", False, True)
-    stack, at, n = [root], 0, len(page)
+    stack, at, n, doubtful = [root], 0, len(page), False
     while at < n:
         m = TOKEN.search(page, at)
         start = m.start() if m else n
@@ -106,7 +153,8 @@ def parse(page: str) -> Node:
             stack[-1].children.append(" ")
             continue
         block = tag in BLOCKS
-        label, dropped = describe(tag, m[3])
+        label, dropped, named = describe(tag, m[3])
+        doubtful = doubtful or named
         if not block and not dropped and tag not in RAW:
             continue
         if block:
@@ -119,7 +167,7 @@ def parse(page: str) -> Node:
                     if stack[i].tag in closes:
                         del stack[i:]
                         break
-        node = Node(tag, label, dropped, block)
+        node = Node(tag, label, dropped, block, named)
         stack[-1].children.append(node)
         if tag in VOID or m[3].endswith("/") and not block:
             continue
@@ -128,6 +176,8 @@ def parse(page: str) -> Node:
             at = page.find(">", close.start()) + 1 or n if close else n
             continue
         stack.append(node)
+    if doubtful:
+        spare(root)
     return root
 
 

@@ -70,3 +70,17 @@ def test_odd_rows(spark):
     got = H.extract(pages, ["page_id", "host", "main"]).collect()
     assert sorted((r.page_id or 0, len(r.text)) for r in got) == [(0, 1), (1, 0), (1, 0), (2, 0), (3, 999_999)]
     assert H.extract(pages.limit(0), ["page_id"]).count() == 0
+
+
+def test_names_around_the_article_do_not_drop_it():
+    text = "word " * 40
+    for names in ("class='content with-sidebar'", "class=no-sidebar", "id=post-with-comments", "class='layout header-fixed'", "class='page sidebar'"):
+        side = "<div class='sidebar'><p>side</p></div><div class=cookie-notice>cookies</div>"
+        for body in (f"<article><p>{text}</p></article>", f"<div><p>{text}</p></div>"):
+            page = f"<body><div {names}>{side}{body}</div><p>outside</p></body>"
+            assert H.main_text(page, None).split("\n")[0] == text.strip()
+            assert "side\n" not in H.main_text(page, None) and "cookies" not in H.main_text(page, None)
+    talk = f"<body><div class=post><p>short</p></div><div id=comments><p>{text}</p></div></body>"
+    assert H.main_text(talk, None) == "short"
+    main = f"<body><main><div class='row widget'><article><p>{text}</p></article></div></main><div class=related><article>x</article></div></body>"
+    assert H.main_text(main, None) == text.strip()
