@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +19,8 @@ SLOTS = sum(taken for _, taken in SUBSETS)
 BAND = (0.2, 0.001)
 EMPTY = "." * 8
 ENOUGH = 4
+#: a text has few lexicon terms if they are less than one in so many of its own
+FEW = 4
 
 
 def terms(text: Column) -> Column:
@@ -54,9 +56,12 @@ def fingerprint(
 
     ``key`` names columns that tell rows apart; ``keep`` are returned with it. Of each
     text column there is a string of the same name: eight hex digits per subset, dots for
-    a subset without terms; a text without any lexicon term has ``~`` and a hash of all
-    its terms. NULL and empty texts have ``~`` and zeros. Equal texts have equal strings,
+    a subset without terms; a text with few lexicon terms (``FEW``), as the copies of one
+    text that is in a large share of the rows have, has ``~`` and the same subsets of all
+    its terms. Texts without terms have ``~`` and zeros. Equal texts have equal strings,
     in whatever row. An empty table gives an empty result.
+
+    One sum holds both: the upper half of its bits is of lexicon terms, the lower of all.
     """
     versions = F.array(
         *[
@@ -75,20 +80,27 @@ def fingerprint(
         marked = listed.drop("docs").withColumn("_in", F.lit(True))
         joined = salted_join(rows, marked, ["_term"], heavy, "left", row_id=[*key, "version"])
     mixed = F.xxhash64("_term", F.lit(7))
-    joined = joined.withColumns({"_value": F.xxhash64("_term", F.lit(11)).bitwiseAND(F.lit(0xFFFFFFFF)), "_lot": mixed})
+    value = F.xxhash64("_term", F.lit(11)).bitwiseAND(F.lit(0xFFFFFFFF))
+    both = F.when(F.col("_in"), F.shiftleft(value, 32).bitwiseOR(value)).otherwise(value)
+    joined = joined.withColumns({"_value": F.when(F.col("_term").isNotNull(), both), "_lot": mixed})
     sums, at = [], 0
     for shift, (parts, taken) in zip((0, 8, 24), SUBSETS):
         lot = F.shiftrightunsigned("_lot", shift).bitwiseAND(F.lit(parts - 1))
         for part in range(taken):
-            sums.append(F.bit_xor(F.when(F.col("_in") & (lot == part), F.col("_value"))).alias(f"s{at}"))
+            sums.append(F.bit_xor(F.when(lot == part, F.col("_value"))).alias(f"s{at}"))
             at += 1
-    summed = joined.groupBy(*key, *keep, "version").agg(*sums, F.bit_xor("_term").alias("all"))
-    hexes = [
-        F.coalesce(F.lpad(F.lower(F.hex(f"s{i}")), 8, "0"), F.lit(EMPTY)) for i in range(SLOTS)
-    ]
-    empty = F.coalesce(*[F.col(f"s{i}") for i in range(SLOTS)]).isNull()
-    rest = F.concat(F.lit("~"), F.lpad(F.lower(F.hex(F.coalesce("all", F.lit(0)))), 16, "0"))
-    shown = summed.select(*key, *keep, "version", F.when(empty, rest).otherwise(F.concat(*hexes)).alias("print"))
+    summed = joined.groupBy(*key, *keep, "version").agg(*sums, F.count("_in").alias("listed"), F.count("_term").alias("own"))
+
+    def hexes(half: Callable[[str], Column]) -> Column:
+        return F.concat(*[F.coalesce(F.lpad(F.lower(F.hex(half(f"s{i}"))), 8, "0"), F.lit(EMPTY)) for i in range(SLOTS)])
+
+    def upper(name: str) -> Column:
+        found = F.shiftrightunsigned(name, 32)
+        return F.when(found != 0, found)
+
+    few = F.concat(F.lit("~"), hexes(lambda name: F.col(name).bitwiseAND(F.lit(0xFFFFFFFF))))
+    form = F.when(F.col("own") == 0, F.lit("~" + "0" * 16)).when(F.col("listed") * FEW < F.col("own"), few).otherwise(hexes(upper))
+    shown = summed.select(*key, *keep, "version", form.alias("print"))
     return shown.groupBy(*key, *keep).agg(
         *[F.max(F.when(F.col("version") == i, F.col("print"))).alias(t) for i, t in enumerate(texts)]
     )
@@ -98,11 +110,13 @@ def likeness(a: Column, b: Column) -> Column:
     """Share of subsets with equal hashes, of those in which either text has terms.
 
     Taken over the smallest parts (see ``SUBSETS``) that have ``ENOUGH`` such subsets, or
-    else over the largest parts, which cover the lexicon. Fingerprints of texts without
-    lexicon terms are alike (1.0) or not (0.0).
+    else over the largest parts, which cover the lexicon. Fingerprints of all terms (``~``)
+    are compared with each other in the same way, and have nothing in common (0.0) with
+    those of lexicon terms, as have texts without terms with any that has some.
     """
     def parts(text: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.substring(text, 8 * i + 1, F.lit(8)))
+        first = F.when(text.startswith("~"), F.lit(2)).otherwise(F.lit(1))
+        return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.substring(text, 8 * i + first, F.lit(8)))
 
     filled = F.zip_with(
         parts(a), parts(b), lambda x, y: F.when((x != EMPTY) | (y != EMPTY), (x == y).cast("int"))
@@ -124,8 +138,9 @@ def likeness(a: Column, b: Column) -> Column:
     found = F.aggregate(
         counts, F.lit(0.0), lambda kept, v: F.when(v["n"] >= v["least"], v["equal"] / v["n"]).otherwise(kept)
     )
-    bare = a.startswith("~") | b.startswith("~")
-    return F.when(bare, (a == b).cast("double")).otherwise(found)
+    apart = (a.startswith("~") != b.startswith("~")) | (F.length(a) != F.length(b))
+    none = F.length(a) <= 8 * SLOTS
+    return F.when(apart, F.lit(0.0)).when(none & a.startswith("~"), F.lit(1.0)).otherwise(found)
 
 
 def ranges(docs: DataFrame, key: str) -> Column:

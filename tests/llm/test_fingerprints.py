@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -110,3 +111,21 @@ def test_plan_has_no_python(spark):
     plan = op1_fingerprints(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     for name in ("Python", "Arrow", "Pandas", "CartesianProduct", "NestedLoop"):
         assert name not in plan
+
+
+def test_large_group_of_near_copies(spark, tmp_path):
+    """A third of the rows are copies of one text with one word replaced: none of its terms is in the lexicon."""
+    draw, base = random.Random(4), prose(500, 400).split()
+    texts = [prose(i, 150) for i in range(120)]
+    for i in range(60):
+        copy = list(base)
+        copy[draw.randrange(400)] = f"other{i}"
+        texts.append(" ".join(copy))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op1_fingerprints(spark, str(tmp_path)).collect()}
+    copies = [got[i] for i in range(120, 179)]
+    assert all(r.fingerprint[0] == "~" and len(r.fingerprint) == 8 * fp.SLOTS + 1 for r in copies)
+    assert all(r.near_next > 0.5 for r in copies) and min(r.near_edited for r in copies) > 0.3
+    assert all(got[i].fingerprint[0] != "~" for i in range(120)) and got[119].near_next == 0
+    pairs = spark.createDataFrame([("~" + "0" * 16, "~" + "0" * 16), ("~" + "0" * 16, copies[0].fingerprint), (got[0].fingerprint, copies[0].fingerprint)], "a string, b string")
+    assert [r[0] for r in pairs.select(fp.likeness(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0]
