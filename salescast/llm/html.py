@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -52,6 +53,7 @@ NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 PART = re.compile(r"[a-z]+")
 TALK = frozenset("comment comments disqus reply replies respond discussion".split())
 GROUP = 4
+LAYOUT = frozenset("body center div main section table tbody td tr".split())
 
 
 class Node:
@@ -367,12 +369,54 @@ def at_path(root: Node, path: str) -> list[Node]:
     return nodes
 
 
+def read_page(page: str) -> Node:
+    root = parse(page)
+    keep_titles(root)
+    return root
+
+
+def template_of(root: Node) -> int:
+    """Number of the template a page is made by: a hash of its paths of layout parts that hold text, above any article."""
+    found: set[str] = set()
+
+    def walk(node: Node, path: str) -> bool:
+        text = False
+        for child in node.children:
+            if isinstance(child, str):
+                text = text or bool(child.strip())
+            elif not child.dropped:
+                text = walk(child, f"{path}/{child.label}" if child.tag in LAYOUT and path is not None else None) or text
+        if text and path:
+            found.add(path)
+        return text
+
+    walk(root, "")
+    return int.from_bytes(hashlib.blake2b("\n".join(sorted(found)).encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def slots_of(root: Node) -> dict[str, dict[str, int]]:
+    """Of every path of labels that is not dropped, its own distinct texts as hashes, with their characters."""
+    found: dict[str, dict[str, int]] = {}
+
+    def walk(node: Node, path: str) -> None:
+        own = found.setdefault(path, {})
+        for child in node.children:
+            if isinstance(child, str):
+                if text := child.strip():
+                    name = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
+                    own[name] = own.get(name, 0) + len(child)
+            elif not child.dropped:
+                walk(child, f"{path}/{child.label}")
+
+    walk(root, "")
+    return found
+
+
 def main_text(page: str | None, path: str | None) -> str:
     """The article's text by the wrapper's path, or by the page's own if it has no such part."""
     if not page:
         return ""
-    root = parse(page)
-    keep_titles(root)
+    root = read_page(page)
     nodes = at_path(root, path) if path is not None else []
     found = [t for n in nodes for t in blocks_of(n)]
     if not found:
@@ -381,31 +425,65 @@ def main_text(page: str | None, path: str | None) -> str:
 
 
 class Wrapper:
-    """What is known of a host's pages."""
+    """What is known of the pages of a host that are made by one template.
+
+    ``slots`` has, of each path, the number of pages with it and the texts that all of
+    them have there: these are the template's own, the others vary.
+    """
 
-    def __init__(self, pages: int = 0, units: list | None = None, mass: Counter | None = None):
+    def __init__(self, pages: int = 0, units: list | None = None, mass: Counter | None = None, slots: dict | None = None):
         self.pages, self.units, self.mass = pages, units, mass or Counter()
+        self.slots: dict[str, list] = slots or {}
         self.seen: set[str] = set()
 
-    def add(self, page: str) -> None:
-        root = parse(page)
-        keep_titles(root)
+    def add(self, page: str, root: Node | None = None) -> None:
+        root = read_page(page) if root is None else root
         self.mass.update(masses(root))
         self.pages += 1
+        self._fix({path: [1, own] for path, own in slots_of(root).items()})
         units = units_of(root)
         form = json.dumps(units)
         if form not in self.seen:
             self.seen.add(form)
             self.units = units if self.units is None else align(self.units, units)
 
+    def _fix(self, slots: dict[str, list]) -> None:
+        for path, (pages, own) in slots.items():
+            if path in self.slots:
+                n, kept = self.slots[path]
+                self.slots[path] = [n + pages, {t: min(c, own[t]) for t, c in kept.items() if t in own}]
+            else:
+                self.slots[path] = [pages, own]
+
     def merge(self, other: Wrapper) -> None:
         self.pages += other.pages
         self.mass.update(other.mass)
+        self._fix(other.slots)
         self.units = other.units if self.units is None else align(self.units, other.units)
 
+    def main(self) -> str:
+        """Path of the article: an ``article`` or ``main``, or else by the characters of varying slots.
+
+        Two pages, or pages that differ in less than a twentieth, may be copies of one
+        article; then all characters count.
+        """
+        varying = Counter(self.mass)
+        for path, (pages, own) in self.slots.items():
+            fixed = pages * sum(own.values()) if pages > 2 else 0
+            while fixed:
+                varying[path] -= fixed
+                if not path:
+                    break
+                path = path.rpartition("/")[0]
+        tagged = any(n and re.match(r"(article|main)(\.|$)", p.rpartition("/")[2]) for p, n in self.mass.items())
+        return main_path(self.mass if tagged or 20 * varying[""] < self.mass[""] else varying)
+
 
 WRAPPERS = T.StructType(
-    [T.StructField("host", T.StringType()), T.StructField("pages", T.LongType()), T.StructField("units", T.StringType()), T.StructField("mass", T.StringType())]
+    [
+        T.StructField("host", T.StringType()), T.StructField("template", T.LongType()), T.StructField("pages", T.LongType()),
+        T.StructField("units", T.StringType()), T.StructField("mass", T.StringType()), T.StructField("slots", T.StringType()),
+    ]
 )
 HOSTS = 2000
 
@@ -416,70 +494,85 @@ def host_of(url: str | Column) -> Column:
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html", salts: int = 32) -> DataFrame:
-    """One wrapper per host from all of its pages: ``host``, ``pages``, ``wrapper``, ``main``.
+    """One wrapper per host and template, from all of its pages: ``host``, ``template``, ``pages``, ``wrapper``, ``main``.
 
-    Every task aligns the pages it reads, host by host; then what the tasks found of a
-    host is aligned in up to ``salts`` groups, and these at last, so a host may have any
+    Every task aligns the pages it reads, template by template; then what the tasks found
+    of one is aligned in up to ``salts`` groups, and these at last, so a host may have any
     share of the pages. ``wrapper`` is a union-free expression over tags and text slots,
-    ``main`` the path of the article in it. NULL pages are left out; a NULL host is one.
+    ``main`` the path of the article: the part with most characters in slots that vary.
+    NULL pages are left out; a NULL host is one.
     """
-    fields = ["host", "pages", "units", "mass"]
+    fields = WRAPPERS.names
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
 
-    def batch_of(found: dict[str, Wrapper]) -> pa.RecordBatch:
-        rows = [(h, w.pages, json.dumps(w.units), json.dumps(w.mass)) for h, w in found.items()]
-        columns = list(zip(*rows)) or [[]] * 4
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string()))], names=fields
-        )
+    def row_of(host: str, template: int, w: Wrapper) -> tuple:
+        return host, template, w.pages, json.dumps(w.units), json.dumps(w.mass), json.dumps(w.slots)
+
+    def batch_of(found: dict[tuple, Wrapper]) -> pa.RecordBatch:
+        columns = list(zip(*[row_of(*at, w) for at, w in found.items()])) or [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=fields)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Wrapper] = {}
+        found: dict[tuple, Wrapper] = {}
         for batch in batches:
             for host, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found.setdefault(host, Wrapper()).add(value.as_py())
-            if len(found) > HOSTS:
-                yield batch_of(found)
-                found = {}
+                root = read_page(value.as_py())
+                found.setdefault((host, template_of(root)), Wrapper()).add("", root)
+                if len(found) > HOSTS:
+                    yield batch_of(found)
+                    found = {}
         yield batch_of(found)
 
     def merge(name: tuple, group: pd.DataFrame) -> pd.DataFrame:
         whole = Wrapper()
-        for row in group.sort_values(["units", "mass", "pages"]).itertuples():
-            whole.merge(Wrapper(int(row.pages), json.loads(row.units), Counter(json.loads(row.mass))))
-        return pd.DataFrame([(name[0], whole.pages, json.dumps(whole.units), json.dumps(whole.mass))], columns=fields)
+        for row in group.sort_values(["units", "mass", "slots", "pages"]).itertuples():
+            whole.merge(Wrapper(int(row.pages), json.loads(row.units), Counter(json.loads(row.mass)), json.loads(row.slots)))
+        return pd.DataFrame([row_of(name[0], name[1], whole)], columns=fields)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            forms = [shown(json.loads(u)) for u in batch.column(2).to_pylist()]
-            paths = [main_path(Counter(json.loads(m))) for m in batch.column(3).to_pylist()]
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            forms = [shown(json.loads(units)) for *_, units, _, _ in rows]
+            paths = [Wrapper(n, None, Counter(json.loads(mass)), json.loads(slots)).main() for _, _, n, _, mass, slots in rows]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(forms, pa.string()), pa.array(paths, pa.string())],
-                names=["host", "pages", "wrapper", "main"],
+                [*batch.columns[:3], pa.array(forms, pa.string()), pa.array(paths, pa.string())],
+                names=["host", "template", "pages", "wrapper", "main"],
             )
 
     sound = pages.filter(F.col(page).isNotNull()).select(host_of(url).alias("host"), F.col(page).alias("html"))
     first = sound.mapInArrow(read, WRAPPERS)
     salted = first.withColumn("salt", F.pmod(F.xxhash64("units", "mass"), F.lit(salts)))
-    some = salted.groupBy("host", "salt").applyInPandas(merge, WRAPPERS)
-    whole = some.groupBy("host").applyInPandas(merge, WRAPPERS)
-    return stage(whole.mapInArrow(finish, "host string, pages long, wrapper string, main string"))
+    some = salted.groupBy("host", "template", "salt").applyInPandas(merge, WRAPPERS)
+    whole = some.groupBy("host", "template").applyInPandas(merge, WRAPPERS)
+    return stage(whole.mapInArrow(finish, "host string, template long, pages long, wrapper string, main string"))
 
 
 def extract(pages: DataFrame, keep: list[str], url: str = "url", page: str = "html", wrappers: DataFrame | None = None) -> DataFrame:
     """The main text of every page, beside the columns ``keep``: ``text``.
 
-    A page's article is found by its host's wrapper; a page without that part is its own
-    wrapper. Parts named as menus, adverts, comments and the like are left out of it.
-    Character references are decoded, white space inside a block is one space, and blocks
-    are joined by a line break in page order. NULL and empty pages have an empty text.
-    Rows are independent: repeated ones stay. An empty table gives no rows.
+    A page's article is found by the wrapper of its host and template; a page without that
+    part is its own wrapper. Parts named as menus, adverts, comments and the like are left
+    out of it. Character references are decoded, white space inside a block is one space,
+    and blocks are joined by a line break in page order. NULL and empty pages have an empty
+    text. Rows are independent: repeated ones stay. An empty table gives no rows.
     """
     wrappers = infer_wrappers(pages, url, page) if wrappers is None else wrappers
     rows = pages.select(*keep, host_of(url).alias("_host"), F.col(page).alias("_html"))
-    paths = wrappers.select(F.col("host").alias("_host"), F.col("main").alias("_main"), F.col("pages").alias("_pages"))
-    known = lookup_join(rows, paths, ["_host"], weight="_pages", row_id=keep)
+
+    def types(frame: DataFrame) -> str:
+        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
+
+    def templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [template_of(read_page(h.as_py() or "")) for h in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int64())], names=[*batch.schema.names, "_template"])
+
+    rows = rows.mapInArrow(templates, types(rows) + ", `_template` long")
+    paths = wrappers.select(
+        F.col("host").alias("_host"), F.col("template").alias("_template"), F.col("main").alias("_main"), F.col("pages").alias("_pages")
+    )
+    known = lookup_join(rows, paths, ["_host", "_template"], weight="_pages", row_id=keep)
     kept = known.select(*keep)
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", text string"
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -487,4 +580,4 @@ def extract(pages: DataFrame, keep: list[str], url: str = "url", page: str = "ht
             made = [main_text(h.as_py(), p) for h, p in zip(batch.column(html_at), batch.column(path_at).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(made, pa.string())], names=[*batch.schema.names[:-2], "text"])
 
-    return known.select(*keep, "_html", "_main").mapInArrow(texts, out)
+    return known.select(*keep, "_html", "_main").mapInArrow(texts, types(kept) + ", text string")

@@ -84,3 +84,26 @@ def test_names_around_the_article_do_not_drop_it():
     assert H.main_text(talk, None) == "short"
     main = f"<body><main><div class='row widget'><article><p>{text}</p></article></div></main><div class=related><article>x</article></div></body>"
     assert H.main_text(main, None) == text.strip()
+
+
+def test_hosts_with_two_templates(spark):
+    """Both have a ``content``; in the second it is a notice, and the article is the ``story``. A fixed text is no article."""
+    def say(i, n):
+        return " ".join(f"w{i}x{k}" for k in range(n))
+
+    fixed = "<div class=legalese><p>" + "terms " * 300 + "</p></div>"
+    pages, want = [], {}
+    for i in range(40):
+        text = say(i, 60)
+        body = f"<div class=content><p>{text}</p></div>" if i % 4 else f"<div class=content><p>by {i}</p></div><div class=story><p>{text}</p></div>"
+        pages.append((i, f"http://two.example/{i}", f"<body>{fixed}{body}</body>"))
+        want[i] = text
+    got = H.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), ["page_id"])
+    assert {r.page_id: r.text for r in got.collect()} == want
+
+
+def test_copies_of_one_article_keep_it():
+    w = H.Wrapper()
+    for i in range(5):
+        w.add(f"<body><div class=date><p>{i} May</p></div><div class=text><p>{'same ' * 100}</p></div></body>")
+    assert w.main() == "/body/div.text"
