@@ -34,8 +34,9 @@ class Lexicon:
 
     A state is a set of (trie node, edits so far); the automaton accepts a word within one
     edit of a term of five letters or more, two of nine or more, with the first letter
-    right. Stems accept any word that begins with them, without edits. ``exceptions`` are
-    words that look like a term and are none.
+    right. Stems accept any word that begins with them, within one edit if the stem has
+    five letters or more. ``exceptions`` are words that look like a term, or like the
+    beginning of a stem, and are none.
     """
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float], exceptions: frozenset[str] = frozenset()):
@@ -52,16 +53,21 @@ class Lexicon:
                         self.children.append({})
                     node = self.children[node][char]
                 ends[node] = word
-        self.most = max((self.edits(t) for t in terms), default=0)
+        self.most = max([0, *map(self.edits, terms), *map(self.stem_edits, stems)])
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
+        self.begun: list[tuple[int, str] | None] = []  # of each state, the closest stem that ends there
         self.start = self._state({(0, 0)})
 
     @staticmethod
     def edits(term: str) -> int:
         return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
+    @staticmethod
+    def stem_edits(stem: str) -> int:
+        return 0 if len(stem) < 5 else 1
+
     def _state(self, pairs: set[tuple[int, int]]) -> int:
         least: dict[int, int] = {}
         queue = list(pairs)
@@ -76,6 +82,8 @@ class Lexicon:
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
+            ends = ((e, self.stem_at[n]) for n, e in key if n in self.stem_at)
+            self.begun.append(min((x for x in ends if x[0] <= self.stem_edits(x[1])), default=None))
             self.moves.append({})
         return self.states[key]
 
@@ -93,23 +101,23 @@ class Lexicon:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The closest term, or stem, and the number of edits."""
-        state = self.start
+        state, near = self.start, None
         for i, char in enumerate(word):
-            state = self.moves[state].get(char, -2) if state >= 0 else -1
-            if state == -2:
-                before = self.start
-                for c in word[:i]:
-                    before = self.moves[before][c]
-                state = self._move(before, char)
+            after = self.moves[state].get(char, -2)
+            state = self._move(state, char) if after == -2 else after
             if state < 0:
-                return None
-            for node, e in self.sets[state] if self.stems else ():
-                if e == 0 and node in self.stem_at:
-                    return self.stem_at[node], 0
-        best = min(
-            ((e, self.term_at[n]) for n, e in self.sets[state] if n in self.term_at and e <= self.edits(self.term_at[n])),
-            default=None,
-        )
+                break
+            begun = self.begun[state]
+            if begun is not None:
+                if begun[0] == 0:
+                    return begun[1], 0
+                near = begun if near is None else min(near, begun)
+        best = near
+        if state >= 0:
+            ends = ((e, self.term_at[n]) for n, e in self.sets[state] if n in self.term_at)
+            term = min((x for x in ends if x[0] <= self.edits(x[1])), default=None)
+            if term is not None and (best is None or term[0] <= best[0]):
+                best = term
         if best is None or best[0] and word in self.exceptions:
             return None
         return best[1], best[0]
@@ -179,7 +187,8 @@ def learn_lexicon(sample: DataFrame, least_share: float = 0.02, odds: float = 20
     times as often there as in others. A stem is the longest beginning that five such
     words or more have in common. Texts count less the more near copies they have, told by
     the smallest hashes of their word triples, or else the words of one copied text would
-    be terms. Words of clean texts within the edits of a term are exceptions.
+    be terms. Terms that begin with a stem stay, for their misspellings. Words of clean texts
+    within the edits of a term or stem are exceptions.
     """
     numbered = stage(sample.withColumn("row", F.monotonically_increasing_id()))
 
@@ -246,7 +255,7 @@ def learn_lexicon(sample: DataFrame, least_share: float = 0.02, odds: float = 20
         while more := [y for y in rows if len(y) == len(best) + 1 and y.startswith(best) and rows[y][0] >= 0.97 * rows[x][0]]:
             best = more[0]
         longest[best] = rows[best][1]
-    terms = {t: v for t, v in terms.items() if len(t) > 2 and not any(t.startswith(s) for s in longest)}
+    terms = {t: v for t, v in terms.items() if len(t) > 2}
     top = max([*terms.values(), *longest.values()], default=1.0)
     terms, longest = ({x: v / top for x, v in d.items()} for d in (terms, longest))
     first = Lexicon(terms, longest)

@@ -122,3 +122,25 @@ def test_gradient_lowers_the_loss_and_matches_differences():
     assert loss(last) < 0.1 < loss(first)
     weights = last.forward(x, starts)["a"]
     assert np.add.reduceat(weights, starts) == pytest.approx(np.ones(5))
+
+
+def test_misspelled_word_families(spark):
+    """Words of one beginning are a stem; what is misspelled in the beginning is found as well."""
+    lexicon = Lexicon({"bocoteka": 1.0}, {"achlich": 1.0, "boco": 1.0}, frozenset({"aclicht"}))
+    assert lexicon.match("achlichen") == ("achlich", 0) and lexicon.match("achlixhen") == ("achlich", 1)
+    assert lexicon.match("aclichen") == ("achlich", 1) and lexicon.match("aclicht") is None
+    assert lexicon.match("bcoxxx") is None and lexicon.match("bicoteka") == ("bocoteka", 1)
+    assert lexicon.match("bocoteka") == ("boco", 0) and lexicon.match("xchlichen") is None
+    draw, family = random.Random(8), ["grumlika", "grumliko", "grumlike", "grumliku", "grumliki", "grumlikost"]
+    docs, labels = [], []
+    for i in range(240):
+        words = prose(i, 150).split()
+        if i % 4 == 0:
+            for _ in range(4):
+                words.insert(draw.randrange(len(words)), draw.choice(family))
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    docs.append((9000, prose(1, 100) + " grxmlika gumliko"))
+    got = score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), ["doc_id"])
+    scores = {r.doc_id: r.score for r in got.collect()}
+    assert scores[9000] >= 0.5 and all((scores[i] >= 0.5) == (i % 4 == 0) for i in range(240))
