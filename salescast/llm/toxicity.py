@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salescast.llm.labelled import Logistic, labelled_texts
@@ -180,11 +180,22 @@ def quotations(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def learn_lexicon(sample: DataFrame, least_share: float = 0.02, odds: float = 20.0) -> Lexicon:
+def likelihood(toxic: Column, clean: Column, total: dict[int, float]) -> Column:
+    """Log-likelihood ratio (G squared) of a word's numbers of texts against equal shares of both kinds."""
+    both = (toxic + clean) / (total[1] + total[0])
+    found = F.lit(0.0)
+    for n, label in ((toxic, 1), (clean, 0)):
+        for there, share in ((n, both), (total[label] - n, 1 - both)):
+            found += F.when((there > 0) & (share > 0), there * F.log(there / (total[label] * share))).otherwise(0.0)
+    return 2 * found
+
+
+def learn_lexicon(sample: DataFrame, least: float = 5.0, odds: float = 20.0, sure: float = 15.0) -> Lexicon:
     """Terms and stems that mark toxic texts, from a bounded sample of labelled texts.
 
-    A term is taken if it is in ``least_share`` of the toxic texts or more, and ``odds``
-    times as often there as in others. A stem is the longest beginning that five such
+    A term is taken if it is in ``least`` toxic texts or more, whatever their share, and
+    ``odds`` times as often there as in others, with a log-likelihood ratio of ``sure``
+    or more: a language or source may hold a small share of the toxic texts. A stem is the longest beginning that five such
     words or more have in common. Texts count less the more near copies they have, told by
     the smallest hashes of their word triples, or else the words of one copied text would
     be terms. Terms that begin with a stem stay, for their misspellings. Words of clean texts
@@ -242,8 +253,10 @@ def learn_lexicon(sample: DataFrame, least_share: float = 0.02, odds: float = 20
         F.explode(F.array(*[F.when(F.length("x") > n, F.substring("x", 1, n)) for n in STEM_SIZES])).alias("x")
     )
     begun = begun.filter("x is not null").groupBy("x").count()
-    marking = summed.filter((share >= least_share) & (share >= odds * other)).withColumn("odds", F.log(share / other))
-    # a word of a text can be one of few terms: their number is the mean length over the share
+    telling = likelihood(F.col("toxic"), F.col("clean"), total) >= sure
+    # weights such as thirds do not add up to whole numbers
+    marking = summed.filter((F.col("toxic") >= least - 1e-6) & (share >= odds * other) & telling).withColumn("odds", F.log(share / other))
+    # the sample is bounded, so its words in so many texts are too
     terms = {r["x"]: r["odds"] for r in marking.filter("kind = 'word'").collect()}
     stems = marking.filter("kind = 'stem'").join(begun, "x").filter("count >= 5")
     longest: dict[str, float] = {}

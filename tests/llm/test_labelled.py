@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from salescast.llm.quality import Attention, FEATURES, bags, encode, passages, score_quality
 from salescast.llm.queries import op2_toxicity, op3_quality
-from salescast.llm.toxicity import Lexicon, Scorer, quotations, score_toxicity
+from salescast.llm.toxicity import Lexicon, Scorer, learn_lexicon, quotations, score_toxicity
 
 
 def distance(a, b):
@@ -144,3 +144,17 @@ def test_misspelled_word_families(spark):
     got = score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), ["doc_id"])
     scores = {r.doc_id: r.score for r in got.collect()}
     assert scores[9000] >= 0.5 and all((scores[i] >= 0.5) == (i % 4 == 0) for i in range(240))
+
+
+def test_language_with_few_toxic_texts(spark):
+    """A word in 7 of 400 toxic texts (1.75 %) is a term, though another one is in all the others."""
+    draw, docs, labels = random.Random(9), [], []
+    for i in range(1600):
+        words = prose(i, 60).split()
+        if i % 4 == 0:
+            words.insert(draw.randrange(len(words)), "zabbot" if i < 28 else "grumlik")
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    sample = spark.createDataFrame([(t, lab) for (_, t), (_, lab) in zip(docs, labels)], "text string, label int")
+    lexicon = learn_lexicon(sample)
+    assert {"zabbot", "grumlik"} <= lexicon.terms.keys() and len(lexicon.terms) < 6
