@@ -225,11 +225,10 @@ def small_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unpriced_forecast(spark: SparkSession, folder: str) -> DataFrame:
-    """Only two thirds of the items are listed; prices are of a fraction of a cent."""
+    """Only two thirds of the items have a price; prices are of a fraction of a cent."""
     scored = later_contacts(spark, folder).withColumn("qty_expected", F.col("value") / 8)
-    listed = items(spark, folder).filter("p_partkey % 3 != 0").select(
-        "p_partkey", (F.col("p_retailprice") / 1000).alias("price")
-    )
+    priced = F.when(F.col("p_partkey") % 3 != 0, F.col("p_retailprice") / 1000)
+    listed = items(spark, folder).select("p_partkey", priced.alias("price"))
     return forecast(attach_items(scored, listed, "p_partkey", ROW), ["p_partkey"])
 
 
