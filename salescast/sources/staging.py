@@ -26,14 +26,16 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written.
 
+    ``options`` are those of Spark's Parquet writer, such as ``compression``.
+
     Used for tables of one row per key, and for the training rows, which the trees read
     many times. The lineage ends here, so a lost executor costs a re-read, and Spark
     plans later joins with the true size.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
