@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from salescast.llm.alignment import align
 from salescast.llm.fingerprints import fingerprint, lexicon, likeness, with_next
 from salescast.llm.hamming import sign_code, top_k
 from salescast.llm.html import extract
@@ -24,10 +25,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,6 +125,11 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(sized, sized["words"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    files = [tokenizer_file(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align(table(spark, folder, "documents"), *files, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
@@ -135,6 +141,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLE = {"op6_search": SEARCH, "op10_mixing": MIX}
