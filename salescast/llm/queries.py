@@ -9,6 +9,7 @@ from salescast.llm.alignment import align
 from salescast.llm.fingerprints import fingerprint, lexicon, likeness, with_next
 from salescast.llm.hamming import sign_code, top_k
 from salescast.llm.html import extract
+from salescast.llm.interaction import audit_documents
 from salescast.llm.jaccard import jaccard_components
 from salescast.llm.labelled import held_out
 from salescast.llm.langid import identify, learn_profiles
@@ -16,7 +17,7 @@ from salescast.llm.mixing import mix, word_count
 from salescast.llm.packing import pack
 from salescast.llm.quality import score_quality
 from salescast.llm.secrets import find_secrets
-from salescast.llm.sql import MIX, SEARCH
+from salescast.llm.sql import INTERACTION, MIX, SEARCH
 from salescast.llm.toxicity import score_toxicity
 from salescast.sources.staging import stage
 
@@ -125,6 +126,10 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(sized, sized["words"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_interaction(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     files = [tokenizer_file(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
     return align(table(spark, folder, "documents"), *files, digest=True).withColumnRenamed("groups", "groups_sha256")
@@ -141,7 +146,8 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op11_interaction": op11_interaction,
     "op12_alignment": op12_alignment,
 }
 
-ORACLE = {"op6_search": SEARCH, "op10_mixing": MIX}
+ORACLE = {"op6_search": SEARCH, "op10_mixing": MIX, "op11_interaction": INTERACTION}

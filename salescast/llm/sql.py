@@ -52,3 +52,45 @@ SELECT query_id, vec_id, distance,
 FROM pairs
 QUALIFY rank <= 10
 """
+
+INTERACTION = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+fails AS (
+  SELECT part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS c,
+    regexp_matches(text, '[#$%&*|]') AS d,
+    d.doc_id > min(d.doc_id) OVER (PARTITION BY text) AS e,
+    coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic
+  FROM texts d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+cells AS (
+  SELECT part, CAST(a AS INT) + 2 * CAST(b AS INT) + 4 * CAST(c AS INT) + 8 * CAST(d AS INT) + 16 * CAST(coalesce(e, false) AS INT) AS mask,
+    count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM fails GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT p.f || q.f || r.f || s.f || t.f AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits
+  FROM letters p, letters q, letters r, letters s, letters t
+  WHERE p.bit + q.bit + r.bit + s.bit + t.bit = 31 AND (p.bit | q.bit | r.bit | s.bit | t.bit) = 31),
+steps AS (
+  SELECT filter_order, step, bits[step] AS bit, CAST(list_sum(bits[:step]) AS INT) - bits[step] AS ahead
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+parts AS (SELECT DISTINCT part FROM cells),
+told AS (
+  SELECT p.part, s.filter_order, s.step, s.bit,
+    coalesce(sum(n) FILTER ((mask & (ahead | bit)) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER ((mask & bit) > 0 AND (mask & ahead) = 0), 0) AS removed,
+    coalesce(sum(n) FILTER ((mask & bit) > 0 AND (mask & ahead) > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER ((mask & bit) > 0 AND (mask & ahead) = 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER ((mask & bit) > 0 AND (mask & ahead) = 0), 0) AS toxic_lost
+  FROM parts p CROSS JOIN steps s JOIN cells c ON c.part = p.part
+  GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM told
+"""
