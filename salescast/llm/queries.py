@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salescast.llm.alignment import align
+from salescast.llm.descent import near_vectors
 from salescast.llm.fingerprints import fingerprint, lexicon, likeness, with_next
 from salescast.llm.hamming import sign_code, top_k
 from salescast.llm.html import extract
@@ -135,6 +136,10 @@ def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return align(table(spark, folder, "documents"), *files, digest=True).withColumnRenamed("groups", "groups_sha256")
 
 
+def op13_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
@@ -148,6 +153,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_interaction": op11_interaction,
     "op12_alignment": op12_alignment,
+    "op13_near_vectors": op13_near_vectors,
 }
 
 ORACLE = {"op6_search": SEARCH, "op10_mixing": MIX, "op11_interaction": INTERACTION}
