@@ -72,14 +72,15 @@ def score_two_layer(
     amount_layer: GBTRegressionModel,
     features: list[str],
     threshold: float = 0.5,
+    amount_features: list[str] | None = None,
 ) -> DataFrame:
     """Add ``p_buy``, ``buy_predicted``, ``amount_predicted``, ``qty_gated``, ``qty_expected``.
 
-    Row by row, without a shuffle.
+    Row by row, without a shuffle. The second layer may have features of its own.
     """
     refuse(df, ["qty_gated", "qty_expected"], "scoring")
     bought = score_buy_layer(df, buy_layer, features, threshold)
-    both = score_amount_layer(bought, amount_layer, features)
+    both = score_amount_layer(bought, amount_layer, amount_features or features)
     return both.select("*", *combine_layers("p_buy", "amount_predicted", threshold))
 
 

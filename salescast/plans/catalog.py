@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salescast.functions.columns import bucket, combine_layers, crossed, summable
+from salescast.operators.asof import last_before, likelihood_ordered
 from salescast.operators.encode import (
     likelihood_apply,
     likelihood_fit,
     likelihood_oof,
+    likelihood_targets,
 )
 from salescast.operators.evaluate import accuracy, forecast
 from salescast.operators.features import (
@@ -32,6 +34,8 @@ from salescast.operators.layers import (
     score_amount_layer,
     score_buy_layer,
 )
+from salescast.operators.trees import probability, tree_sum
+from salescast.plans.fixed import fixed_layers
 from salescast.plans.forecaster import feature_columns, fit_forecaster, prepare_training
 from salescast.plans.testbed import (
     CUTOFF,
@@ -172,6 +176,47 @@ def changes(spark: SparkSession, folder: str) -> DataFrame:
     return daily.withColumn("day", F.col("day").cast("string"))
 
 
+def last_offer(spark: SparkSession, folder: str) -> DataFrame:
+    """What the item was last offered at before the contact's day, and the change since.
+
+    Later contacts see offers of the training days only, as rows to be scored do.
+    """
+    value = F.sum(summable(F.col("value"))).cast("double") / F.count("value")
+    offers = contacts(spark, folder).groupBy("p_partkey", F.col("ts").cast("date").alias("day")).agg(value.alias("offer"))
+    rows = all_contacts(spark, folder).select("event_id", "ts", "p_partkey", "value")
+    wide = last_before(rows, offers, "p_partkey", "ts", ["offer"], "last", ROW)
+    return wide.select(
+        "event_id", "p_partkey", "last_offer", "last_days", (F.col("value") - F.col("last_offer")).alias("offer_change")
+    )
+
+
+def ordered_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    rows = contacts(spark, folder).select("event_id", "ts", "user_id", "buy")
+    return likelihood_ordered(rows, ["user_id"], "buy", "ts", row_id=ROW).select("event_id", "user_id", "likelihood")
+
+
+def amount_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    wide = attach_items(contacts(spark, folder), items(spark, folder).select("p_partkey", "p_type"), "p_partkey", ROW)
+    return likelihood_targets(wide, ["p_type"], {"buy": F.col("buy"), "amount": F.col("amount")})
+
+
+def fixed_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Both layers with fixed trees, over the history and the item of each row to be scored."""
+    layers = fixed_layers()
+    daily = daily_sums(contacts(spark, folder), "user_id", "ts", _measures())
+    totals = stage(history_totals(daily, "user_id", _measures(), "user"))
+    rows = score_rows(spark, folder).select("event_id", "ts", "user_id", "p_partkey")
+    wide = history_apply(rows, totals, "user_id", "ts", _measures(), "user", ROW)
+    wide = attach_items(wide, items(spark, folder).select("p_partkey", "p_size", "p_retailprice"), "p_partkey", ROW)
+    wide = wide.select("event_id", *[F.coalesce(F.col(f).cast("double"), F.lit(-1.0)).alias(f) for f in layers["features"]])
+    scored = wide.select(
+        "event_id",
+        F.round(probability(tree_sum(layers["buy"], layers["features"])), 9).alias("p_buy"),
+        tree_sum(layers["amount"], layers["features"]).alias("amount"),
+    )
+    return scored.select("*", *combine_layers("p_buy", "amount", 0.25))
+
+
 def split_counts(spark: SparkSession, folder: str) -> DataFrame:
     def counted(name: str, rows: DataFrame) -> DataFrame:
         return rows.agg(
@@ -246,9 +291,10 @@ def buy_layer(spark: SparkSession, folder: str) -> DataFrame:
 
 def amount_layer(spark: SparkSession, folder: str) -> DataFrame:
     fitted, train = prepare_training(contacts(spark, folder), items(spark, folder), ROLES)
-    model = fit_amount_layer(train.filter("buy = 1"), feature_columns(ROLES), "amount")
+    seen = feature_columns(ROLES, "amount")
+    model = fit_amount_layer(train.filter("buy = 1"), seen, "amount")
     rows = fitted.features(score_rows(spark, folder))
-    scored = score_amount_layer(rows, model, feature_columns(ROLES))
+    scored = score_amount_layer(rows, model, seen)
     return scored.select("event_id", F.col("amount_predicted").alias("amount"))
 
 
@@ -281,6 +327,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_row_history": score_row_history,
     "price_vs_peers": peers,
     "price_change": changes,
+    "last_offer": last_offer,
+    "likelihood_ordered": ordered_likelihood,
+    "likelihood_amount": amount_likelihood,
+    "score_fixed_layers": fixed_scores,
     "split_counts": split_counts,
     "two_layer_combine": two_layer_combine,
     "accuracy": rule_accuracy,

@@ -14,11 +14,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from salescast.functions.columns import crossed, day_of, fold_of, refuse, smoothed, summable
+from salescast.operators.asof import carried
 from salescast.operators.encode import (
     encoding_columns,
     encodings_from_counts,
     fold_columns,
-    fold_counts,
     label_means,
     likelihood_apply,
     roll_up,
@@ -57,8 +57,9 @@ class Roles:
 
     ``gaps`` maps a column of the items to the attributes it is filled from, and
     ``widths`` gives the interval of a numeric one. ``nominal`` lists the columns, or
-    crossed columns, to encode; ``numeric`` those used as they are. ``offer`` is the
-    price a contact saw, where contacts have one of their own.
+    crossed columns, to encode by the buy label; ``amount_nominal`` those to encode by the
+    amount that buyers took, which only the second layer sees; ``numeric`` those used as
+    they are. ``offer`` is the price a contact saw, where contacts have one of their own.
     """
 
     row_id: str
@@ -73,15 +74,48 @@ class Roles:
     gaps: dict[str, list[str]] = field(default_factory=dict)
     widths: dict[str, float] = field(default_factory=dict)
     nominal: list[list[str]] = field(default_factory=list)
+    amount_nominal: list[list[str]] = field(default_factory=list)
     numeric: list[str] = field(default_factory=list)
     offer: str | None = None
     m: float = 20.0
     n_folds: int = 5
 
 
-def _encoded(keys: list[str]) -> str:
+@dataclass(frozen=True, eq=False)
+class Target:
+    """What is encoded by: the letter behind the sums, the label, the keys."""
+
+    tag: str
+    label: Column
+    nominal: list[list[str]]
+
+    def name(self, keys: list[str]) -> str:
+        return _encoded(keys, "amount_likelihood_" if self.tag else "likelihood_")
+
+
+def _targets(roles: Roles) -> list[Target]:
+    bought = F.when(F.col(roles.buy) == 1, F.col(roles.amount))
+    targets = [Target("", F.col(roles.buy), roles.nominal), Target("a", bought, roles.amount_nominal)]
+    return targets[: 2 if roles.amount_nominal else 1]
+
+
+def _encoded(keys: list[str], prefix: str = "likelihood_") -> str:
     """Name of an encoding, two underlines between its columns."""
-    return "likelihood_" + "__".join(keys)
+    return prefix + "__".join(keys)
+
+
+def _encodings(roles: Roles) -> dict[str, list[str]]:
+    """Names and keys of all encodings."""
+    return {t.name(keys): keys for t in _targets(roles) for keys in t.nominal}
+
+
+def _fold_columns(roles: Roles) -> list[Column]:
+    """Counts and sums by fold, of all targets."""
+    columns = []
+    for t in _targets(roles):
+        made = fold_columns(t.label, "_fold", roles.n_folds, t.tag, exact=bool(t.tag))
+        columns += made[1:] if columns else made
+    return columns
 
 
 def _sides(roles: Roles) -> dict[str, str]:
@@ -99,13 +133,13 @@ def _measures(roles: Roles, side: str) -> dict[str, Column]:
     return measures
 
 
-def feature_columns(roles: Roles) -> list[str]:
-    """Columns of the features, in the order of ``feature_names``."""
-    return [FEATURE + name for name in feature_names(roles)]
+def feature_columns(roles: Roles, layer: str = "buy") -> list[str]:
+    """Columns of the features of a layer, in the order of ``feature_names``."""
+    return [FEATURE + name for name in feature_names(roles, layer)]
 
 
-def feature_names(roles: Roles) -> list[str]:
-    """What the model sees. A numeric column has a second feature, whether it is there."""
+def feature_names(roles: Roles, layer: str = "buy") -> list[str]:
+    """What a layer sees. A numeric column has a second feature, whether it is there."""
     past = ("contacts_before", "buys_before", "qty_before", "days_since")
     return [
         "day_of_week",
@@ -117,6 +151,8 @@ def feature_names(roles: Roles) -> list[str]:
         *roles.numeric,
         *[f"{name}_is_null" for name in roles.numeric],
         *([roles.offer, "offer_vs_list", "offer_vs_past"] if roles.offer else []),
+        *(["offer_last", "offer_vs_last", "offer_last_days"] if roles.offer else []),
+        *([t.name(keys) for t in _targets(roles)[1:] for keys in t.nominal] if layer == "amount" else []),
     ]
 
 
@@ -153,8 +189,13 @@ class Forecaster:
             wide = history_apply(
                 wide, self.totals[side], key, roles.ts, _measures(roles, side), side, row_id
             )
-        for keys in roles.nominal:
-            name = _encoded(keys)
+        if roles.offer:
+            day = day_of(roles.ts)
+            wide = wide.withColumns({
+                "item_offer_last": F.when(day.isNotNull(), F.col("item_offer_last")),
+                "item_offer_last_days": F.date_diff(day, F.col("item_offer_last_day")),
+            })
+        for name, keys in _encodings(roles).items():
             default = F.lit(self.defaults[name])
             if name in self.encodings:
                 wide = likelihood_apply(
@@ -176,6 +217,7 @@ class Forecaster:
             self.amount_layer,
             feature_columns(self.roles),
             threshold,
+            feature_columns(self.roles, "amount"),
         )
 
     def evaluate(self, rows: DataFrame) -> DataFrame:
@@ -184,7 +226,7 @@ class Forecaster:
 
     def importance(self, layer: str) -> DataFrame:
         model = {"buy": self.buy_layer, "amount": self.amount_layer}[layer]
-        return feature_importance(model, feature_names(self.roles)).select(
+        return feature_importance(model, feature_names(self.roles, layer)).select(
             F.lit(layer).alias("layer"), "feature", "importance", "rank"
         )
 
@@ -226,12 +268,13 @@ class Forecaster:
 
 def _check_names(rows: DataFrame, roles: Roles) -> None:
     """Columns of the rows must not be named as what is added on the way, encodings as each other."""
-    if len({_encoded(keys) for keys in roles.nominal}) < len(roles.nominal):
+    if len(_encodings(roles)) < len(roles.nominal) + len(roles.amount_nominal):
         raise ValueError("two encodings have the same name")
     added = [f"{side}_{name}" for side in _sides(roles) for name in ("days_since",)]
     for side in _sides(roles):
         added += history_names(_measures(roles, side), side)
-    added += [_encoded(keys) for keys in roles.nominal] + feature_columns(roles)
+    added += [*_encodings(roles), *feature_columns(roles, "amount")]
+    added += ["item_offer_last", "item_offer_last_days", "item_offer_last_day"] if roles.offer else []
     added += ["peer_price", "price_ratio", "price_rank", "_day", "_fold", "_last", "_value"]
     refuse(rows, added, "the forecaster")
 
@@ -246,12 +289,15 @@ def _finished(wide: DataFrame, roles: Roles, keep: list[str]) -> DataFrame:
         past = F.try_divide(F.col("item_offer_before").cast("double"), "item_offers_before")
         made["offer_vs_list"] = F.try_divide(offer, F.col(roles.price).cast("double"))
         made["offer_vs_past"] = F.try_divide(offer, past)
+        made["offer_last"] = F.col("item_offer_last")
+        made["offer_vs_last"] = F.try_divide(offer, F.col("item_offer_last"))
+        made["offer_last_days"] = F.col("item_offer_last_days")
     return wide.select(
         *keep,
         *price,
         *[
             F.coalesce(made.get(n, F.col(n)).cast("double"), F.lit(NO_VALUE)).alias(FEATURE + n)
-            for n in feature_names(roles)
+            for n in feature_names(roles, "amount")
         ],
     )
 
@@ -262,6 +308,7 @@ def _describe(
     nominal: list[list[str]],
     priors: Column,
     roles: Roles,
+    target: Target,
 ) -> tuple[DataFrame, dict[str, Row]]:
     """The items with the encodings of their attributes, ``<name>`` and ``_by_fold_<name>``.
 
@@ -271,7 +318,7 @@ def _describe(
     """
     if not nominal:
         return items, {}
-    names = {_encoded(keys): crossed(*keys) for keys in nominal}
+    names = {target.name(keys): crossed(*keys) for keys in nominal}
     cells = [
         F.struct(F.lit(name).alias("_name"), value.alias("_value"))
         for name, value in names.items()
@@ -283,9 +330,9 @@ def _describe(
         .withColumn("_cell", F.explode(F.array(*cells)))
         .select(*[F.col(new).alias(old) for old, new in sums.items()], "_cell._name", "_cell._value")
     )
-    whole, by_fold = encoding_columns(priors, roles.m, roles.n_folds)
+    whole, by_fold = encoding_columns(priors, roles.m, roles.n_folds, tag=target.tag)
     table = stage(
-        roll_up(counted, ["_name", "_value"], roles.n_folds).select(
+        roll_up(counted, ["_name", "_value"], roles.n_folds, [target.tag]).select(
             F.col("_name").alias("name"),
             F.col("_value").alias("value"),
             whole.alias("whole"),
@@ -321,6 +368,18 @@ def _describe(
     return stage(described), unlisted
 
 
+def _mean_offer() -> Column:
+    return F.try_divide(F.col("offer").cast("double"), F.col("offers"))
+
+
+def _with_last_offer(daily: DataFrame, key: str) -> tuple[DataFrame, list[Column]]:
+    """The daily table with the mean offer of the item's last earlier day that had one, and its columns."""
+    value = F.when(F.col("offers") > 0, F.struct(F.col("_day").alias("day"), _mean_offer().alias("mean")))
+    days = carried(daily.withColumn("_offer", value), key, "_day", "_offer", "_offer_last")
+    since = F.date_diff("_day", F.col("_offer_last.day"))
+    return days, [F.col("_offer_last.mean").alias("item_offer_last"), since.alias("item_offer_last_days")]
+
+
 def training_features(
     contacts: DataFrame, items: DataFrame, roles: Roles
 ) -> tuple[Forecaster, DataFrame]:
@@ -337,63 +396,85 @@ def training_features(
     _check_names(contacts, roles)
     # a hash, so that folds are even whatever the ids look like
     contacts = contacts.withColumn("_fold", F.xxhash64(roles.row_id))
-    sides = _sides(roles)
+    sides, targets = _sides(roles), _targets(roles)
     ready = prepare_items(items, roles)
     attributes = set(ready.columns) - {roles.item}
-    own_key = [keys for keys in roles.nominal if keys in [[k] for k in sides.values()]]
-    of_items = [keys for keys in roles.nominal if set(keys) <= attributes]
-    mixed = [keys for keys in roles.nominal if keys not in own_key + of_items]
+    kind = {"own": {}, "items": {}, "mixed": {}}
+    for t in targets:
+        of_key = [keys for keys in t.nominal if keys in [[k] for k in sides.values()]]
+        of_items = [keys for keys in t.nominal if set(keys) <= attributes]
+        mixed = [keys for keys in t.nominal if keys not in of_key + of_items]
+        for name, some in zip(kind, (of_key, of_items, mixed)):
+            kind[name][t] = some
 
     daily = {}
-    folds = fold_columns(roles.buy, "_fold", n_folds)
+    folds = _fold_columns(roles)
     for side, key in sides.items():
         measures = _measures(roles, side)
         daily[side] = stage(daily_sums(contacts, key, roles.ts, measures, folds))
-    # the mean of the label, over all contacts and without each fold
-    means = daily["item"].agg(label_means(n_folds).alias("means")).first()["means"]
-    priors = F.array(*[F.lit(v).cast("double") for v in means])
-    defaults = {_encoded(keys): means[0] or 0.0 for keys in roles.nominal}
+    # the mean of each label, over all contacts and without each fold
+    row = daily["item"].agg(*[label_means(n_folds, t.tag).alias(f"means{t.tag}") for t in targets]).first()
+    means = {t: row[f"means{t.tag}"] for t in targets}
+    priors = {t: F.array(*[F.lit(v).cast("double") for v in means[t]]) for t in targets}
+    defaults = {t.name(keys): means[t][0] or 0.0 for t in targets for keys in t.nominal}
 
     totals, histories = {}, {}
     for side, key in sides.items():
-        measures, in_history, in_totals = _measures(roles, side), [], []
-        if [key] in own_key:
-            name = _encoded([key])
-            by_fold = encoding_columns(priors, m, n_folds, W.partitionBy(key))[1]
-            in_history = [by_fold.alias(f"_by_fold_{name}")]
-            s, n = (F.sum(total(letter, range(n_folds))) for letter in "sn")
-            in_totals = [smoothed(s, n, priors[0], m).alias(name)]
-        histories[side] = stage(history_table(daily[side], key, measures, side, in_history))
+        measures, in_history, in_totals, days = _measures(roles, side), [], [], daily[side]
+        for t in targets:
+            if [key] in kind["own"][t]:
+                name = t.name([key])
+                by_fold = encoding_columns(priors[t], m, n_folds, W.partitionBy(key), t.tag)[1]
+                in_history.append(by_fold.alias(f"_by_fold_{name}"))
+                s, n = (F.sum(total(letter + t.tag, range(n_folds))) for letter in "sn")
+                in_totals.append(smoothed(s.cast("double"), n, priors[t][0], m).alias(name))
+        if side == "item" and roles.offer:
+            days, last = _with_last_offer(days, key)
+            in_history += last
+            seen = F.when(F.col("offers") > 0, F.col("_day"))
+            in_totals += [F.max_by(_mean_offer(), seen).alias("item_offer_last"), F.max(seen).alias("item_offer_last_day")]
+        histories[side] = stage(history_table(days, key, measures, side, in_history))
         totals[side] = stage(history_totals(daily[side], key, measures, side, in_totals))
 
-    per_item = roll_up(daily["item"], [roles.item], n_folds)
-    described, unlisted = _describe(ready, per_item, of_items, priors, roles)
+    tags = [t.tag for t in targets]
+    per_item = roll_up(daily["item"], [roles.item], n_folds, tags)
+    described, unlisted = ready, {}
+    for t in targets:
+        described, rest = _describe(described, per_item, kind["items"][t], priors[t], roles, t)
+        unlisted |= rest
     defaults |= {name: row["whole"] for name, row in unlisted.items()}
+    of_items = [t.name(keys) for t in targets for keys in kind["items"][t]]
 
     wide = attach_items(contacts, described, roles.item, row_id, unique=True)
-    wide = wide.drop(*[_encoded(keys) for keys in of_items])
+    wide = wide.drop(*of_items)
     for side, key in sides.items():
         wide = history_join(wide, histories[side], key, roles.ts, row_id)
     encodings = {}
-    for keys in mixed:
-        name = _encoded(keys)
+    every = [keys for t in targets for keys in kind["mixed"][t]]
+    for at, keys in enumerate(every):
+        if keys in every[:at]:
+            continue
         needed = ready.select(roles.item, *[k for k in keys if k in attributes])
         rows = attach_items(contacts, needed, roles.item, row_id, unique=True)
-        counts = stage(fold_counts(rows, keys, roles.buy, "_fold", n_folds))
-        encodings[name] = stage(encodings_from_counts(counts, keys, m, n_folds, name))
-        table = encodings[name].select(
-            *keys, "n_rows", F.col("by_fold").alias(f"_by_fold_{name}")
-        )
-        wide = lookup_join(wide, table, keys, "n_rows", row_id=row_id)
+        counts = stage(rows.groupBy(*keys).agg(*_fold_columns(roles)))
+        for t in targets:
+            if keys not in kind["mixed"][t]:
+                continue
+            name = t.name(keys)
+            encodings[name] = stage(encodings_from_counts(counts, keys, m, n_folds, name, t.tag))
+            table = encodings[name].select(
+                *keys, "n_rows", F.col("by_fold").alias(f"_by_fold_{name}")
+            )
+            wide = lookup_join(wide, table, keys, "n_rows", row_id=row_id)
     own = fold_of("_fold", n_folds)
-    for name in map(_encoded, roles.nominal):
+    for name in _encodings(roles):
         values = F.col(f"_by_fold_{name}")
         if name in unlisted:
             values = F.coalesce(values, F.array(*map(F.lit, unlisted[name]["by_fold"])))
         wide = wide.withColumn(name, values[own])
     fitted = Forecaster(
         roles=roles,
-        items=described.drop(*[f"_by_fold_{_encoded(keys)}" for keys in of_items]),
+        items=described.drop(*[f"_by_fold_{name}" for name in of_items]),
         totals=totals,
         encodings=encodings,
         defaults=defaults,
@@ -406,7 +487,7 @@ def prepare_training(
 ) -> tuple[Forecaster, DataFrame]:
     """``training_features`` with the columns the layers need written to the shared folder."""
     fitted, rows = training_features(contacts, items, roles)
-    kept = dict.fromkeys([*feature_columns(roles), roles.buy, roles.amount])
+    kept = dict.fromkeys([*feature_columns(roles, "amount"), roles.buy, roles.amount])
     return fitted, stage(rows.select(*kept))
 
 
@@ -425,7 +506,7 @@ def fit_forecaster(
     with ThreadPoolExecutor(2) as pool:
         first = pool.submit(keep_settings(fit_buy_layer), train, names, roles.buy, **params)
         second = pool.submit(
-            keep_settings(fit_amount_layer), buyers, names, roles.amount, **params
+            keep_settings(fit_amount_layer), buyers, feature_columns(roles, "amount"), roles.amount, **params
         )
         fitted.buy_layer, fitted.amount_layer = first.result(), second.result()
     return fitted

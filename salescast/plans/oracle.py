@@ -6,6 +6,11 @@ takes, since the other engine's doubles are exact for those only.
 
 from __future__ import annotations
 
+from salescast.operators.trees import tree_sql
+from salescast.plans.fixed import fixed_layers
+
+_LAYERS = fixed_layers()
+
 _ITEMS = """items AS (
   SELECT p_partkey, p_name,
          CASE WHEN p_partkey % 10 <> 0 THEN p_brand END AS p_brand,
@@ -192,6 +197,60 @@ SELECT l_partkey, CAST(day AS VARCHAR) AS day, price, previous_price,
        price - previous_price AS price_difference,
        price / nullif(previous_price, 0) AS price_ratio
 FROM steps""",
+    "last_offer": f"""WITH {_ALL},
+offers AS (
+  SELECT p_partkey, day, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) AS offer
+  FROM contacts GROUP BY p_partkey, day),
+known AS (SELECT * FROM offers WHERE offer IS NOT NULL),
+days AS (SELECT DISTINCT p_partkey, day FROM all_contacts),
+past AS (
+  SELECT d.p_partkey, d.day, max(k.day) AS last
+  FROM days d JOIN known k ON k.p_partkey IS NOT DISTINCT FROM d.p_partkey AND k.day < d.day
+  GROUP BY d.p_partkey, d.day)
+SELECT event_id, c.p_partkey, k.offer AS last_offer,
+       CAST(date_diff('day', p.last, c.day) AS INTEGER) AS last_days, value - k.offer AS offer_change
+FROM all_contacts c
+LEFT JOIN past p ON p.p_partkey IS NOT DISTINCT FROM c.p_partkey AND p.day = c.day
+LEFT JOIN known k ON k.p_partkey IS NOT DISTINCT FROM p.p_partkey AND k.day = p.last""",
+    "likelihood_ordered": f"""WITH {_ALL},
+daily AS (SELECT user_id, day, sum(buy) AS s, count(buy) AS n FROM contacts GROUP BY user_id, day),
+days AS (SELECT day, sum(s) AS s, sum(n) AS n FROM daily GROUP BY day),
+priors AS (
+  SELECT day, CAST(sum(s) OVER before AS DOUBLE) / sum(n) OVER before AS g FROM days
+  WINDOW before AS (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+own AS (
+  SELECT user_id, day, CAST(coalesce(sum(s) OVER before, 0) AS DOUBLE) AS s, coalesce(sum(n) OVER before, 0) AS n
+  FROM daily
+  WINDOW before AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT event_id, c.user_id, (s + 20 * g) / (n + 20) AS likelihood
+FROM contacts c JOIN own o ON o.user_id = c.user_id AND o.day = c.day JOIN priors p ON p.day = c.day""",
+    "likelihood_amount": f"""WITH {_ALL}, {_ITEMS},
+sums AS (
+  SELECT p_type, count(*) AS n_rows, count(buy) AS n_buy, CAST(sum(buy) AS DOUBLE) AS s_buy,
+         count(amount) AS n_amount, CAST(coalesce(sum(CAST(amount AS DECIMAL(18,2))), 0) AS DOUBLE) AS s_amount,
+         sum(CAST(amount AS DECIMAL(18,2))) AS amounts
+  FROM contacts c LEFT JOIN items i ON i.p_partkey = c.p_partkey GROUP BY p_type),
+priors AS (
+  SELECT sum(s_buy) / sum(n_buy) AS buy, CAST(sum(amounts) AS DOUBLE) / sum(n_amount) AS amount FROM sums)
+SELECT p_type, n_rows, n_buy, s_buy, (s_buy + 20 * buy) / (n_buy + 20) AS likelihood_buy,
+       n_amount, s_amount, (s_amount + 20 * amount) / (n_amount + 20) AS likelihood_amount
+FROM sums, priors""",
+    "score_fixed_layers": f"""WITH {_ALL},
+totals AS (
+  SELECT user_id, count(*) AS contacts, sum(buy) AS buys, max(day) AS last FROM contacts GROUP BY user_id),
+wide AS (
+  SELECT event_id, CAST(coalesce(contacts, 0) AS DOUBLE) AS user_contacts_before,
+         CAST(coalesce(buys, 0) AS DOUBLE) AS user_buys_before,
+         CAST(coalesce(date_diff('day', last, day), -1) AS DOUBLE) AS user_days_since,
+         CAST(coalesce(p_size, -1) AS DOUBLE) AS p_size, coalesce(p_retailprice, -1.0) AS p_retailprice
+  FROM later l LEFT JOIN totals t ON t.user_id = l.user_id LEFT JOIN part p ON p.p_partkey = l.p_partkey),
+scored AS (
+  SELECT event_id, round(1.0 / (1.0 + exp(-2.0 * {tree_sql(_LAYERS["buy"], _LAYERS["features"])})), 9) AS p_buy,
+         {tree_sql(_LAYERS["amount"], _LAYERS["features"])} AS amount
+  FROM wide)
+SELECT event_id, p_buy, amount, CASE WHEN p_buy >= 0.25 THEN amount ELSE 0.0 END AS qty_gated,
+       p_buy * amount AS qty_expected
+FROM scored""",
     "split_counts": f"""WITH {_ALL}
 SELECT 'train' AS part, count(*) AS n_rows, CAST(sum(buy) AS BIGINT) AS n_buys FROM contacts
 UNION ALL

@@ -26,6 +26,7 @@ ROLES = Roles(
     peers="p_type",
     gaps={"p_brand": ["p_type", "price_band", "size_band"]},
     nominal=[["user_id"], ["p_brand"], ["p_type"], ["p_brand", "p_type"]],
+    amount_nominal=[["p_type"]],
     numeric=["p_size"],
 )
 

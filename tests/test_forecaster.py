@@ -3,12 +3,14 @@ import dataclasses
 import pytest
 from pyspark.sql import functions as F
 
+from salescast.operators.asof import last_before
 from salescast.operators.encode import likelihood_apply, likelihood_fit, likelihood_oof
 from salescast.operators.evaluate import forecast
 from salescast.operators.features import attach_items, history
 from salescast.plans import Forecaster, Roles, fit_forecaster
 from salescast.plans.forecaster import (
     _encoded,
+    _encodings,
     _measures,
     feature_columns,
     prepare_items,
@@ -28,6 +30,7 @@ ROLES = Roles(
     peers="kind",
     gaps={"maker": ["kind", "band"]},
     nominal=[["user"], ["item"], ["maker"], ["maker", "kind"], ["user", "kind"]],
+    amount_nominal=[["user"], ["maker"], ["maker", "kind"], ["user", "kind"]],
     numeric=["size"],
     offer="offer",
 )
@@ -88,17 +91,42 @@ def differences(rows, alone, names):
     return found.pop("rows"), {n: k for n, k in found.items() if k}
 
 
+def offers_by_day(rows):
+    return rows.groupBy("item", F.col("ts").cast("date").alias("day")).agg(F.avg("offer").alias("offer"))
+
+
+def test_rule_of_a_changed_price_is_found(parts):
+    """Customers buy when the offer is below the item's last one: no other variable says so."""
+    offer = (8 + F.pmod(F.xxhash64("id"), F.lit(60)) / 10).cast("double")
+    train, later = (rows.withColumn("offer", offer) for rows in parts[:2])
+    items, roles = parts[2], dataclasses.replace(ROLES, nominal=[], amount_nominal=[])
+    told = [last_before(rows, offers_by_day(train), "item", "ts", ["offer"], "past", ["id"]) for rows in (train, later)]
+    ruled = [rows.withColumn("buy", F.coalesce(F.col("offer") < F.col("past_offer"), F.lit(False)).cast("int")).select(train.columns) for rows in told]
+    model = fit_forecaster(stage(ruled[0]), items, roles, maxIter=5, maxDepth=3)
+    found = model.evaluate(stage(ruled[1])).first()
+    assert found.accuracy > 0.95 > found.majority_share + 0.2
+    top = [r.feature for r in model.importance("buy").filter("rank = 1").collect()]
+    assert top == ["offer_vs_last"]
+
+
 def test_training_features_equal_single_operators(parts, join_way):
     train, _, items = parts
     _, rows = training_features(train, items, ROLES)
-    assert rows.columns[-len(feature_columns(ROLES)) :] == feature_columns(ROLES)
+    seen = feature_columns(ROLES, "amount")
+    assert rows.columns[-len(seen) :] == seen and feature_columns(ROLES) == seen[: -len(ROLES.amount_nominal)]
     folded = train.withColumn("fold", F.xxhash64("id"))
     alone = stage(attach_items(folded, prepare_items(items, ROLES), "item"))
-    names = [_encoded(keys) for keys in ROLES.nominal]
-    for keys, name in zip(ROLES.nominal, names):
+    names = list(_encodings(ROLES))
+    for name, keys in _encodings(ROLES).items():
+        label = "qty" if name.startswith("amount") else "buy"
         alone = stage(
-            likelihood_oof(alone, keys, "buy", "fold", out=f"want_{name}", row_id=["id"])
+            likelihood_oof(alone, keys, label, "fold", out=f"want_{name}", row_id=["id"])
         )
+    alone = stage(last_before(alone, offers_by_day(train), "item", "ts", ["offer"], "past", ["id"]))
+    last = {"offer_last": F.col("past_offer"), "offer_vs_last": F.col("offer") / F.col("past_offer"), "offer_last_days": F.col("past_days")}
+    for name, value in last.items():
+        alone = alone.withColumn(f"want_{name}", F.coalesce(value.cast("double"), F.lit(-1.0)))
+        names.append(name)
     for side, key in (("user", "user"), ("item", "item")):
         alone = stage(history(alone, key, "ts", _measures(ROLES, side), side, ["id"]))
         for column in ("buys_before", "qty_before", "days_since"):
@@ -114,10 +142,14 @@ def test_score_features_equal_single_operators(parts, fitted, join_way):
     train, later, items = parts
     ready = prepare_items(items, ROLES)
     seen, alone = (stage(attach_items(x, ready, "item")) for x in (train, later))
-    names = [_encoded(keys) for keys in ROLES.nominal]
-    for keys, name in zip(ROLES.nominal, names):
-        stats = likelihood_fit(seen, keys, "buy", out=f"want_{name}")
+    names = list(_encodings(ROLES))
+    for name, keys in _encodings(ROLES).items():
+        stats = likelihood_fit(seen, keys, "qty" if name.startswith("amount") else "buy", out=f"want_{name}")
         alone = likelihood_apply(alone, stats, keys, out=f"want_{name}", row_id=["id"])
+    alone = stage(last_before(alone, offers_by_day(train), "item", "ts", ["offer"], "past", ["id"]))
+    for name, value in {"offer_last": F.col("past_offer"), "offer_last_days": F.col("past_days")}.items():
+        alone = alone.withColumn(f"want_{name}", F.coalesce(value.cast("double"), F.lit(-1.0)))
+        names.append(name)
     alone = alone.select("id", *[f"want_{name}" for name in names])
     rows = fitted.features(later.drop("buy", "qty"))
     assert differences(rows, alone, names) == (later.count(), {})
@@ -159,7 +191,7 @@ def test_saved_and_loaded_scores_alike(spark, parts, fitted, tmp_path):
 def test_plain_roles(parts):
     train, later, items = parts
     plain = dataclasses.replace(
-        ROLES, gaps={}, nominal=[], numeric=[], offer=None
+        ROLES, gaps={}, nominal=[], amount_nominal=[], numeric=[], offer=None
     )
     model = fit_forecaster(train, items, plain, maxIter=1, maxDepth=2)
     assert model.score(later).count() == later.count()
@@ -181,7 +213,7 @@ def test_prices_keys_and_labels_stay_as_they_are(spark, parts, fitted):
 def test_names_that_are_used_on_the_way(parts):
     train, later, items = parts
     renamed = items.withColumnsRenamed({"kind": "name", "band": "value"}).withColumns({"n_rows": F.lit(1), "month": F.lit(2)})
-    roles = dataclasses.replace(ROLES, peers="name", gaps={"maker": ["name"]}, nominal=[["maker", "name"], ["name"]])
+    roles = dataclasses.replace(ROLES, peers="name", gaps={"maker": ["name"]}, nominal=[["maker", "name"], ["name"]], amount_nominal=[["name"]])
     model = fit_forecaster(train.withColumn("day", F.lit("x")), renamed, roles, maxIter=1, maxDepth=2)
     scored = model.score(later.withColumn("day", F.lit("x")))
     assert scored.count() == later.count() and scored.select("day").distinct().first().day == "x"
