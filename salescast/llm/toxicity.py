@@ -190,12 +190,30 @@ def likelihood(toxic: Column, clean: Column, total: dict[int, float]) -> Column:
     return 2 * found
 
 
-def learn_lexicon(sample: DataFrame, least: float = 5.0, odds: float = 20.0, sure: float = 15.0) -> Lexicon:
+def sure_from(steps: list[tuple[int, int, int]], false_share: float) -> float:
+    """The least log-likelihood ratio of which at most ``false_share`` of the words above are there by chance.
+
+    ``steps`` are the numbers of words by four times their ratio, rounded down, and four times
+    the ratio that they had if all their texts were toxic: words that cannot reach a ratio
+    at all are none that could by chance. By chance a ratio is as large with the probability of
+    a squared normal.
+    """
+    least = math.inf
+    for step in sorted({s for s, _, _ in steps if s > 0}, reverse=True):
+        above = sum(n for s, _, n in steps if s >= step)
+        tried = sum(n for _, most, n in steps if most >= step)
+        if tried * math.erfc(math.sqrt(step / 8)) <= false_share * above:
+            least = step / 4
+    return least
+
+
+def learn_lexicon(sample: DataFrame, least: float = 2.0, odds: float = 20.0, false_share: float = 0.05) -> Lexicon:
     """Terms and stems that mark toxic texts, from a bounded sample of labelled texts.
 
     A term is taken if it is in ``least`` toxic texts or more, whatever their share, and
-    ``odds`` times as often there as in others, with a log-likelihood ratio of ``sure``
-    or more: a language or source may hold a small share of the toxic texts. A stem is the longest beginning that five such
+    ``odds`` times as often there as in others, with a log-likelihood ratio so large that
+    of all words with such a ratio at most ``false_share`` are expected by chance, which
+    follows the sample at any size (see ``sure_from``): a language or source may hold a small share of the toxic texts. A stem is the longest beginning that five such
     words or more have in common. Texts count less the more near copies they have, told by
     the smallest hashes of their word triples, or else the words of one copied text would
     be terms. Terms that begin with a stem stay, for their misspellings. Words of clean texts
@@ -253,7 +271,16 @@ def learn_lexicon(sample: DataFrame, least: float = 5.0, odds: float = 20.0, sur
         F.explode(F.array(*[F.when(F.length("x") > n, F.substring("x", 1, n)) for n in STEM_SIZES])).alias("x")
     )
     begun = begun.filter("x is not null").groupBy("x").count()
-    telling = likelihood(F.col("toxic"), F.col("clean"), total) >= sure
+    ratio = likelihood(F.col("toxic"), F.col("clean"), total)
+    marked = F.when((F.col("toxic") >= least - 1e-6) & (share >= odds * other), ratio).otherwise(0.0)
+    texts = F.col("toxic") + F.col("clean")
+    possible = likelihood(F.least(texts, F.lit(float(total[1]))), F.lit(0.0), total)
+    steps = summed.filter("kind = 'word'").groupBy(
+        F.floor(4 * marked).cast("int").alias("step"), F.floor(4 * possible).cast("int").alias("most")
+    ).count()
+    # no more rows than words of the bounded sample
+    sure = sure_from([tuple(r) for r in steps.collect()], false_share)
+    telling = ratio >= sure
     # weights such as thirds do not add up to whole numbers
     marking = summed.filter((F.col("toxic") >= least - 1e-6) & (share >= odds * other) & telling).withColumn("odds", F.log(share / other))
     # the sample is bounded, so its words in so many texts are too

@@ -56,7 +56,7 @@ def test_stages_take_odd_rows(spark):
 
 def test_run_and_registration(spark):
     assert P.run(spark, FOLDER).count() > 0
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_search_against_sql(spark):
