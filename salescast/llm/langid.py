@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,7 +15,10 @@ from salescast.sources.staging import stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SIZES = (1, 2, 3, 4)
-CACHED = 200_000
+#: words that are counted together, so that a text of any length takes bounded memory
+PART_WORDS = 200_000
+#: distinct letters of a text that are numbered in 16 bits
+ALPHABET = 0xFFFF
 FLUSH = 300_000
 
 
@@ -91,50 +93,82 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", leng
     return stage(ranked.select("lang", "gram", "rank"))
 
 
+def packed(points: np.ndarray) -> np.ndarray:
+    """All n-grams of letters between single spaces as numbers, in the order of their letters.
+
+    ``points`` begin and end with the space, which is the smallest of them, and fit 16 bits.
+    """
+    letter, up = points != points[0], points << np.uint64(48)
+    two = up[:-1] | up[1:] >> np.uint64(16)
+    three = two[:-1] | up[2:] >> np.uint64(32)
+    four = three[:-1] | up[3:] >> np.uint64(48)
+    inner = letter[1:-1]
+    return np.concatenate([up[letter], two, three[inner], four[inner[:-1] & inner[1:]]])
+
+
+def counted(grams: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams, ascending, and how often each is there."""
+    if weights is None:
+        grams = np.sort(grams)
+    else:
+        order = np.argsort(grams)
+        grams, weights = grams[order], weights[order]
+    starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+    counts = np.diff(starts, append=len(grams)) if weights is None else np.add.reduceat(weights, starts)
+    return grams[starts], counts
+
+
 class Ranker:
-    """Places of a text's n-grams against those of every profile."""
+    """Places of a text's n-grams against those of every profile.
+
+    An n-gram is one number of four letters of 16 bits, so a text is counted by one sort.
+    Letters beyond 16 bits are numbered within their text, in their order.
+    """
 
     def __init__(self, profiles: list[tuple[str, str, int]], length: int):
         self.langs = sorted({p[0] for p in profiles})
         self.length = length
-        self.ids: dict[str, int] = {}
-        self.order: list[str] = []
-        # code points of each gram in two numbers, for ties
-        self.high, self.low = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.cached: dict[str, bytes] = {}
-        for _, gram, _ in profiles:
-            self._id(gram)
-        self.ranks = np.full((len(self.langs), len(self.order)), length, np.int64)
+        grams = sorted({p[1] for p in profiles})
+        self.place = {g: i for i, g in enumerate(grams)}
+        # one place more, for n-grams of no profile
+        self.ranks = np.full((len(self.langs), len(grams) + 1), length, np.int64)
         for name, gram, rank in profiles:
-            self.ranks[self.langs.index(name), self.ids[gram]] = rank
-        self.known = len(self.order)
-
-    def _id(self, gram: str) -> int:
-        at = self.ids.get(gram)
-        if at is None:
-            at = self.ids[gram] = len(self.order)
-            self.order.append(gram)
-            if at == len(self.high):
-                self.high, self.low = (np.concatenate([x, np.zeros_like(x)]) for x in (self.high, self.low))
-            points = [ord(c) for c in gram] + [0] * 3
-            self.high[at] = points[0] << 42 | points[1] << 21 | points[2]
-            self.low[at] = points[3]
-        return at
-
-    def _grams(self, word: str) -> bytes:
-        found = self.cached.get(word)
-        if found is None:
-            found = array("i", [self._id(g) for g in grams_of(word)]).tobytes()
-            if len(word) <= 40:
-                self.cached[word] = found
-        return found
-
-    def _bounded(self) -> None:
-        if len(self.cached) > CACHED or len(self.order) > self.known + 4 * CACHED:
-            for gram in self.order[self.known :]:
-                del self.ids[gram]
-            del self.order[self.known :]
-            self.cached.clear()
+            self.ranks[self.langs.index(name), self.place[gram]] = rank
+        plain = [g for g in grams if max(g) <= "\uffff"]
+        self.numbers = np.array([sum(ord(c) << (48 - 16 * i) for i, c in enumerate(g)) for g in plain], np.uint64)
+        self.number_at = np.array([self.place[g] for g in plain], np.int64)
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Places in the profiles of the text's ``length`` most frequent n-grams, in order."""
+        alphabet = sorted({" "}.union(*words))
+        if len(alphabet) > ALPHABET:
+            counts = Counter(g for w in words for g in grams_of(w))
+            top = sorted(counts, key=lambda g: (-counts[g], g))[: self.length]
+            return np.array([self.place.get(g, len(self.place)) for g in top], np.int64)
+        wide = alphabet[-1] > "\uffff"
+        codes = np.array([ord(c) for c in alphabet], np.uint64)
+        found, at = None, 0
+        while at < len(words):
+            part = words[at : at + PART_WORDS]
+            at += len(part)
+            points = np.frombuffer(f" {' '.join(part)} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+            if wide:
+                points = np.searchsorted(codes, points).astype(np.uint64) + np.uint64(1)
+            one = counted(packed(points))
+            found = one if found is None else counted(*map(np.concatenate, zip(found, one)))
+        grams, counts = found
+        if len(grams) > self.length:
+            least = np.partition(counts, len(counts) - self.length)[len(counts) - self.length]
+            grams, counts = grams[counts >= least], counts[counts >= least]
+        top = grams[np.lexsort((grams, -counts))][: self.length]
+        if wide:
+            letters = [[int(g) >> shift & 0xFFFF for shift in (48, 32, 16, 0)] for g in top]
+            named = ["".join(alphabet[i - 1] for i in one if i) for one in letters]
+            return np.array([self.place.get(g, len(self.place)) for g in named], np.int64)
+        if not len(self.numbers):
+            return np.full(len(top), len(self.place))
+        near = np.minimum(np.searchsorted(self.numbers, top), len(self.numbers) - 1)
+        return np.where(self.numbers[near] == top, self.number_at[near], len(self.place))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language of the smallest out-of-place distance, and how clearly it is.
@@ -144,31 +178,14 @@ class Ranker:
         largest possible value. ``und`` and 0 without a letter or a profile; ties go to
         the first name in code-point order.
         """
-        words = words_of(text)
+        words = LETTERS.findall((text or "").lower())
         if not words or not self.langs:
             return "und", 0.0
-        self._bounded()
-        lists = [self._grams(w) for w in words]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-        flat = np.frombuffer(b"".join(lists), np.int32)
-        weight = np.repeat(np.fromiter(words.values(), np.int64, len(lists)), sizes)
-        # gram and weight in one number, so that a plain sort brings equal grams together
-        both = np.sort(flat.astype(np.int64) << 32 | weight)
-        flat, weight = both >> 32, both & 0xFFFFFFFF
-        starts = np.flatnonzero(np.diff(flat, prepend=-1))
-        found, counts = flat[starts], np.add.reduceat(weight, starts)
-        if len(found) > self.length:
-            least = np.partition(counts, len(counts) - self.length)[len(counts) - self.length]
-            kept = counts >= least
-            found, counts = found[kept], counts[kept]
-        top = found[np.lexsort((self.low[found], self.high[found], -counts))][: self.length]
-        ranks = np.full((len(self.langs), len(top)), self.length, np.int64)
-        inside = top < self.known
-        ranks[:, inside] = self.ranks[:, top[inside]]
-        away = np.where(ranks == self.length, self.length, np.abs(ranks - np.arange(len(top))))
+        ranks = self.ranks[:, self.places(words)]
+        away = np.where(ranks == self.length, self.length, np.abs(ranks - np.arange(ranks.shape[1])))
         distance = away.sum(axis=1)
         best = int(np.argmin(distance))
-        return self.langs[best], float(1 - distance[best] / (self.length * len(top)))
+        return self.langs[best], float(1 - distance[best] / (self.length * ranks.shape[1]))
 
 
 def identify(docs: DataFrame, profiles: DataFrame, key: list[str | Column], text: str = "text", length: int = 400) -> DataFrame:

@@ -1,8 +1,10 @@
+import random
 from collections import Counter
 
 from helpers import clashing, odd_docs
 from pyspark.sql import functions as F
 
+from salescast.llm import langid
 from salescast.llm.langid import grams_of, identify, learn_profiles, words_of
 from salescast.llm.queries import op7_language
 
@@ -50,6 +52,26 @@ def test_against_brute_force(spark):
             assert found[r.doc_id][0] == lang and abs(found[r.doc_id][1] - score) < 1e-12
 
 
+def test_letters_of_any_kind_and_parts_of_long_texts(monkeypatch):
+    draw = random.Random(3)
+    letters = "abcdeéßşжяא漢字" + "𐐨𐐩𐑎𝒶"
+    texts = [" ".join("".join(draw.choices(letters[:n], k=draw.randint(1, 7))) for _ in range(m)) for n, m in ((5, 80), (12, 400), (17, 300), (17, 1))]
+    texts += ["Aa aa A", "𐐀𐐨 𐐀 b", "x" * 3000, "1 2 _ !", "İstanbul ǅ ﬁ", ""]
+    counts = [Counter(g for w, n in words_of(t).items() for g in grams_of(w) for _ in range(n)) for t in texts[:3]]
+    for length in (20, 400):
+        profiles = {f"l{i}": [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:length]] for i, c in enumerate(counts)}
+        listed = [(lang, g, i) for lang, grams in profiles.items() for i, g in enumerate(grams)]
+        for part, alphabet in ((200_000, 0xFFFF), (7, 0xFFFF), (7, 3)):
+            monkeypatch.setattr(langid, "PART_WORDS", part)
+            monkeypatch.setattr(langid, "ALPHABET", alphabet)
+            ranker = langid.Ranker(listed, length)
+            for text in [*texts, None]:
+                lang, score = brute_predict(text, profiles, length)
+                found = ranker.predict(text)
+                assert found[0] == lang and abs(found[1] - score) < 1e-12
+    assert langid.Ranker([("l", "𐐨", 0)], 5).predict("a b 𐐨")[0] == "l" and langid.Ranker([("l", "𐐨", 0)], 5).predict("a")[0] == "l"
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     truth = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
