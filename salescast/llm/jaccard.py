@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from salescast.llm.batches import bound_batches
 from salescast.llm.graph import components
-from salescast.operators.joins import fits_broadcast, lookup_join
+from salescast.operators.joins import fits_broadcast, heavy_keys, lookup_join, salted_join
 from salescast.sources.staging import stage
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -268,8 +269,12 @@ def verified(
     """Pairs of sets with whether they are similar, from the texts of one document each."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = texts_of(wanted, sets, docs, key, text, words)
-    left = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
-    both = left.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
+    both = pairs
+    for end in ("a", "b"):
+        # a hub is in many pairs, which are dealt out with a copy of its text each
+        sizes = stage(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")))
+        right = texts.withColumnsRenamed({"id": end, "text": f"text_{end}"})
+        both = salted_join(both, right, [end], heavy_keys(sizes, [end], "n"), "inner", row_id=["a", "b"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_text, last = None, np.empty(0, np.uint64)
@@ -383,6 +388,7 @@ def jaccard_components(
     NULL keys only has component_id NULL. Rows with the same key and different texts are
     documents of their own. Other columns are ignored; an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     sets = stage(sets_of(docs, key, text, words))
     near = candidates(docs, text, words, percent)
     pairs = near.select("a", "b").distinct()
