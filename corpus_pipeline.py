@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salescast.llm.batches import bound_batches
 from salescast.llm.jaccard import jaccard_components
 from salescast.llm.mixing import mix, word_count
 from salescast.llm.packing import pack
@@ -24,6 +25,7 @@ TOXIC = 0.5
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below ``TOXIC``; NULL and empty texts stay."""
+    bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_toxicity(docs, labels, [F.struct("*").alias("_doc")])
     return scored.filter(F.col("score") < TOXIC).select("_doc.*")
@@ -46,6 +48,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, each secret replaced by its kind in brackets; ``n_chars`` follows."""
+    bound_batches(spark)
     return masked(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
@@ -58,6 +61,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences of 4,096 tokens."""
+    bound_batches(spark)
     return pack(docs, tokenizer_file())
 
 
