@@ -116,3 +116,14 @@ def test_only_pairs_across_components_are_made(spark):
     labelled = spark.createDataFrame([(1, i, i % 4) for i in range(30)] + [(2, 0, 0), (2, 4, 0)], "sig long, id long, root long")
     got = {tuple(r) for r in J.pairs_across(labelled, frame, 85).collect()}
     assert got == {(i, j) for i in range(30) for j in range(i) if i % 9 == j % 9 and i % 4 != j % 4}
+
+
+def test_arrow_batches_are_bounded(spark):
+    from salescast.llm.batches import MOST, SETTING, bound_batches
+
+    before = spark.conf.get(SETTING)
+    for given, want in (("64m", str(MOST)), ("-1", str(MOST)), ("1m", "1m"), ("2048kb", "2048kb"), ("67108864b", str(MOST))):
+        spark.conf.set(SETTING, given)
+        bound_batches(spark)
+        assert spark.conf.get(SETTING).removesuffix("b") == want.removesuffix("b")
+    spark.conf.set(SETTING, before)
