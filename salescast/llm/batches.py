@@ -16,7 +16,7 @@ def bound_batches(spark: SparkSession, most: int = MOST) -> None:
     Batches go by the number of rows otherwise, and ten thousand rows with one or two texts
     each may fill a worker's memory. A smaller bound that is set already stays.
     """
-    number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get(SETTING).lower()).groups()
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get(SETTING).lower()).groups()
     now = int(number) << 10 * " kmgt".index(unit or " ")
-    if now <= 0 or now > most:
+    if now > most:
         spark.conf.set(SETTING, str(most))
