@@ -370,6 +370,19 @@ def pairs_batch(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: only the roots of those that the links reach are joined anew."""
+    ends = links
+    for end in ("a", "b"):
+        of_end = roots.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"))
+        ends = ends.join(of_end, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    above = components(stage(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))))
+    above = above.select(F.col("id").alias("root"), F.col("root").alias("above"))
+    alone = above.join(roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("id"), F.col("above").alias("root"))
+    kept = roots.join(above, "root", "left").select("id", F.coalesce("above", "root").alias("root"))
+    return stage(kept.unionByName(alone))
+
+
 def jaccard_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85
 ) -> DataFrame:
@@ -402,8 +415,9 @@ def jaccard_components(
         labelled = members.join(roots, "id", "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
         across = stage(pairs_across(labelled, sets, percent, one).join(checked, ["a", "b"], "left_anti"))
         if across.limit(1).count():
-            checked = stage(checked.unionByName(verified(across, sets, docs, key, text, words, percent)))
-            roots = components(checked.filter("similar").select("a", "b"))
+            new = verified(across, sets, docs, key, text, words, percent)
+            checked = stage(checked.unionByName(new))
+            roots = joined(roots, new.filter("similar").select("a", "b"))
     found = lookup_join(sets.drop("sketch"), roots, ["id"], row_id=["key", "id"])
     found = found.withColumn("root", F.coalesce("root", "id"))
     least = stage(found.filter("root is not null").groupBy("root").agg(F.min("key").alias("least")))

@@ -127,3 +127,19 @@ def test_arrow_batches_are_bounded(spark):
         bound_batches(spark)
         assert spark.conf.get(SETTING).removesuffix("b") == want.removesuffix("b")
     spark.conf.set(SETTING, before)
+
+
+def test_more_links_join_known_components(spark):
+    import random
+
+    from salescast.llm.graph import components
+    from salescast.llm.jaccard import joined
+
+    draw = random.Random(8)
+    links = [(draw.randint(0, 60), draw.randint(0, 60)) for _ in range(50)]
+    frame = lambda some: spark.createDataFrame(some, "a long, b long")
+    for cut in (0, 20, 45, 50):
+        found = joined(components(frame(links[:cut])), frame(links[cut:]))
+        want = {r.id: r.root for r in components(frame(links)).collect()}
+        got = {r.id: r.root for r in found.collect()}
+        assert found.count() == len(got) and got == want
