@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salescast.functions.columns import bucket
+from salescast.functions.columns import bucket, refuse
 from salescast.operators.joins import fits_broadcast, heavy_keys, lookup_join, salted_join
 from salescast.sources.staging import stage
 
@@ -118,31 +118,55 @@ def nb_classes(
     Rows alike in their attributes get the same answer, so they are first counted into
     patterns. A pattern is scored only for the classes seen with one of its values, and
     for the class that would win if none were: seen values only add to a score, so no
-    other class can win. Columns: ``attrs, n_rows, cls, mean``.
+    other class can win. Columns: ``attrs, n_rows, cls, mean``, so no attribute may have one
+    of the last three names; ``nb_apply`` and ``nb_fill`` take attributes of any name.
     """
+    taken = {a.lower() for a in attrs} & {"n_rows", "cls", "mean"}
+    if taken:
+        raise ValueError(f"names of the result: {sorted(taken)}")
+    found = _classes(df, counts, target, attrs, alpha)
+    return found.withColumnsRenamed(dict(zip(_safe(attrs), attrs)))
+
+
+def _safe(attrs: list[str]) -> list[str]:
+    """Names for attributes that no column made on the way has."""
+    return [f"_nb_{i}" for i in range(len(attrs))]
+
+
+def _answers(df: DataFrame, counts: DataFrame, target: str, attrs: list[str], alpha: float, mean: bool, fill: str) -> DataFrame:
+    """Per combination of ``attrs``: how many rows lack the target (``_nb_rows``), and what fills it."""
+    best = _classes(df, counts, target, attrs, alpha)
+    value = F.col("mean" if mean else "cls").alias(fill)
+    own = [F.col(s).alias(a) for s, a in zip(_safe(attrs), attrs)]
+    return best.select(*own, F.col("n_rows").alias("_nb_rows"), value)
+
+
+def _classes(df: DataFrame, counts: DataFrame, target: str, given: list[str], alpha: float) -> DataFrame:
+    """``nb_classes`` with the attributes under their safe names."""
     if alpha <= 0:
         raise ValueError("alpha must be above 0")
     # there are no more classes than counts, so one measure serves both
     small = fits_broadcast(counts)
+    attrs = _safe(given)
     mask = reduce(
         lambda a, b: a + b,
         [F.when(F.col(a).isNotNull(), 1 << i).otherwise(0) for i, a in enumerate(attrs)],
     )
     patterns = (
         df.filter(F.col(target).isNull())
-        .groupBy(*attrs)
+        .groupBy(*[F.col(g).alias(a) for g, a in zip(given, attrs)])
         .agg(F.count(F.lit(1)).alias("n_rows"))
         .withColumn("mask", mask)
     )
-    classes = _class_table(counts, attrs, alpha)
+    classes = _class_table(counts, given, alpha)
     if not small:
         patterns, classes = stage(patterns), stage(classes)
     pattern = [*attrs, "n_rows", "mask"]
 
     cells = F.array(
         *[
-            F.struct(F.lit(a).alias("attr"), F.col(a).cast("string").alias("value"))
-            for a in attrs
+            F.struct(F.lit(g).alias("attr"), F.col(a).cast("string").alias("value"))
+            for g, a in zip(given, attrs)
         ]
     )
     present = (
@@ -205,11 +229,10 @@ def nb_apply(
     A numeric target gets the mean of its predicted interval. ``out`` names another
     column for the result and leaves ``target`` as it is.
     """
-    best = nb_classes(df, counts, target, attrs, alpha)
-    value = F.col("cls") if width is None else F.col("mean")
-    answers = best.select(*attrs, "n_rows", value.alias("_fill"))
+    refuse(df, ["_fill", "_nb_rows"], "nb_apply")
+    answers = _answers(df, counts, target, attrs, alpha, width is not None, "_fill")
     missing = F.col(target).isNull()
-    joined = lookup_join(df, answers, attrs, "n_rows", where=missing, row_id=row_id)
+    joined = lookup_join(df, answers, attrs, "_nb_rows", where=missing, row_id=row_id)
     filled = F.coalesce(F.col(target), F.col("_fill"))
     return (
         joined.withColumn(f"{target}_was_null", missing)
@@ -226,18 +249,17 @@ def nb_fill(
 ) -> DataFrame:
     """Fit and apply for several targets, each filled from the values as they came."""
     widths = widths or {}
+    refuse(df, ["_nb_rows", *[f"_fill_{t}" for t in targets]], "nb_fill")
     result = df
     for target, attrs in targets.items():
         width = widths.get(target)
         counts = nb_fit(df, target, attrs, width)
-        best = nb_classes(df, counts, target, attrs, alpha)
-        value = F.col("cls") if width is None else F.col("mean")
-        answers = best.select(*attrs, "n_rows", value.alias(f"_fill_{target}"))
+        answers = _answers(df, counts, target, attrs, alpha, width is not None, f"_fill_{target}")
         result = lookup_join(
             result,
             answers,
             attrs,
-            "n_rows",
+            "_nb_rows",
             where=F.col(target).isNull(),
             row_id=df.columns,
         )

@@ -137,3 +137,21 @@ def test_bucket_floors(spark):
     df = spark.createDataFrame([(9.99,), (10.0,), (-0.5,)], "v double")
     got = [r[0] for r in df.select(bucket(F.col("v"), 10)).collect()]
     assert got == [0, 1, -1]
+
+
+HELPERS = ["value", "mask", "n_rows", "cls", "score", "gain", "attr", "win", "mean", "n", "total", "cell", "unseen_0", "log_prior", "neg"]
+
+
+@pytest.mark.parametrize("at", range(0, len(HELPERS), 5))
+def test_attributes_of_any_name(spark, join_way, at):
+    """Columns named as those made on the way, as attributes and beside them."""
+    plain = spark.range(60).select(
+        "id", F.when(F.col("id") % 4 != 0, F.concat(F.lit("m"), (F.col("id") % 3).cast("string"))).alias("maker"),
+        *[(F.col("id") % (i + 2)).alias(f"a{i}") for i in range(5)],
+    )
+    names = HELPERS[at : at + 5]
+    own = plain.withColumnsRenamed({f"a{i}": n for i, n in enumerate(names)})
+    want = nb_fill(plain, {"maker": [f"a{i}" for i in range(5)]})
+    got = nb_fill(own, {"maker": names})
+    assert got.columns == [*own.columns, "maker_was_null"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
