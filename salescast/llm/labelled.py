@@ -33,8 +33,10 @@ def labelled_texts(
     ]
     # two times per_label rows at most
     chosen = F.broadcast(stage(reduce(DataFrame.unionAll, chosen)))
-    found = docs.join(chosen, F.col(key) == F.col("_key"))
-    return stage(found.select("label", F.coalesce(F.col(text), F.lit("")).alias("text")))
+    # of the documents two columns only, so that others may have any name
+    texts = docs.select(F.col(key).alias("_doc_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    found = texts.join(chosen, F.col("_doc_key") == F.col("_key"))
+    return stage(found.select("label", "text"))
 
 
 class Logistic:

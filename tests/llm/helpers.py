@@ -28,7 +28,7 @@ def clashing(docs):
     """More columns, of names that operators use themselves."""
     from pyspark.sql import functions as F
 
-    names = ["row", "key", "id", "n", "score", "hits", "size", "target", "copies", "term", "version", "start", "length", "_row", "_part", "_term", "host", "rank"]
+    names = ["row", "key", "id", "n", "score", "hits", "size", "target", "copies", "term", "version", "start", "length", "_row", "_part", "_term", "host", "rank", "label", "_key", "_doc_key", "other"]
     return docs.withColumns({n: F.lit(f"own {n}") for n in names})
 
 
