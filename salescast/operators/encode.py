@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from salescast.functions.columns import fold_of, smoothed, summable
+from salescast.functions.columns import exact_sum, fold_of, smoothed, summable
 from salescast.operators.joins import lookup_join
 from salescast.sources.staging import stage
 
@@ -28,7 +28,7 @@ def likelihood_fit(
         df.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n_rows"),
             F.count(y).alias("n"),
-            F.coalesce(F.sum(y), F.lit(0.0)).alias("s"),
+            F.coalesce(exact_sum(y), F.lit(0.0)).alias("s"),
         )
     )
     return counts.withColumn(out, smoothed(F.col("s"), F.col("n"), likelihood_prior(counts), m))
@@ -59,7 +59,7 @@ def likelihood_targets(
 
 def likelihood_prior(stats: DataFrame) -> Column:
     """Overall mean of the label, NULL if no row has one."""
-    return stats.agg(F.try_divide(F.sum("s"), F.sum("n"))).scalar()
+    return stats.agg(F.try_divide(exact_sum(F.col("s")), F.sum("n"))).scalar()
 
 
 def likelihood_apply(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from salescast.functions.columns import day_of, refuse, summable
+from salescast.functions.columns import day_of, exact_sum, fine_part, refuse, summable
 from salescast.operators.joins import lookup_join, slices_of
 from salescast.sources.staging import stage
 
@@ -198,7 +198,7 @@ def price_vs_peers(
     A group may hold most items, so none is gathered in one task: items are counted
     per group and price, prices cut into ranges at common quantiles, and the rank is
     the count in lower ranges plus the count below within the range. Where the cuts
-    fall affects the size of tasks, not the result. Money adds up as decimals (``summable``).
+    fall affects the size of tasks, not the result. Money adds up as decimals, as in ``exact_sum``.
     """
     refuse(items, ["peer_price", "price_ratio", "price_rank"], "price_vs_peers")
     keys = [group, price]
@@ -214,9 +214,10 @@ def price_vs_peers(
     ranged = Bucketizer(
         splits=splits, inputCol=price, outputCol="_range", handleInvalid="keep"
     ).transform(counts)
-    money = summable(F.col(price).cast("double") * F.col("_rows"))
+    money = F.col(price).cast("double") * F.col("_rows")
+    coarse, fine = summable(money), fine_part(money)
     in_range = ranged.groupBy(group, "_range").agg(
-        F.sum("_rows").alias("_n"), F.sum(money).alias("_money")
+        F.sum("_rows").alias("_n"), F.sum(coarse).alias("_money"), F.sum(fine).alias("_rest")
     )
     # at most one row per cut and group
     by_range = W.partitionBy(group).orderBy("_range")
@@ -228,7 +229,7 @@ def price_vs_peers(
             F.sum("_n").over(by_range.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
         ).alias("_lower"),
         F.sum("_n").over(whole).alias("_items"),
-        F.sum("_money").over(whole).cast("double").alias("_sum"),
+        (F.sum("_money").over(whole).cast("double") + F.sum("_rest").over(whole).cast("double")).alias("_sum"),
     )
     below = W.partitionBy(group, "_range").orderBy(price).rowsBetween(W.unboundedPreceding, -1)
     within = ranged.withColumn("_below", F.coalesce(F.sum("_rows").over(below), F.lit(0)))
@@ -258,9 +259,7 @@ def price_change(df: DataFrame, item: str, ts: str, revenue: Column, quantity: C
     window, which then holds one row per day.
     """
     daily = df.groupBy(item, day_of(ts).alias("day")).agg(
-        F.try_divide(
-            F.sum(summable(revenue)).cast("double"), F.sum(summable(quantity)).cast("double")
-        ).alias("price")
+        F.try_divide(exact_sum(revenue), exact_sum(quantity)).alias("price")
     )
     previous = F.lag("price").over(W.partitionBy(item).orderBy("day"))
     return daily.withColumn("previous_price", previous).withColumns(

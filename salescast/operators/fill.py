@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salescast.functions.columns import bucket, refuse
+from salescast.functions.columns import bucket, exact_sum, refuse
 from salescast.operators.joins import fits_broadcast, heavy_keys, lookup_join, salted_join
 from salescast.sources.staging import stage
 
@@ -56,7 +56,7 @@ def nb_fit(
         .select(cls.alias("cls"), total.alias("total"), F.explode(cells).alias("cell"))
         .filter(F.col("cell.attr").isNull() | F.col("cell.value").isNotNull())
         .groupBy("cls", "cell.attr", "cell.value")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("total"))
+        .agg(F.count(F.lit(1)).alias("n"), exact_sum(F.col("total")).alias("total"))
     )
 
 

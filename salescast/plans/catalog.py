@@ -15,7 +15,7 @@ from salescast.operators.encode import (
     likelihood_oof,
     likelihood_targets,
 )
-from salescast.operators.evaluate import accuracy, forecast
+from salescast.operators.evaluate import accuracy, forecast, rolling_accuracy
 from salescast.operators.features import (
     attach_items,
     calendar,
@@ -28,12 +28,15 @@ from salescast.operators.features import (
     split_by_time,
 )
 from salescast.operators.fill import nb_apply, nb_fit, null_profile
+from salescast.operators.gaussian import gaussian_classes, gaussian_fill, moments
 from salescast.operators.layers import (
     fit_amount_layer,
     fit_buy_layer,
     score_amount_layer,
     score_buy_layer,
 )
+from salescast.operators.permute import permutation_importance
+from salescast.operators.recent import recent_history
 from salescast.operators.trees import probability, tree_sum
 from salescast.plans.fixed import fixed_layers
 from salescast.plans.forecaster import feature_columns, fit_forecaster, prepare_training
@@ -217,6 +220,64 @@ def fixed_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("*", *combine_layers("p_buy", "amount", 0.25))
 
 
+def recent(spark: SparkSession, folder: str, side: str, key: str) -> DataFrame:
+    """Training days only, for training rows and for rows to be scored alike."""
+    daily = stage(daily_sums(contacts(spark, folder), key, "ts", _measures()))
+    rows = all_contacts(spark, folder).select("event_id", "ts", key)
+    wide = recent_history(rows, daily, key, "ts", _measures(), side, (7, 28), ROW)
+    sums = [f"{side}_{m}_{d}d" for d in (7, 28) for m in ("contacts", "buys")]
+    amounts = [F.col(f"{side}_qty_{d}d").cast("double").alias(f"{side}_qty_{d}d") for d in (7, 28)]
+    return wide.select("event_id", key, *sums, *amounts)
+
+
+def user_recent(spark: SparkSession, folder: str) -> DataFrame:
+    return recent(spark, folder, "user", "user_id")
+
+
+def item_recent(spark: SparkSession, folder: str) -> DataFrame:
+    return recent(spark, folder, "item", "p_partkey")
+
+
+def gaussian_brand(spark: SparkSession, folder: str) -> DataFrame:
+    filled = gaussian_fill(items(spark, folder), "p_brand", ["p_size", "p_retailprice"], "p_partkey")
+    return filled.select("p_partkey", "p_brand", "p_brand_was_null")
+
+
+def gaussian_type(spark: SparkSession, folder: str) -> DataFrame:
+    """The type that size and price of each part speak for, whatever type it has, and how much."""
+    parts = items(spark, folder)
+    numbers = ["p_size", "p_retailprice"]
+    best = gaussian_classes(parts, moments(parts, "p_type", numbers), numbers, "p_partkey")
+    return best.select("p_partkey", F.col("cls").alias("p_type"), F.round("score", 6).alias("score"))
+
+
+CUTOFFS = ["2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29"]
+
+
+def rolling(spark: SparkSession, folder: str) -> DataFrame:
+    rows = all_contacts(spark, folder).select("user_id", "ts", "buy")
+    found = rolling_accuracy(rows, ["user_id"], "buy", "ts", CUTOFFS, threshold=0.35)
+    return found.withColumn("cutoff", F.col("cutoff").cast("string"))
+
+
+def permuted(spark: SparkSession, folder: str) -> DataFrame:
+    """Importance of what the fixed trees of the first layer see, by squared error on later contacts."""
+    layers = fixed_layers()
+    daily = daily_sums(contacts(spark, folder), "user_id", "ts", _measures())
+    totals = stage(history_totals(daily, "user_id", _measures(), "user"))
+    rows = later_contacts(spark, folder).select("event_id", "ts", "user_id", "p_partkey", "buy")
+    wide = history_apply(rows, totals, "user_id", "ts", _measures(), "user", ROW)
+    wide = attach_items(wide, items(spark, folder).select("p_partkey", "p_size", "p_retailprice"), "p_partkey", ROW)
+    seen = [F.coalesce(F.col(f).cast("double"), F.lit(-1.0)).alias(f) for f in layers["features"]]
+    p = probability(tree_sum(layers["buy"], layers["features"]))
+    error = F.col("buy") - F.col("p_buy")
+    found = permutation_importance(
+        wide.select("event_id", "buy", *seen), layers["features"], lambda df: df.withColumn("p_buy", p), error * error, "event_id"
+    )
+    places = [F.round(c, 9).alias(c) for c in ("base_loss", "loss", "importance")]
+    return found.select("feature", "n_rows", *places)
+
+
 def split_counts(spark: SparkSession, folder: str) -> DataFrame:
     def counted(name: str, rows: DataFrame) -> DataFrame:
         return rows.agg(
@@ -331,6 +392,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "likelihood_ordered": ordered_likelihood,
     "likelihood_amount": amount_likelihood,
     "score_fixed_layers": fixed_scores,
+    "user_recent": user_recent,
+    "item_recent": item_recent,
+    "gaussian_fill_brand": gaussian_brand,
+    "gaussian_type": gaussian_type,
+    "rolling_accuracy": rolling,
+    "permutation_importance": permuted,
     "split_counts": split_counts,
     "two_layer_combine": two_layer_combine,
     "accuracy": rule_accuracy,

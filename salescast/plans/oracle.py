@@ -99,6 +99,93 @@ SELECT p.p_partkey, coalesce(p.{target}, b.{answer}) AS {target},
 FROM parts p LEFT JOIN best b ON b.p_partkey = p.p_partkey"""
 
 
+def _recent(side: str, key: str) -> str:
+    def within(days: int) -> str:
+        cells = [
+            ("contacts", "count(d.day)", "BIGINT"),
+            ("buys", "sum(buy)", "BIGINT"),
+            ("qty", "sum(CAST(coalesce(amount, 0) AS DECIMAL(18,2)))", "DOUBLE"),
+        ]
+        inside = f"FILTER (WHERE d.day >= a.day - {days})"
+        return ", ".join(f"CAST(coalesce({agg} {inside}, 0) AS {kind}) AS {side}_{m}_{days}d" for m, agg, kind in cells)
+
+    return f"""WITH {_ALL},
+asked AS (SELECT DISTINCT {key}, day FROM all_contacts),
+past AS (
+  SELECT a.{key}, a.day, {within(7)}, {within(28)}
+  FROM asked a LEFT JOIN contacts d
+    ON d.{key} IS NOT DISTINCT FROM a.{key} AND d.day < a.day AND d.day >= a.day - 28
+  GROUP BY a.{key}, a.day)
+SELECT event_id, c.{key}, p.* EXCLUDE ({key}, day)
+FROM all_contacts c JOIN past p ON p.{key} IS NOT DISTINCT FROM c.{key} AND p.day = c.day"""
+
+
+def _gaussian(target: str, asked: str, digits: int) -> str:
+    """Scores every class for every row in question."""
+    sums, spread, added, terms = [], [], [], []
+    for a, places in (("p_size", 2), ("p_retailprice", 2)):
+        x, xx = f"CAST({a} AS DECIMAL(18,{places}))", f"CAST({a} AS DECIMAL(12,{places})) * CAST({a} AS DECIMAL(12,{places}))"
+        sums.append(f"count({a}) AS n_{a}, CAST(sum({x}) AS DOUBLE) AS s_{a}, CAST(sum({xx}) AS DOUBLE) AS q_{a}")
+        spread.append(f"sum(q_{a}) / sum(n_{a}) - (sum(s_{a}) / sum(n_{a})) * (sum(s_{a}) / sum(n_{a}))")
+        added.append(f"s_{a} / n_{a} AS m_{a}, q_{a} / n_{a} - (s_{a} / n_{a}) * (s_{a} / n_{a}) + 1e-9 * top AS v_{a}")
+        terms.append(f"CASE WHEN r.{a} IS NULL THEN 0 ELSE -0.5 * (ln(2 * pi() * v_{a}) + (r.{a} - m_{a}) * (r.{a} - m_{a}) / v_{a}) END")
+    return f"""{_ITEMS},
+sums AS (
+  SELECT {target} AS cls, count(*) AS n, {", ".join(sums)} FROM items WHERE {target} IS NOT NULL GROUP BY {target}),
+whole AS (SELECT sum(n) AS n_all, greatest({", ".join(spread)}) AS top FROM sums),
+classes AS (
+  SELECT cls, ln(CAST(n AS DOUBLE)) - ln(CAST(n_all AS DOUBLE)) AS lp, {", ".join(added)} FROM sums, whole),
+scores AS (
+  SELECT r.p_partkey, cls, round(lp + {" + ".join(terms)}, {digits}) AS score
+  FROM items r CROSS JOIN classes WHERE {asked}),
+best AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, cls) = 1)"""
+
+
+def _rolling(cutoffs: list[str], horizon: int, threshold: float) -> str:
+    parts = []
+    for c in cutoffs:
+        day = f"DATE '{c}'"
+        parts.append(f"""SELECT '{c}' AS cutoff, (SELECT count(*) FROM all_contacts WHERE day < {day}) AS n_train,
+  count(*) AS n_rows, sum(CASE WHEN (p >= {threshold}) = (buy = 1) THEN 1.0 ELSE 0.0 END) / count(*) AS accuracy,
+  CAST(greatest(sum(buy), count(*) - sum(buy)) AS DOUBLE) / count(*) AS majority_share,
+  round(avg((buy - p) * (buy - p)), 9) AS brier
+FROM (
+  SELECT t.buy, (coalesce(k.s, 0) + 20 * g) / (coalesce(k.n, 0) + 20) AS p
+  FROM all_contacts t
+  CROSS JOIN (SELECT avg(buy) AS g FROM all_contacts WHERE day < {day}) AS prior
+  LEFT JOIN (SELECT user_id, sum(buy) AS s, count(*) AS n FROM all_contacts WHERE day < {day} GROUP BY user_id) AS k
+    ON k.user_id IS NOT DISTINCT FROM t.user_id
+  WHERE t.day >= {day} AND t.day < {day} + {horizon})""")
+    return f"WITH {_ALL}\n" + "\nUNION ALL\n".join(parts)
+
+
+def _permuted(features: list[str], total: str) -> str:
+    p = f"1.0 / (1.0 + exp(-2.0 * {total}))"
+    cases = []
+    for f in ["", *features]:
+        taken = ", ".join(f"{'o' if f == c else 'r'}.{c} AS {c}" for c in features)
+        cases.append(f"SELECT '{f}' AS feature, r.buy, {taken} FROM placed r JOIN placed o ON o.second = r.first")
+    return f"""wide AS (
+  SELECT event_id, buy, CAST(coalesce(contacts, 0) AS DOUBLE) AS user_contacts_before,
+         CAST(coalesce(buys, 0) AS DOUBLE) AS user_buys_before,
+         CAST(coalesce(date_diff('day', last, day), -1) AS DOUBLE) AS user_days_since,
+         CAST(coalesce(p_size, -1) AS DOUBLE) AS p_size, coalesce(p_retailprice, -1.0) AS p_retailprice
+  FROM later l LEFT JOIN totals t ON t.user_id = l.user_id LEFT JOIN part p ON p.p_partkey = l.p_partkey),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY md5('42:rows:' || event_id)) AS first,
+         row_number() OVER (ORDER BY md5('42:others:' || event_id)) AS second
+  FROM wide),
+cases AS ({" UNION ALL ".join(cases)}),
+losses AS (
+  SELECT feature, count(*) AS n_rows, avg((buy - {p}) * (buy - {p})) AS loss FROM cases GROUP BY feature)
+SELECT l.feature, l.n_rows, round(b.loss, 9) AS base_loss, round(l.loss, 9) AS loss, round(l.loss - b.loss, 9) AS importance
+FROM losses l JOIN losses b ON b.feature = '' WHERE l.feature <> ''"""
+
+
+_TOTALS = """totals AS (
+  SELECT user_id, count(*) AS contacts, sum(buy) AS buys, max(day) AS last FROM contacts GROUP BY user_id)"""
+
 ORACLE: dict[str, str] = {
     "scan_items": "SELECT p_name, p_partkey, p_brand, p_type, p_size, p_retailprice FROM part",
     "scan_contacts": f"""WITH {_EVENTS}
@@ -251,6 +338,16 @@ scored AS (
 SELECT event_id, p_buy, amount, CASE WHEN p_buy >= 0.25 THEN amount ELSE 0.0 END AS qty_gated,
        p_buy * amount AS qty_expected
 FROM scored""",
+    "user_recent": _recent("user", "user_id"),
+    "item_recent": _recent("item", "p_partkey"),
+    "gaussian_fill_brand": f"""WITH {_gaussian("p_brand", "r.p_brand IS NULL", 9)}
+SELECT i.p_partkey, coalesce(i.p_brand, b.cls) AS p_brand, i.p_brand IS NULL AS p_brand_was_null
+FROM items i LEFT JOIN best b ON b.p_partkey = i.p_partkey""",
+    "gaussian_type": f"""WITH {_gaussian("p_type", "true", 9)}
+SELECT p_partkey, cls AS p_type, round(score, 6) AS score FROM best""",
+    "rolling_accuracy": _rolling(["2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29"], 7, 0.35),
+    "permutation_importance": f"""WITH {_ALL}, {_TOTALS},
+{_permuted(_LAYERS["features"], tree_sql(_LAYERS["buy"], _LAYERS["features"]))}""",
     "split_counts": f"""WITH {_ALL}
 SELECT 'train' AS part, count(*) AS n_rows, CAST(sum(buy) AS BIGINT) AS n_buys FROM contacts
 UNION ALL

@@ -48,3 +48,15 @@ def bad_rows(df: DataFrame, corrupt_col: str) -> DataFrame:
 def write_scores(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """Write scored rows as Parquet; an existing path is an error, not overwritten."""
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
+
+
+def replace_scores(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Write scored rows in place of those of the same partitions; other partitions stay.
+
+    A second run, or one that was started again, leaves the same rows. A partition of
+    which no row is left is not emptied.
+    """
+    if not partition_by:
+        raise ValueError("without partitions there is nothing to replace singly; see write_scores")
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).parquet(path)

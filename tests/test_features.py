@@ -1,10 +1,12 @@
 import datetime as dt
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from salescast.functions import crossed
+from salescast.functions.columns import exact_sum
 from salescast.operators.features import (
     attach_items,
     calendar,
@@ -186,12 +188,27 @@ def test_items_listed_twice_are_an_error(spark):
         attach_items(rows, items, "item")
 
 
-def test_digits_are_kept_or_refused(spark):
+def test_digits_are_kept(spark):
     df = spark.createDataFrame([(1, "k", 0.004), (2, "k", 0.004), (3, "k", 0.001)], "id int, kind string, price double")
     got = price_vs_peers(df, "kind", "price", ["id"]).filter("id = 1").first()
     assert got.peer_price == pytest.approx(0.003) and got.price_ratio == pytest.approx(4 / 3)
     sales = spark.createDataFrame([(1, START, 0.008, 0.004)], "item int, ts timestamp_ntz, revenue double, quantity double")
     assert price_change(sales, "item", "ts", F.col("revenue"), F.col("quantity")).first().price == 2.0
-    tiny = sales.withColumn("revenue", F.lit(1.23456789e-9))
-    with pytest.raises(Exception, match="decimal places"):
-        price_change(tiny, "item", "ts", F.col("revenue"), F.col("quantity")).collect()
+    # fractions without end and tiny amounts end no job
+    for revenue in (1.23456789e-9, 1e-7 / 3, 1e-13 / 7):
+        tiny = sales.withColumn("revenue", F.lit(revenue))
+        assert price_change(tiny, "item", "ts", F.col("revenue"), F.col("quantity")).first().price == pytest.approx(revenue / 0.004, rel=1e-12)
+    df = spark.createDataFrame([(1, "k", 1e-7 / 3), (2, "k", 1e-7 / 3), (3, "k", 1e-7 / 6)], "id int, kind string, price double")
+    got = price_vs_peers(df, "kind", "price", ["id"]).filter("id = 1").first()
+    assert got.price_ratio == pytest.approx(1.2, rel=1e-12)
+
+
+def test_exact_sums_do_not_depend_on_order(spark):
+    rng = random.Random(5)
+    values = [rng.uniform(-1, 1) * 10 ** rng.randint(-14, 6) for _ in range(500)]
+    sums = set()
+    for _ in range(4):
+        rng.shuffle(values)
+        df = spark.createDataFrame([(v,) for v in values], "v double").repartition(rng.randint(1, 6))
+        sums.add(df.agg(exact_sum(F.col("v"))).first()[0])
+    assert len(sums) == 1 and sums.pop() == pytest.approx(math.fsum(values), rel=1e-9)
