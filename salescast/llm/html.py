@@ -46,13 +46,27 @@ NOISE = frozenset(
     widget toolbar pagination pager skip copyright legal""".split()
 )
 
+# parts that are none of the article in whatever place of it, also with a word of place or shape
+APART = frozenset(
+    """ad ads adv advert adverts advertisement advertising sponsor sponsors sponsored promo sidebar breadcrumb
+    breadcrumbs comment comments disqus reply replies cookie cookies consent gdpr newsletter subscribe popup
+    navbar pagination""".split()
+)
+SHAPE = frozenset(
+    """area bar block bottom box center column container count feed form group holder inner inline item items
+    label large left link links list middle outer page panel post reader readers right row section site slot
+    small space strip text thread title top unit user users wrap wrapper zone""".split()
+)
+
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S
 )
 NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-PART = re.compile(r"[a-z]+")
+# numbers of a grid tell columns apart; other digits, such as those of ids, are left out
+PART = re.compile(r"(?:col|cols|column|columns|span|grid|width|size|xs|sm|md|lg|xl|small|medium|large|w)[-_]?\d{1,2}(?!\d)|[a-z]+")
 TALK = frozenset("comment comments disqus reply replies respond discussion".split())
 GROUP = 4
+DEPTH = 200  # levels of blocks; deeper ones are blocks of the last level
 LAYOUT = frozenset("body center div main section table tbody td tr".split())
 
 
@@ -70,13 +84,17 @@ class Node:
 
 
 def noisy(name: str) -> bool:
-    """Whether a whole class or id, such as ``sidebar`` or ``cookie-notice``, names no article; ``no-sidebar`` may."""
-    parts = PART.findall(name)
-    return bool(parts) and NOISE.issuperset(parts)
+    """Whether a class or id, such as ``sidebar``, ``cookie-notice`` or ``user-comments``, names no article; ``no-sidebar`` may.
+
+    All its words must be names of such parts; or one of them a name of a part that is never the article's,
+    and the others words of place and shape.
+    """
+    parts = set(PART.findall(name))
+    return bool(parts) and (parts <= NOISE or bool(parts & APART) and parts <= NOISE | APART | SHAPE)
 
 
 def describe(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Label of a tag (name and classes without digits), whether it is no part of the article, and if only by its names."""
+    """Label of a tag (name and classes, without digits but for columns), whether it is no part of the article, and if only by its names."""
     dropped = tag in DROPPED
     if "=" not in attributes:
         return tag, dropped, False
@@ -130,8 +148,18 @@ def spare(root: Node) -> None:
         most(root)
 
 
+def end_blocks(stack: list[Node], at: int) -> None:
+    """End the open blocks from ``at`` on; one beyond ``DEPTH`` (without label) ends a block of the last level."""
+    if not stack[at].label:
+        stack[at].children.append(Node("hr", "hr", False, True))
+    del stack[at:]
+
+
 def parse(page: str) -> Node:
-    """The page as a tree of blocks. Inline tags are looked through; open ends are closed."""
+    """The page as a tree of blocks. Inline tags are looked through; open ends are closed.
+
+    A tree has ``DEPTH`` levels: what is nested deeper stays in its order, as blocks of the last one.
+    """
     root = Node("", "", False, True)
     stack, at, n, doubtful = [root], 0, len(page), False
     while at < n:
@@ -148,7 +176,7 @@ def parse(page: str) -> Node:
         if m[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    end_blocks(stack, i)
                     break
             continue
         if tag == "br":
@@ -161,14 +189,20 @@ def parse(page: str) -> Node:
             continue
         if block:
             if stack[-1].tag == "p":
-                stack.pop()
+                end_blocks(stack, len(stack) - 1)
             if closes := CLOSES.get(tag):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in HOLDS[tag]:
                         break
                     if stack[i].tag in closes:
-                        del stack[i:]
+                        end_blocks(stack, i)
                         break
+        if len(stack) > DEPTH and block and tag not in VOID and (stack[-1].dropped or not dropped):
+            deeper = Node(tag, "", stack[-1].dropped, True)
+            deeper.children = stack[-1].children
+            deeper.children.append(Node("hr", "hr", False, True))
+            stack.append(deeper)
+            continue
         node = Node(tag, label, dropped, block, named)
         stack[-1].children.append(node)
         if tag in VOID or m[3].endswith("/") and not block:

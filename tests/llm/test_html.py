@@ -107,3 +107,46 @@ def test_copies_of_one_article_keep_it():
     for i in range(5):
         w.add(f"<body><div class=date><p>{i} May</p></div><div class=text><p>{'same ' * 100}</p></div></body>")
     assert w.main() == "/body/div.text"
+
+
+def test_parts_within_the_article_that_are_not_its_own():
+    names = ("comment-list", "comments-area", "user-comments", "ad-slot", "cookie-bar", "sidebar-right", "newsletter-box")
+    for name in names:
+        page = f"<body><article><p>Main text.</p><div class='{name}'><p>other</p></div><p>More.</p></article></body>"
+        assert H.main_text(page, None) == "Main text.\nMore.", name
+        assert H.main_text(page.replace(f"class='{name}'", f"id={name}"), None) == "Main text.\nMore.", name
+    for name in ("no-sidebar", "has-comments", "commentary", "download", "post-body", "entry-header", "content-adapter"):
+        page = f"<body><article><p>Main text.</p><div class='{name}'><p>other</p></div></article></body>"
+        assert H.main_text(page, None) == "Main text.\nother", name
+
+
+def test_names_of_parts_around_the_article_drop_nothing():
+    for name in ("sidebar-right", "comments-area", "ad-wrapper"):
+        page = f"<body><div class='{name}'><article><p>Main text.</p></article></div></body>"
+        assert H.main_text(page, None) == "Main text."
+
+
+def test_columns_of_a_grid_are_told_apart(spark):
+    words = "one two three four five six seven eight nine ten".split()
+    pages = [
+        (i, f"http://g.example/{i}", f"<body><div class='col-8'><p>{w} article {'text ' * 40}{w}</p><p>{w} end {w * 30}</p></div>"
+         f"<div class='col-4'><p>see {w}</p><p>and {w}</p></div></body>")
+        for i, w in enumerate(words)
+    ]
+    got = H.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), ["page_id"])
+    assert all("see" not in text and "article" in text and "end" in text for _, text in as_rows(got))
+    assert H.describe("div", " class='col-8 post-12345'")[0] == "div.col-8.post"
+
+
+def test_deeply_nested_pages(spark):
+    def nested(n):
+        return "<body><article>" + "<div>a" * n + "<p>middle" + "</div>b" * n + "</article></body>"
+
+    want = lambda n: "\n".join(["a"] * n + ["middle"] + ["b"] * n)
+    for n in (3, H.DEPTH - 3, H.DEPTH, H.DEPTH + 1, 1200, 5000):
+        assert H.main_text(nested(n), None) == want(n), n
+    page = "<body><article>" + "<div>" * 900 + "<p>kept</p><nav><div><p>menu</p></div></nav><ul><li>x<li>y</ul>end" + "</div>" * 900
+    assert H.main_text(page, None) == "kept\nx\ny\nend"
+    rows = [(i, "http://deep.example/p", nested(5000 + i)) for i in range(3)]
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"])
+    assert as_rows(got) == [(i, want(5000 + i)) for i in range(3)]
