@@ -25,6 +25,13 @@ CONTEXT = re.compile(
     re.I | re.A,
 )
 
+#: the same names before a value in quotes, which may have any characters in its line
+QUOTED = re.compile(CONTEXT.pattern.rpartition('["\'`]?')[0] + r"""(?:"([^"\n]{6,})"|'([^'\n]{6,})'|`([^`\n]{6,})`)""", re.I | re.A)
+#: and the rest of a value that goes on after a comma or semicolon
+GOES_ON = re.compile(r"""[,;][^\s"'`<>]+""")
+BEARER = re.compile(r"(?<![A-Za-z0-9])(?:bearer|basic)\x20+([A-Za-z0-9._~+/-]{6,}=*)", re.I | re.A)
+ADDRESS = re.compile(r"""://[^\s/:@"'<>]*:([^\s/@"'<>]{6,})@""")
+
 # fixed values: common words of passwords, rows of a keyboard
 WORDS = """password passwd pass secret admin administrator root login welcome hello master monkey dragon
 shadow sunshine princess football baseball soccer hockey batman superman starwars pokemon letmein trustno
@@ -51,7 +58,6 @@ DATE_GUESSES = math.log10(365 * 130)
 YEAR_GUESSES = math.log10(130)
 #: every further part doubles the ways in which parts can be put together
 NEXT_PART = math.log10(2)
-SPAN = 32
 
 
 def alphabet(char: str) -> float:
@@ -68,30 +74,26 @@ def guess_cost(value: str) -> float:
 
     Dynamic programme over the ends of parts: a word (also with capitals and digits for
     letters), a date or year, a repeat of one to eight characters, a keyboard or
-    alphabet walk, or a character by brute force. Parts of up to 32 characters are tried
-    at each end, save repeats and walks, which are followed as far as they go.
+    alphabet walk, or a character by brute force. Every start of a part is considered; a
+    start within a run or walk is left out where an earlier one of it is never dearer.
     """
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
+    upto = [0.0]  # brute force up to each place
+    for char in value:
+        upto.append(upto[-1] + alphabet(char))
     dates = {}
     for start in range(n):
         for end in (start + 4, start + 8, start + 10):
             if end <= n and DATE.fullmatch(value, start, end):
                 dates[start, end] = YEAR_GUESSES if end - start == 4 else DATE_GUESSES
-    walk = list(range(n))  # where the walk that ends here began
-    for i in range(1, n):
-        a, b = low[i - 1], low[i]
-        if (a, b) in NEXT or abs(ord(a) - ord(b)) == 1 and a.isalnum() and b.isalnum():
-            walk[i] = walk[i - 1]
-    runs = {u: list(range(n)) for u in range(1, 9)}  # where the run of period u that ends here began
-    for u, began in runs.items():
-        for i in range(u, n):
-            if value[i] == value[i - u]:
-                began[i] = min(began[i - 1], i - u) if value[i - 1] == value[i - 1 - u] and i - 1 >= u else i - u
+    walks: list[int] = []  # starts of walks that reach this place
+    runs: dict[int, list[int]] = {u: [] for u in range(1, 9)}  # the same of runs by period
     for end in range(1, n + 1):
-        cost = best[end - 1] + alphabet(value[end - 1])
-        for start in range(max(0, end - LONGEST_WORD), end - 1):
+        last = end - 1
+        cost = best[last] + upto[end] - upto[last]
+        for start in range(max(0, end - LONGEST_WORD), last):
             rank = RANK.get(low[start:end]) or RANK.get(plain[start:end])
             if rank:
                 changed = sum(a != b for a, b in zip(value[start:end], low[start:end]))
@@ -100,27 +102,55 @@ def guess_cost(value: str) -> float:
         for size in (4, 8, 10):
             if (end - size, end) in dates:
                 cost = min(cost, best[end - size] + dates[end - size, end] + NEXT_PART)
-        last = end - 1
-        if last - walk[last] >= 2:
-            cost = min(cost, best[walk[last]] + math.log10(40 * (end - walk[last])) + NEXT_PART)
-        for u, began in runs.items():
-            start = began[last]
-            if end - start >= 2 * u and end - start >= 3:
-                unit = sum(map(alphabet, value[start : start + u]))
-                cost = min(cost, best[start] + unit + math.log10(max(2, (end - start) // u)) + NEXT_PART)
+        if last and not steps(low[last - 1], low[last]):
+            walks = []
+        if all(best[last] < best[s] + math.log10(40 * (last - s)) for s in walks):
+            walks.append(last)
+        for start in walks:
+            if end - start >= 3:
+                cost = min(cost, best[start] + math.log10(40 * (end - start)) + NEXT_PART)
+        for u, starts in runs.items():
+            again = last - u
+            if again >= 0:
+                if value[last] != value[again]:
+                    starts = [s for s in starts if s > again]
+                elif any(s < again and best[again] >= best[s] + upto[s + u] - upto[s] + math.log10(max(2, (again - s) // u)) for s in starts):
+                    starts = [s for s in starts if s != again]
+            runs[u] = starts = [*starts, last]
+            for start in starts:
+                if end - start >= 2 * u and end - start >= 3:
+                    unit = upto[start + u] - upto[start]
+                    cost = min(cost, best[start] + unit + math.log10(max(2, (end - start) // u)) + NEXT_PART)
         best[end] = cost
     return best[n]
 
 
+def steps(a: str, b: str) -> bool:
+    """Whether ``b`` follows ``a`` in a walk over a keyboard or the alphabet."""
+    return (a, b) in NEXT or abs(ord(a) - ord(b)) == 1 and a.isalnum() and b.isalnum()
+
+
+def valued(text: str) -> set[tuple[int, int]]:
+    """Spans of the values after a credential's name, of bearer tokens, and of passwords in addresses."""
+    found = {m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 6}
+    for m in CONTEXT.finditer(text):
+        start, end = m.span(1)
+        more = GOES_ON.match(text, end)
+        found.add((start, more.end() if more and len(more[0]) > 2 else end))
+    found |= {m.span(m.lastindex) for m in QUOTED.finditer(text)}
+    found |= {m.span(1) for m in BEARER.finditer(text)}
+    if "://" in text:
+        found |= {m.span(1) for m in ADDRESS.finditer(text)}
+    return found
+
+
 def spans(text: str, least_cost: float) -> list[tuple[str, int, int]]:
     """Kind, start and end of every secret, by start, then by kind as in ``KINDS``."""
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    values = {m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 6}
-    values |= {m.span(1) for m in CONTEXT.finditer(text)}
-    found += [("guess", a, b) for a, b in values if guess_cost(text[a:b]) >= least_cost]
+    found += [("guess", a, b) for a, b in valued(text) if guess_cost(text[a:b]) >= least_cost]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

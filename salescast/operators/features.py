@@ -14,6 +14,8 @@ from salescast.operators.joins import lookup_join, slices_of
 from salescast.sources.staging import stage
 
 QUANTILE_ERROR = 0.005
+PEER_COLUMNS = ["peer_price", "price_ratio", "price_rank"]
+
 
 def to_score_shape(df: DataFrame, behaviour_cols: list[str]) -> DataFrame:
     """Drop what is not known before the customer acts."""
@@ -200,12 +202,44 @@ def price_vs_peers(
     the count in lower ranges plus the count below within the range. Where the cuts
     fall affects the size of tasks, not the result. Money adds up as decimals, as in ``exact_sum``.
     """
-    refuse(items, ["peer_price", "price_ratio", "price_rank"], "price_vs_peers")
+    refuse(items, PEER_COLUMNS, "price_vs_peers")
+    found = _among_peers(items, group, price, row_id, F.lit(1).cast("long"))
+    alone = F.coalesce(F.col("_items") <= 1, F.lit(False))
+    rank = F.when(alone, F.lit(0.0)).otherwise(F.col("_under").cast("double") / (F.col("_items") - 1))
+    return found.withColumn("price_rank", rank).drop("_under", "_items")
+
+
+def prices_at(items: DataFrame, row: str, group: str, price: str, factors: list[float]) -> DataFrame:
+    """Each item at each multiple of its price, its peers staying as they are.
+
+    Columns ``row, price_factor, price, peer_price, price_ratio, price_rank``: the mean of the group is that of
+    the listed prices, and the rank the share of the item's peers that are cheaper than its
+    new price, so factor 1 gives what ``price_vs_peers`` gives. New prices are counted with a
+    weight of 0 among the listed ones, in the same ranges. ``row`` is unique; items without a
+    price have none at any factor.
+    """
+    if not factors or len(set(factors)) < len(factors) or min(factors) <= 0:
+        raise ValueError("different factors above 0")
+    own = items.select(F.col(row).alias("_row"), F.col(group).alias("_group_of"), F.col(price).cast("double").alias("_listed"))
+    steps = [F.struct(F.lit(float(f)).alias("price_factor"), F.lit(0).cast("long").alias("_weight")) for f in factors]
+    listed = F.struct(F.lit(1.0).alias("price_factor"), F.lit(1).cast("long").alias("_weight"))
+    cases = own.select("*", F.explode(F.array(listed, *steps)).alias("_step")).select("*", "_step.*").drop("_step")
+    cases = cases.withColumn("_price", F.col("_listed") * F.col("price_factor"))
+    found = _among_peers(cases, "_group_of", "_price", ["_row", "price_factor"], F.col("_weight")).filter("_weight = 0")
+    others = F.col("_under") - F.when(F.col("_listed") < F.col("_price"), 1).otherwise(0)
+    rank = F.when(F.col("_items") > 1, others.cast("double") / (F.col("_items") - 1)).when(F.col("_items") <= 1, F.lit(0.0))
+    return found.select(
+        F.col("_row").alias(row), "price_factor", F.col("_price").alias("price"), "peer_price", "price_ratio", rank.alias("price_rank")
+    )
+
+
+def _among_peers(items: DataFrame, group: str, price: str, row_id: list[str] | None, weight: Column) -> DataFrame:
+    """Items with ``peer_price``, ``price_ratio``, the weight of lower prices ``_under`` and of the group ``_items``."""
     keys = [group, price]
     counts = stage(
         items.filter(F.col(price).isNotNull())
         .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        .agg(F.sum(weight).alias("_rows"), F.count(F.lit(1)).alias("_there"))
     )
     ranges = min(slices_of(items), round(1 / QUANTILE_ERROR))
     shares = [i / ranges for i in range(1, ranges)]
@@ -234,21 +268,21 @@ def price_vs_peers(
     below = W.partitionBy(group, "_range").orderBy(price).rowsBetween(W.unboundedPreceding, -1)
     within = ranged.withColumn("_below", F.coalesce(F.sum("_rows").over(below), F.lit(0)))
     lower_right = lower.withColumnRenamed(group, "_group").withColumnRenamed("_range", "_r")
-    mean = F.col("_sum") / F.col("_items")
-    rank = (F.col("_lower") + F.col("_below")).cast("double") / (F.col("_items") - 1)
+    mean = F.try_divide(F.col("_sum"), F.col("_items"))
     table = stage(
         within.join(
             lower_right,
             F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_r")),
         ).select(
             *keys,
-            "_rows",
+            "_there",
             mean.alias("peer_price"),
             F.try_divide(F.col(price), mean).alias("price_ratio"),
-            F.when(F.col("_items") > 1, rank).otherwise(F.lit(0.0)).alias("price_rank"),
+            (F.col("_lower") + F.col("_below")).alias("_under"),
+            "_items",
         )
     )
-    return lookup_join(items, table, keys, "_rows", row_id=row_id)
+    return lookup_join(items, table, keys, "_there", row_id=row_id)
 
 
 def price_change(df: DataFrame, item: str, ts: str, revenue: Column, quantity: Column) -> DataFrame:

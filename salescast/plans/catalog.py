@@ -25,6 +25,7 @@ from salescast.operators.features import (
     history_totals,
     price_change,
     price_vs_peers,
+    prices_at,
     split_by_time,
 )
 from salescast.operators.fill import nb_apply, nb_fit, null_profile
@@ -172,6 +173,10 @@ def peers(spark: SparkSession, folder: str) -> DataFrame:
     return price_vs_peers(parts, "p_type", "p_retailprice", ["p_partkey"])
 
 
+def price_ladder(spark: SparkSession, folder: str) -> DataFrame:
+    return prices_at(items(spark, folder), "p_partkey", "p_type", "p_retailprice", [0.5, 1.0, 1.25])
+
+
 def changes(spark: SparkSession, folder: str) -> DataFrame:
     sales = table(spark, folder, "lineitem")
     revenue, quantity = F.col("l_extendedprice"), F.col("l_quantity")
@@ -387,6 +392,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "item_history": item_history,
     "score_row_history": score_row_history,
     "price_vs_peers": peers,
+    "price_ladder": price_ladder,
     "price_change": changes,
     "last_offer": last_offer,
     "likelihood_ordered": ordered_likelihood,

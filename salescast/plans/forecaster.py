@@ -24,7 +24,7 @@ from salescast.operators.encode import (
     roll_up,
     total,
 )
-from salescast.operators.evaluate import accuracy
+from salescast.operators.evaluate import accuracy, forecast
 from salescast.operators.features import (
     attach_items,
     daily_sums,
@@ -34,6 +34,7 @@ from salescast.operators.features import (
     history_table,
     history_totals,
     price_vs_peers,
+    prices_at,
     refuse_repeated,
 )
 from salescast.operators.fill import nb_fill
@@ -182,6 +183,10 @@ class Forecaster:
 
     def features(self, rows: DataFrame) -> DataFrame:
         """Features of rows later than the training rows."""
+        return _finished(self._wide(rows), self.roles, rows.columns)
+
+    def _wide(self, rows: DataFrame) -> DataFrame:
+        """The rows with all that is looked up for them."""
         roles, row_id = self.roles, [self.roles.row_id]
         _check_names(rows, roles)
         wide = attach_items(rows, self.items, roles.item, row_id, unique=True)
@@ -203,7 +208,41 @@ class Forecaster:
                 )
             else:
                 wide = wide.withColumn(name, F.coalesce(F.col(name), default))
-        return _finished(wide, roles, rows.columns)
+        return wide
+
+    def score_at(self, rows: DataFrame, factors: list[float], threshold: float = 0.5) -> DataFrame:
+        """``score`` at several multiples of the price, with ``price_factor``; factor 1 gives what ``score`` gives.
+
+        It is the price of the contact that changes where contacts have one, and else the
+        item's listed price, among peers whose prices stay. What follows from the price is
+        computed again, all other features stay. Rows are looked up once, and repeated after that.
+        ``factors`` are few.
+        """
+        roles, wide = self.roles, self._wide(rows)
+        refuse(wide, ["price_factor", "_price", "_ratio", "_rank"], "score_at")
+        if not factors or len(set(factors)) < len(factors) or min(factors) <= 0:
+            raise ValueError("different factors above 0")
+        steps = F.array(*[F.lit(float(f)) for f in factors])
+        if not roles.offer:
+            listed = self.items.select(roles.item, roles.peers, roles.price)
+            names = {"price": "_price", "price_ratio": "_ratio", "price_rank": "_rank"}
+            at = prices_at(listed.withColumnsRenamed({roles.item: "_row_of"}), "_row_of", roles.peers, roles.price, factors)
+            at = stage(at.withColumnsRenamed({"_row_of": roles.item, **names}).drop("peer_price"))
+        wide = wide.withColumn("price_factor", F.explode(steps))
+        if roles.offer:
+            changed = F.col(roles.offer).cast("double") * F.col("price_factor")
+            wide = wide.withColumn(roles.offer, F.when(F.col("price_factor") == 1, F.col(roles.offer).cast("double")).otherwise(changed))
+        else:
+            wide = lookup_join(wide, at, [roles.item, "price_factor"], row_id=[roles.row_id])
+            wide = wide.withColumns({roles.price: F.col("_price"), "price_ratio": F.col("_ratio"), "price_rank": F.col("_rank")})
+        ready = _finished(wide, roles, [*rows.columns, "price_factor"])
+        seen = feature_columns(roles), feature_columns(roles, "amount")
+        return score_two_layer(ready, self.buy_layer, self.amount_layer, seen[0], threshold, seen[1])
+
+    def forecast_at(self, rows: DataFrame, factors: list[float], keys: list[str]) -> DataFrame:
+        """Expected quantity and revenue (``forecast``) per key and ``price_factor``."""
+        price = self.roles.offer or self.roles.price
+        return forecast(self.score_at(rows, factors), [*keys, "price_factor"], price=price)
 
     def score(self, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
         """Rows, features and ``p_buy, buy_predicted, amount_predicted, qty_gated, qty_expected``.

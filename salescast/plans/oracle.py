@@ -273,6 +273,22 @@ SELECT p_partkey, i.p_type, p_retailprice, mean AS peer_price,
        p_retailprice / mean AS price_ratio,
        percent_rank() OVER (PARTITION BY i.p_type ORDER BY p_retailprice) AS price_rank
 FROM items i JOIN means m ON m.p_type = i.p_type""",
+    "price_ladder": f"""WITH {_ITEMS},
+means AS (
+  SELECT p_type, CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean, count(*) AS n
+  FROM items GROUP BY p_type),
+cases AS (
+  SELECT p_partkey, p_type, f AS price_factor, p_retailprice * f AS price
+  FROM items CROSS JOIN (VALUES (CAST(0.5 AS DOUBLE)), (1.0), (1.25)) AS steps(f)),
+below AS (
+  SELECT c.p_partkey, c.price_factor, count(i.p_partkey) AS n
+  FROM cases c LEFT JOIN items i
+    ON i.p_type = c.p_type AND i.p_retailprice < c.price AND i.p_partkey <> c.p_partkey
+  GROUP BY c.p_partkey, c.price_factor)
+SELECT c.p_partkey, c.price_factor, price, mean AS peer_price, price / mean AS price_ratio,
+       CASE WHEN m.n > 1 THEN CAST(b.n AS DOUBLE) / (m.n - 1) ELSE 0.0 END AS price_rank
+FROM cases c JOIN means m ON m.p_type = c.p_type
+JOIN below b ON b.p_partkey = c.p_partkey AND b.price_factor = c.price_factor""",
     "price_change": """WITH daily AS (
   SELECT l_partkey, CAST(l_shipdate AS DATE) AS day,
          CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE)

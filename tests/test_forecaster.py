@@ -195,6 +195,13 @@ def test_plain_roles(parts):
     )
     model = fit_forecaster(train, items, plain, maxIter=1, maxDepth=2)
     assert model.score(later).count() == later.count()
+    # other list prices, where contacts have no price of their own
+    ladder = stage(model.score_at(later, [0.5, 1.0]))
+    names = ["id", "price", "x_price", "x_price_ratio", "x_price_rank", "qty_expected"]
+    assert sorted(map(str, ladder.filter("price_factor = 1").select(names).collect())) == sorted(map(str, model.score(later).select(names).collect()))
+    half = ladder.filter("price_factor = 0.5 and price is not null")
+    assert half.join(ladder.filter("price_factor = 1").select("id", F.col("price").alias("full")), "id").filter("2 * price <> full").count() == 0
+    assert half.filter("x_price_rank > 0 and item <> 60").count() == 0
 
 
 def test_prices_keys_and_labels_stay_as_they_are(spark, parts, fitted):
@@ -220,3 +227,21 @@ def test_names_that_are_used_on_the_way(parts):
     with pytest.raises(ValueError, match="x_price"):
         model.score(later.withColumn("x_price", F.lit(1)))
     assert _encoded(["a_b"]) != _encoded(["a", "b"])
+
+
+def test_scores_at_other_offers(parts, fitted, join_way):
+    _, later, _ = parts
+    ladder = fitted.score_at(later, [0.7, 1.0, 1.5])
+    columns = ["id", "p_buy", "amount_predicted", "qty_expected", "offer"]
+    same = ladder.filter("price_factor = 1").select(columns)
+    assert sorted(same.collect()) == sorted(fitted.score(later).select(columns).collect())
+    # what scoring rows with such an offer gives
+    cheap = fitted.score(later.withColumn("offer", F.col("offer") * 0.7)).select(columns)
+    assert sorted(ladder.filter("price_factor = 0.7").select(columns).collect()) == sorted(cheap.collect())
+    totals = {(r.kind, r.price_factor): r for r in fitted.forecast_at(later.withColumn("kind", F.lit(1)), [0.7, 1.0, 1.5], ["kind"]).collect()}
+    # customers buy below 10, so cheap offers sell more and dear ones nothing
+    assert totals[1, 0.7].expected_qty > totals[1, 1.0].expected_qty > totals[1, 1.5].expected_qty
+    listed = forecast(fitted.score(later), [], price="offer").first()
+    assert totals[1, 1.0].expected_revenue == listed.expected_revenue
+    with pytest.raises(ValueError):
+        fitted.score_at(later, [1.0, 1.0])
