@@ -25,10 +25,11 @@ CONTEXT = re.compile(
     re.I | re.A,
 )
 
-#: the same names before a value in quotes, which may have any characters in its line
-QUOTED = re.compile(CONTEXT.pattern.rpartition('["\'`]?')[0] + r"""(?:"([^"\n]{6,})"|'([^'\n]{6,})'|`([^`\n]{6,})`)""", re.I | re.A)
-#: and the rest of a value that goes on after a comma or semicolon
-GOES_ON = re.compile(r"""[,;][^\s"'`<>]+""")
+BEFORE = CONTEXT.pattern.rpartition('["\'`]?')[0]
+#: the same names before a value that goes on after commas or semicolons
+WHOLE = re.compile(BEFORE + r"""["'`]?([^\s"'`<>,;][^\s"'`<>]{4,}[^\s"'`<>,;])""", re.I | re.A)
+#: and before one in quotes, which may have any characters in its line
+QUOTED = re.compile(BEFORE + r"""(?:"([^"\n]{6,})"|'([^'\n]{6,})'|`([^`\n]{6,})`)""", re.I | re.A)
 BEARER = re.compile(r"(?<![A-Za-z0-9])(?:bearer|basic)\x20+([A-Za-z0-9._~+/-]{6,}=*)", re.I | re.A)
 ADDRESS = re.compile(r"""://[^\s/:@"'<>]*:([^\s/@"'<>]{6,})@""")
 
@@ -133,10 +134,9 @@ def steps(a: str, b: str) -> bool:
 def valued(text: str) -> set[tuple[int, int]]:
     """Spans of the values after a credential's name, of bearer tokens, and of passwords in addresses."""
     found = {m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 6}
-    for m in CONTEXT.finditer(text):
-        start, end = m.span(1)
-        more = GOES_ON.match(text, end)
-        found.add((start, more.end() if more and len(more[0]) > 2 else end))
+    ends = dict(m.span(1) for m in CONTEXT.finditer(text))
+    ends.update(m.span(1) for m in WHOLE.finditer(text))  # never ends sooner
+    found |= set(ends.items())
     found |= {m.span(m.lastindex) for m in QUOTED.finditer(text)}
     found |= {m.span(1) for m in BEARER.finditer(text)}
     if "://" in text:

@@ -1,11 +1,13 @@
 import hashlib
+import math
+import random
 import re
 
 import pytest
 from helpers import clashing, odd_docs
 
 from salescast.llm.queries import op8_secrets
-from salescast.llm.secrets import RANK, find_secrets, guess_cost, masked, spans
+from salescast.llm.secrets import DATE, DATE_GUESSES, LEET, NEXT_PART, RANK, YEAR_GUESSES, alphabet, find_secrets, guess_cost, masked, spans, steps
 
 
 def naive_base(text):
@@ -56,7 +58,65 @@ def test_cost_is_the_least_cut():
     assert guess_cost("") == 0
     for a, b in (("dragon", "tiger"), ("dragon", "x9Q"), ("zzz", "2019")):
         assert guess_cost(a + b) <= guess_cost(a) + guess_cost(b) + 1e-9
-    assert guess_cost("dragon") == pytest.approx(__import__("math").log10(2 * (RANK["dragon"] + 1)))
+    assert guess_cost("dragon") == pytest.approx(math.log10(2 * (RANK["dragon"] + 1)))
+
+
+def part_cost(value, start, end):
+    """Cheapest guess of one part, with no other part in it."""
+    part, size = value[start:end], end - start
+    low = part.lower()
+    plain = low.translate(LEET)
+    costs = [alphabet(part)] if size == 1 else []
+    if size >= 2 and (rank := RANK.get(low) or RANK.get(plain)):
+        changed = sum(a != b for a, b in zip(part, low)) + (low not in RANK) * sum(a != b for a, b in zip(low, plain))
+        costs.append(math.log10(rank + 1) + changed / 2 + NEXT_PART)
+    if size in (4, 8, 10) and DATE.fullmatch(part):
+        costs.append((YEAR_GUESSES if size == 4 else DATE_GUESSES) + NEXT_PART)
+    if size >= 3 and all(steps(a, b) for a, b in zip(low, low[1:])):
+        costs.append(math.log10(40 * size) + NEXT_PART)
+    for unit in range(1, min(8, size // 2) + 1):
+        if size >= 3 and all(part[i] == part[i - unit] for i in range(unit, size)):
+            costs.append(sum(map(alphabet, part[:unit])) + math.log10(max(2, size // unit)) + NEXT_PART)
+    return min(costs, default=math.inf)
+
+
+def cheapest_cut(value):
+    """Every one of the 2 ** (n - 1) ways to cut the value."""
+    n, least = len(value), math.inf
+    for cut in range(1 << max(0, n - 1)):
+        ends = [i + 1 for i in range(n - 1) if cut >> i & 1] + [n]
+        cost = sum(part_cost(value, a, b) for a, b in zip([0, *ends], ends))
+        least = min(least, cost)
+    return least if n else 0
+
+
+@pytest.mark.parametrize("pieces", ["ab", "abc1", "aab2 12 love", "qwe rty 123 x", "dd 4 me red 2024 zz", "ABc ab 19 99 P@ss"])
+def test_cost_against_all_cuts(pieces):
+    rng, made = random.Random(pieces), pieces.split() if " " in pieces else list(pieces)
+    for _ in range(60):
+        value = "".join(rng.choice(made) for _ in range(rng.randint(1, 10)))[:10]
+        assert guess_cost(value) == pytest.approx(cheapest_cut(value), abs=1e-9), value
+
+
+def test_runs_and_walks_that_begin_in_a_word():
+    word, year = guess_cost("password"), guess_cost("2024")
+    run = alphabet("d") + math.log10(5) + NEXT_PART
+    assert guess_cost("passwordddddd2024") <= word + run + year + 1e-9 < 6
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("Authorization: Bearer abcDEF123xyz789QQ\n", "abcDEF123xyz789QQ"),
+        ("password: ab,9$kQzX81mm next", "ab,9$kQzX81mm"),
+        ("see https://user:Zx9kQ2mmPp@host/x", "Zx9kQ2mmPp"),
+        ('db_password = "my secret pass phrase here"', "my secret pass phrase here"),
+    ],
+)
+def test_values_by_their_place(spark, text, value):
+    assert value in [text[a:b] for kind, a, b in spans(text, 10.0) if kind == "guess"]
+    shown = masked(spark.createDataFrame([(text,)], "text string")).first().text
+    assert value not in shown and not (set(value.split()) - {"my"}) & set(shown.split())
 
 
 def test_hard_values_in_context():
