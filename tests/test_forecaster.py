@@ -238,7 +238,7 @@ def test_scores_at_other_offers(parts, fitted, join_way):
     # what scoring rows with such an offer gives
     cheap = fitted.score(later.withColumn("offer", F.col("offer") * 0.7)).select(columns)
     assert sorted(ladder.filter("price_factor = 0.7").select(columns).collect()) == sorted(cheap.collect())
-    totals = {(r.kind, r.price_factor): r for r in fitted.forecast_at(later.withColumn("kind", F.lit(1)), [0.7, 1.0, 1.5], ["kind"]).collect()}
+    totals = {(r.market, r.price_factor): r for r in fitted.forecast_at(later.withColumn("market", F.lit(1)), [0.7, 1.0, 1.5], ["market"]).collect()}
     # customers buy below 10, so cheap offers sell more and dear ones nothing
     assert totals[1, 0.7].expected_qty > totals[1, 1.0].expected_qty > totals[1, 1.5].expected_qty
     listed = forecast(fitted.score(later), [], price="offer").first()
