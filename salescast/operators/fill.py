@@ -13,6 +13,11 @@ from salescast.sources.staging import stage
 
 SCORE_DIGITS = 9
 MAX_ATTRS = 12
+#: width of a band of classes, as a logarithm of their score
+BAND = 0.25
+#: bands of a value whose best class is scored first
+SEEDS = 4
+SLACK = 1e-6
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -116,9 +121,10 @@ def nb_classes(
     """The likeliest class of each combination of attributes that lacks the target.
 
     Rows alike in their attributes get the same answer, so they are first counted into
-    patterns. A pattern is scored only for the classes seen with one of its values, and
-    for the class that would win if none were: seen values only add to a score, so no
-    other class can win. Columns: ``attrs, n_rows, cls, mean``, so no attribute may have one
+    patterns. The class that would win if no value were seen is always scored: seen values
+    only add to a score, so no other class without them can win. Of the classes seen with a
+    value of the pattern, the best by one value alone are scored first, and then those
+    that could still beat them, by upper bounds for bands of classes and for each class. Columns: ``attrs, n_rows, cls, mean``, so no attribute may have one
     of the last three names; ``nb_apply`` and ``nb_fill`` take attributes of any name.
     """
     taken = {a.lower() for a in attrs} & {"n_rows", "cls", "mean"}
@@ -145,73 +151,211 @@ def _classes(df: DataFrame, counts: DataFrame, target: str, given: list[str], al
     """``nb_classes`` with the attributes under their safe names."""
     if alpha <= 0:
         raise ValueError("alpha must be above 0")
-    # there are no more classes than counts, so one measure serves both
+    # there are no more classes than counts, so one measure serves all tables made of them
     small = fits_broadcast(counts)
     attrs = _safe(given)
+    classes = stage(_class_table(counts, given, alpha))
+    postings = stage(_postings(counts, classes, given, alpha, small))
+    patterns = _patterns(df, target, given)
+    sure = _fallback(patterns, classes, attrs)
+    lists = stage(_lists(patterns, postings, classes, given, small))
+    seeds = stage(_scored(_seeds(lists, attrs), postings, classes, given, small).unionByName(sure))
+    reached = _reached(lists, seeds, postings, classes, attrs, small)
+    candidates = _scored(reached, postings, classes, given, small).unionByName(seeds)
+    winners = _best(candidates, [*attrs, "n_rows"]).drop("score")
+    means = classes.select("cls", "mean")
+    if small:
+        return stage(winners.join(F.broadcast(means), "cls"))
+    return stage(lookup_join(stage(winners), means, ["cls"]))
+
+
+def nb_candidates(
+    df: DataFrame, counts: DataFrame, target: str, attrs: list[str], alpha: float = 1.0
+) -> DataFrame:
+    """The pairs that ``nb_classes`` scores: ``_id`` of a combination of attributes, and ``cls``.
+
+    Beside them, it scores one class per combination that needs no value seen.
+    """
+    small = fits_broadcast(counts)
+    classes = stage(_class_table(counts, attrs, alpha))
+    postings = stage(_postings(counts, classes, attrs, alpha, small))
+    patterns = _patterns(df, target, attrs)
+    lists = stage(_lists(patterns, postings, classes, attrs, small))
+    first = _seeds(lists, _safe(attrs))
+    least = _scored(first, postings, classes, attrs, small).unionByName(_fallback(patterns, classes, _safe(attrs)))
+    more = _reached(lists, stage(least), postings, classes, _safe(attrs), small)
+    return first.select("_id", "cls").union(more.select("_id", "cls")).distinct()
+
+
+def _pattern(attrs: list[str]) -> list[str]:
+    return ["_id", *attrs, "n_rows", "mask"]
+
+
+def _patterns(df: DataFrame, target: str, given: list[str]) -> DataFrame:
+    """The different combinations of attributes of rows without target, numbered and written once."""
+    attrs = _safe(given)
     mask = reduce(
         lambda a, b: a + b,
         [F.when(F.col(a).isNotNull(), 1 << i).otherwise(0) for i, a in enumerate(attrs)],
     )
-    patterns = (
+    found = (
         df.filter(F.col(target).isNull())
         .groupBy(*[F.col(g).alias(a) for g, a in zip(given, attrs)])
         .agg(F.count(F.lit(1)).alias("n_rows"))
-        .withColumn("mask", mask)
     )
-    classes = _class_table(counts, given, alpha)
-    if not small:
-        patterns, classes = stage(patterns), stage(classes)
-    pattern = [*attrs, "n_rows", "mask"]
+    return stage(found.select(F.monotonically_increasing_id().alias("_id"), "*", mask.alias("mask")))
 
-    cells = F.array(
+
+def _cells(given: list[str]) -> Column:
+    return F.array(
         *[
-            F.struct(F.lit(g).alias("attr"), F.col(a).cast("string").alias("value"))
-            for g, a in zip(given, attrs)
+            F.struct(F.lit(i).alias("at"), F.lit(g).alias("attr"), F.col(a).cast("string").alias("value"))
+            for i, (g, a) in enumerate(zip(given, _safe(given)))
         ]
     )
-    present = (
-        patterns.select(*pattern, F.explode(cells).alias("cell"))
-        .select(*pattern, F.col("cell.attr"), F.col("cell.value"))
-        .filter(F.col("value").isNotNull())
-    )
-    seen = counts.filter(F.col("attr").isNotNull()).select(
-        "attr", "value", "cls", F.log((F.col("n") + alpha) / F.lit(alpha)).alias("gain")
-    )
-    terms = classes.drop("mean")
-    if small:
-        pairs = present.join(F.broadcast(seen), ["attr", "value"])
-        gains = pairs.groupBy(*pattern, "cls").agg(F.sum("gain").alias("gain"))
-        scored = gains.join(F.broadcast(terms), "cls")
-    else:
-        # a common value, and then a common class, may belong to most patterns
-        pairs = _spread_join(present, seen, ["attr", "value"])
-        gains = stage(pairs.groupBy(*pattern, "cls").agg(F.sum("gain").alias("gain")))
-        scored = _spread_join(gains, terms, ["cls"])
-    scored = scored.withColumn("score", _base(F.col("mask"), len(attrs)) + F.col("gain"))
 
+
+def _fallback(patterns: DataFrame, classes: DataFrame, attrs: list[str]) -> DataFrame:
+    """Per pattern, the class that would win if none were seen with its values, with that score."""
     # at most 2^attrs masks; bounded by MAX_ATTRS, not by the data
     masks = range(1 << len(attrs))
     if len(masks) > 16:
         masks = [r["mask"] for r in patterns.select("mask").distinct().collect()] or [0]
     unseen = (
-        terms.withColumn("mask", F.explode(F.array(*[F.lit(x) for x in masks])))
+        classes.withColumn("mask", F.explode(F.array(*[F.lit(x) for x in masks])))
         .withColumn("score", _base(F.col("mask"), len(attrs)))
         .select("mask", "cls", "score")
     )
-    fallback = patterns.join(F.broadcast(_best(unseen, ["mask"])), "mask")
-    candidates = scored.select(*pattern, "cls", "score").unionByName(
-        fallback.select(*pattern, "cls", "score")
+    found = patterns.join(F.broadcast(_best(unseen, ["mask"])), "mask")
+    return found.select(*_pattern(attrs), "cls", "score")
+
+
+def _postings(counts: DataFrame, classes: DataFrame, given: list[str], alpha: float, small: bool) -> DataFrame:
+    """Of each value seen, the classes seen with it, in bands of their score by this value alone.
+
+    ``gain`` is what the value adds to a class that has it, ``own`` the class's share of
+    the value, as a logarithm, and ``alone`` that with the class's prior.
+    """
+    seen = counts.filter(F.col("attr").isNotNull()).select(
+        "attr", "value", "cls", F.log((F.col("n") + alpha) / F.lit(alpha)).alias("gain")
     )
-    winners = _best(candidates, [*attrs, "n_rows"]).drop("score")
-    means = classes.select("cls", "mean")
-    if small:
-        return stage(winners.join(F.broadcast(means), "cls"))
-    return stage(lookup_join(stage(winners), means, ["cls"]))
+    wide = _look(seen, classes.drop("mean"), ["cls"], small, "inner")
+    unseen = F.coalesce(*[F.when(F.col("attr") == g, F.col(f"unseen_{i}")) for i, g in enumerate(given)])
+    own = wide.withColumn("own", unseen + F.col("gain"))
+    alone = own.withColumn("alone", F.col("log_prior") + F.col("own")).drop("log_prior")
+    return alone.withColumn("band", F.floor(F.col("alone") / BAND))
 
 
-def _spread_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def _lists(patterns: DataFrame, postings: DataFrame, classes: DataFrame, given: list[str], small: bool) -> DataFrame:
+    """Per pattern and value of it: the value's bands, and what other values can add at most.
+
+    The values of a pattern are ordered by how many classes have them. A class is to be
+    found by the first of its values, so it has none of those before (``before``), for which
+    it gets no more than the likeliest class without the value does (``none``). Bands
+    follow from logarithms of counts, so a value has some hundreds of them at most.
+    """
+    attrs = _safe(given)
+    pattern = _pattern(attrs)
+    top = classes.agg(*[F.max(f"unseen_{i}") for i in range(len(attrs))]).first()
+    tops = F.array(*[F.lit(t if t is not None else 0.0) for t in top])
+    bits = F.array(*[F.lit(1 << i) for i in range(len(attrs))])
+    bands = postings.groupBy("attr", "value", "band").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max("own").alias("own"),
+        F.max("alone").alias("most"),
+        F.max(F.struct("alone", "cls"))["cls"].alias("cls"),
+    )
+    values = bands.groupBy("attr", "value").agg(
+        F.sum("n").alias("n"),
+        F.max("own").alias("own"),
+        F.sort_array(F.collect_list(F.struct("band", "most", "cls")), asc=False).alias("bands"),
+    )
+    present = (
+        patterns.select(*pattern, F.explode(_cells(given)).alias("cell"))
+        .select(*pattern, "cell.*")
+        .filter(F.col("value").isNotNull())
+    )
+    none = F.get(tops, F.col("at"))
+    found = _look(present, values, ["attr", "value"], small, "left").select(
+        *pattern,
+        F.struct(
+            F.col("n").isNull().alias("new"), "n", "at", F.greatest("own", none).alias("best"), none.alias("none"),
+            F.get(bits, F.col("at")).alias("bit"), "attr", "value", "bands",
+        ).alias("value"),
+    )
+    # no more than MAX_ATTRS values in a group
+    whole = found.groupBy(*pattern).agg(F.sort_array(F.collect_list("value")).alias("all"))
+
+    def one(x: Column, i: Column) -> Column:
+        before, after = F.slice("all", F.lit(1), i), F.slice("all", i + 2, F.lit(len(attrs)))
+        return F.struct(
+            x["attr"].alias("attr"),
+            x["value"].alias("value"),
+            x["bands"].alias("bands"),
+            F.aggregate(before, F.lit(0), lambda acc, y: acc + y["bit"]).alias("before"),
+            (
+                F.aggregate(before, F.lit(0.0), lambda acc, y: acc + y["none"])
+                + F.aggregate(after, F.lit(0.0), lambda acc, y: acc + y["best"])
+            ).alias("others"),
+        )
+
+    return whole.select(*pattern, F.explode(F.transform("all", one)).alias("l")).select(*pattern, "l.*")
+
+
+def _seeds(lists: DataFrame, attrs: list[str]) -> DataFrame:
+    """The best classes by one value alone, whose scores are what others have to reach."""
+    best = F.explode(F.slice("bands", 1, SEEDS)).alias("b")
+    return lists.select(*_pattern(attrs), best).select(*_pattern(attrs), F.col("b.cls").alias("cls"))
+
+
+def _reached(
+    lists: DataFrame, seeds: DataFrame, postings: DataFrame, classes: DataFrame, attrs: list[str], small: bool
+) -> DataFrame:
+    """Pairs of pattern and class that could win against the best seed.
+
+    First by band, so that no class of a band that cannot win is looked at, then by the
+    class's own figures. ``SLACK`` is above what rounding changes, so ties are kept.
+    """
+    least = seeds.groupBy("_id").agg((F.max("score") - SLACK).alias("least"))
+    rows = lists.join(least, "_id")
+    able = F.filter("bands", lambda b: b["most"] + F.col("others") >= F.col("least"))
+    rest = ["attr", "value", "before", "others", "least"]
+    rows = rows.select(*_pattern(attrs), *rest, F.explode(F.transform(able, lambda b: b["band"])).alias("band"))
+    found = _look(rows, postings, ["attr", "value", "band"], small, "inner")
+    top = classes.agg(*[F.max(f"unseen_{i}") for i in range(len(attrs))]).first()
+    most = F.col("alone") + F.col("others")
+    for i, t in enumerate(top):
+        if t is not None:
+            on = F.col("before").bitwiseAND(F.lit(1 << i)) != 0
+            most = most + F.when(on, F.col(f"unseen_{i}") - F.lit(t)).otherwise(F.lit(0.0))
+    return found.filter(most >= F.col("least")).select(*_pattern(attrs), "cls")
+
+
+def _scored(rows: DataFrame, postings: DataFrame, classes: DataFrame, given: list[str], small: bool) -> DataFrame:
+    """Whole scores of pairs of pattern and class; a repeated pair counts once."""
+    attrs = _safe(given)
+    pattern = _pattern(attrs)
+    cells = (
+        rows.select(*pattern, "cls", F.explode(_cells(given)).alias("cell"))
+        .select(*pattern, "cls", "cell.attr", "cell.value")
+        .filter(F.col("value").isNotNull())
+    )
+    found = _look(cells, postings.select("attr", "value", "cls", "gain"), ["attr", "value", "cls"], small, "left")
+    gains = found.groupBy(*pattern, "cls").agg(
+        *[F.coalesce(F.max(F.when(F.col("attr") == g, F.col("gain"))), F.lit(0.0)).alias(f"gain_{i}") for i, g in enumerate(given)]
+    )
+    whole = _look(gains, classes.drop("mean"), ["cls"], small, "inner")
+    score = reduce(lambda a, b: a + b, [_base(F.col("mask"), len(attrs)), *[F.col(f"gain_{i}") for i in range(len(attrs))]])
+    return whole.select(*pattern, "cls", score.alias("score"))
+
+
+def _look(left: DataFrame, right: DataFrame, keys: list[str], small: bool, how: str) -> DataFrame:
+    """Join with a table made of the counts; a common value or class may belong to most rows."""
+    if small:
+        return left.join(F.broadcast(right), keys, how)
+    left = stage(left)
     sizes = stage(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
-    return salted_join(left, right, keys, heavy_keys(sizes, keys, "n"), "inner")
+    return salted_join(left, right, keys, heavy_keys(sizes, keys, "n"), how)
 
 
 def nb_apply(

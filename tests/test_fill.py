@@ -1,10 +1,12 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from salescast.functions import bucket
-from salescast.operators.fill import nb_apply, nb_fill, nb_fit, null_profile
+from salescast.operators.fill import nb_apply, nb_candidates, nb_classes, nb_fill, nb_fit, null_profile
+from salescast.sources.staging import stage
 
 
 def brute_force(known, rows, alpha=1.0):
@@ -69,6 +71,65 @@ def test_equals_scoring_every_class(spark, join_way, alpha):
     assert {i: got[i] for i in want} == want
 
 
+CLASSES = 10_000
+
+
+@pytest.fixture(scope="module")
+def many_classes(spark):
+    """60,000 rows of 10,000 classes: an attribute that tells classes apart, and two that hardly do."""
+    i = F.col("id")
+
+    def noise(seed, n):
+        return F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(n))
+
+    cls = F.when(noise(9, 8) == 0, noise(1, 40)).otherwise(i % CLASSES)
+    rows = spark.range(60_000).select(
+        "id",
+        cls.cast("int").alias("g"),
+        F.when(noise(2, 5) > 0, cls * 7 % 500).otherwise(noise(3, 500)).cast("int").alias("a"),
+        F.when(noise(4, 3) > 0, cls % 6).otherwise(noise(5, 6)).cast("int").alias("b"),
+        noise(6, 4).cast("int").alias("c"),
+    )
+    gaps = spark.range(400).select(
+        "id",
+        F.lit(None).cast("int").alias("g"),
+        F.when(noise(7, 9) > 0, noise(11, 520)).cast("int").alias("a"),
+        F.when(noise(8, 5) > 0, noise(12, 6)).cast("int").alias("b"),
+        F.when(noise(10, 4) > 0, noise(13, 4)).cast("int").alias("c"),
+    )
+    folder = stage(rows.unionByName(gaps))
+    return folder, nb_fit(folder, "g", ["a", "b", "c"])
+
+
+def test_few_pairs_of_many_classes(spark, many_classes):
+    df, counts = many_classes
+    attrs = ["a", "b", "c"]
+    known = df.filter("g is not null").toPandas()
+    tables = []
+    for a in attrs:
+        table = np.zeros((CLASSES, int(known[a].max()) + 1))
+        np.add.at(table, (known["g"], known[a]), 1)
+        tables.append(table)
+    sizes = np.bincount(known["g"], minlength=CLASSES)
+    classes = np.flatnonzero(sizes)
+    want, seen = {}, 0
+    gaps = df.filter("g is null").select(attrs).distinct().collect()
+    for row in gaps:
+        score = np.log(sizes[classes] / len(known))
+        has = np.zeros(len(classes), bool)
+        for value, table in zip(row, tables):
+            if value is not None:
+                hits = table[classes, value] if value < table.shape[1] else 0
+                score = score + np.log((hits + 1) / (sizes[classes] + (table.sum(0) > 0).sum()))
+                has |= hits > 0
+        seen += has.sum()
+        want[tuple(row)] = classes[np.argmax(np.round(score, 9))]
+    got = {(r.a, r.b, r.c): r.cls for r in nb_classes(df, counts, "g", attrs).collect()}
+    assert got == want
+    pairs = nb_candidates(df, counts, "g", attrs).count()
+    assert pairs < seen / 10, (pairs, seen)
+
+
 def test_numeric_target_gets_the_mean_of_its_bucket(spark, join_way):
     rows = [(1, 10, "p"), (2, 14, "p"), (3, 11, "p"), (4, 31, "q"), (5, 35, "q"),
             (6, None, "p"), (7, None, "q")]
