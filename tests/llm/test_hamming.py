@@ -1,8 +1,10 @@
 import random
+from math import comb
 
 from helpers import as_rows
 from pyspark.sql import functions as F
 
+from salescast.llm import hamming as H
 from salescast.llm.hamming import masks, sign_code, top_k, widths
 
 
@@ -45,3 +47,36 @@ def test_codes(spark):
     assert sorted(m for r in range(17) for m in masks(r, 16)) == list(range(65536))
     for words, codes in ((1, 1), (3, 500), (4, 10_000), (4, 10**9)):
         assert sum(widths(words, codes)) == 16 * words and max(widths(words, codes)) <= 16
+
+
+def looked_up(codes, k=10):
+    """Values that a query among random codes of 64 bits looks up until its k-th neighbour is covered."""
+    far = next(d for d in range(65) if codes * sum(comb(64, j) for j in range(d + 1)) >= k << 64)
+    sizes = widths(4, codes)
+    radius, more = divmod(far + 1, len(sizes))
+    return sum(comb(w, r) for i, w in enumerate(sizes) for r in range(radius + (i < more)))
+
+
+def test_look_ups_of_five_times_the_codes_and_queries():
+    for few, many in ((2000, 10_000), (10_008, 50_125)):
+        assert 5 * looked_up(many) < 12 * looked_up(few)
+    assert looked_up(50_125) < 2000
+
+
+def test_last_round_takes_no_more_segments_than_cover_the_bound(spark, monkeypatch, join_way):
+    draw, asked = random.Random(7), []
+    rows = [(i, tuple(draw.getrandbits(16) for _ in range(4))) for i in range(1200)]
+    queries = [r for r in rows if r[0] % 60 == 0]
+
+    def noted(active, sizes, radius, made=H.probes):
+        some = made(active, sizes, radius)
+        whole = sum(comb(w, radius) for w in sizes) * active.count()
+        asked.append((some.count(), whole, some.groupBy("sq", "bound").agg(F.countDistinct("seg").alias("segs")).collect(), len(sizes), radius))
+        return some
+
+    monkeypatch.setattr(H, "probes", noted)
+    frame = spark.createDataFrame([(i, list(c)) for i, c in rows], "vec_id long, code array<int>")
+    assert as_rows(top_k(frame, frame.filter("vec_id % 60 = 0"), 4)) == brute(rows, queries, 10)
+    assert sum(some for some, *_ in asked) < sum(whole for _, whole, *_ in asked)
+    for _, _, each, count, radius in asked:
+        assert all(r.segs == (count if r.bound is None else min(count, r.bound + 1 - count * radius)) for r in each)
