@@ -81,6 +81,13 @@ def folded(words: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(words.reshape(-1, size), axis=0)
 
 
+def least_apart(a: bytes, b: bytes) -> int:
+    """Places in which two sketches differ: two sets differ in as many elements at least."""
+    one, two = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    size = min(len(one), len(two))
+    return int(np.bitwise_count(folded(one, size) ^ folded(two, size)).sum())
+
+
 def most_apart(sizes: np.ndarray, percent: int) -> np.ndarray:
     """Elements that similar sets may not share, for the sum of their sizes."""
     return sizes - 2 * -(-percent * sizes // (100 + percent))
@@ -263,18 +270,51 @@ def texts_of(
     return named.join(stage(wanted), "id").groupBy("id").agg(F.min("text").alias("text"))
 
 
-def verified(
-    pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int
-) -> DataFrame:
-    """Pairs of sets with whether they are similar, from the texts of one document each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = texts_of(wanted, sets, docs, key, text, words)
+def with_ends(pairs: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs with the columns of ``right``, which has a row per ``id``, for ``a`` and for ``b`` (``..._a``, ``..._b``)."""
     both = pairs
     for end in ("a", "b"):
-        # a hub is in many pairs, which are dealt out with a copy of its text each
+        # a hub is in many pairs, which are dealt out with a copy of its row each
         sizes = stage(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")))
-        right = texts.withColumnsRenamed({"id": end, "text": f"text_{end}"})
-        both = salted_join(both, right, [end], heavy_keys(sizes, [end], "n"), "inner", row_id=["a", "b"])
+        each = right.withColumnsRenamed({c: end if c == "id" else f"{c}_{end}" for c in right.columns})
+        both = salted_join(both, each, [end], heavy_keys(sizes, [end], "n"), "inner", row_id=["a", "b"])
+    return both
+
+
+def possible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets with whether their sizes and sketches leave it open that they are similar (``may``)."""
+    both = with_ends(pairs, known)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            most = most_apart(sizes[0] + sizes[1], percent)
+            apart = [least_apart(a.as_py(), b.as_py()) for a, b in zip(batch.column(4), batch.column(5))]
+            may = (np.abs(sizes[0] - sizes[1]) <= most) & (np.array(apart, np.int64) <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(may)], names=["a", "b", "may"])
+
+    both = both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    return stage(both.mapInArrow(rows, "a long, b long, may boolean"))
+
+
+def each_once(sets: DataFrame) -> DataFrame:
+    """One row for each set: ``id``, ``n``, ``sketch``."""
+    known = sets.filter("id is not null").groupBy("id")
+    return stage(known.agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")))
+
+
+def verified(
+    pairs: DataFrame, sets: DataFrame, known: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int
+) -> DataFrame:
+    """Pairs of sets with whether they are similar, from the texts of one document each.
+
+    Texts are many times the size of sketches, so they are moved for those pairs only that
+    the sketches do not rule out.
+    """
+    pairs = possible(stage(pairs), known, percent)
+    left = pairs.filter("may").select("a", "b")
+    wanted = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    both = with_ends(left, stage(texts_of(wanted, sets, docs, key, text, words)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_text, last = None, np.empty(0, np.uint64)
@@ -290,7 +330,8 @@ def verified(
                 [batch.column(0), batch.column(1), pa.array(similar, pa.bool_())], names=["a", "b", "similar"]
             )
 
-    return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(rows, "a long, b long, similar boolean"))
+    read = both.select("a", "b", "text_a", "text_b").mapInArrow(rows, "a long, b long, similar boolean")
+    return stage(read.unionByName(pairs.filter("not may").select("a", "b", F.lit(False).alias("similar"))))
 
 
 def pairs_across(labelled: DataFrame, sets: DataFrame, percent: int, one: bool = False) -> DataFrame:
@@ -392,8 +433,8 @@ def jaccard_components(
     similarity of ``percent`` or more. Equal sets are one set from the start. Sets that
     share a PartEnum signature (see ``Scheme``) are held against the smallest of their
     bucket; then, in buckets with sets of different components, pairs across components
-    that sizes and sketches do not rule out (see ``pairs_across``). Every pair is checked on
-    the texts, and no link is lost.
+    that sizes and sketches do not rule out (see ``pairs_across``). Every other pair that these
+    leave open is checked on the texts too (see ``verified``), and no link is lost.
 
     Returns the key, ``n_shingles``, ``component_id`` (the smallest key of the group) and
     ``component`` (a number of the group, NULL without words). NULL and empty texts have
@@ -403,9 +444,10 @@ def jaccard_components(
     """
     bound_batches(docs.sparkSession)
     sets = stage(sets_of(docs, key, text, words))
+    known = each_once(sets)
     near = candidates(docs, text, words, percent)
     pairs = near.select("a", "b").distinct()
-    checked = verified(pairs, sets, docs, key, text, words, percent)
+    checked = verified(pairs, sets, known, docs, key, text, words, percent)
     links = checked.filter("similar").select("a", "b")
     roots = components(links)
     members = near.select("sig", F.col("a").alias("id")).unionAll(near.select("sig", F.col("b").alias("id"))).distinct()
@@ -415,7 +457,7 @@ def jaccard_components(
         labelled = members.join(roots, "id", "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
         across = stage(pairs_across(labelled, sets, percent, one).join(checked, ["a", "b"], "left_anti"))
         if across.limit(1).count():
-            new = verified(across, sets, docs, key, text, words, percent)
+            new = verified(across, sets, known, docs, key, text, words, percent)
             checked = stage(checked.unionByName(new))
             roots = joined(roots, new.filter("similar").select("a", "b"))
     found = lookup_join(sets.drop("sketch"), roots, ["id"], row_id=["key", "id"])

@@ -143,3 +143,71 @@ def test_more_links_join_known_components(spark):
         want = {r.id: r.root for r in components(frame(links)).collect()}
         got = {r.id: r.root for r in found.collect()}
         assert found.count() == len(got) and got == want
+
+
+def test_texts_are_moved_only_for_pairs_that_sketches_leave_open(spark, monkeypatch, join_way):
+    texts = [prose(2000 + i, 60) for i in range(12)]
+    texts += [t + " more" for t in texts[:4]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = J.stage(J.sets_of(docs, "doc_id", "text", 4))
+    ids = {r.key: r.id for r in sets.collect()}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    wanted = []
+
+    def noted(some, *rest, made=J.texts_of):
+        wanted.extend(r.id for r in some.collect())
+        return made(some, *rest)
+
+    monkeypatch.setattr(J, "texts_of", noted)
+    frame = spark.createDataFrame([(ids[i], ids[j]) for i, j in pairs], "a long, b long")
+    got = {(r.a, r.b): r.similar for r in J.verified(frame, sets, J.each_once(sets), docs, "doc_id", "text", 4, 85).collect()}
+    assert got == {(ids[i], ids[j]): i == j + 12 for i, j in pairs}
+    assert sorted(wanted) == sorted(ids[i] for i in (0, 1, 2, 3, 12, 13, 14, 15))
+
+
+def test_sets_that_share_a_signature_only_move_no_texts(spark, monkeypatch):
+    draw, base = random.Random(9), prose(5, 60).split()
+    texts = []
+    for _ in range(40):
+        words = list(base)
+        for place in draw.sample(range(4, 56), 2):
+            words[place] = f"new{draw.random()}"
+        texts.append(" ".join(words))
+    other = prose(6, 80)
+    texts += [other, other + " more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = {r.key: r.id for r in J.sets_of(docs, "doc_id", "text", 4).collect()}
+    found = {(r.a, r.b) for r in J.candidates(docs, "text", 4, 85).collect()}
+    near = [(i, j) for i in range(42) for j in range(i) if (brute([(0, texts[j]), (1, texts[i])], 4, 85))[1][1] == 0]
+    moved = set()
+
+    def noted(some, *rest, made=J.texts_of):
+        moved.update(r.id for r in some.collect())
+        return made(some, *rest)
+
+    monkeypatch.setattr(J, "texts_of", noted)
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(docs).collect()}
+    assert got == {i: want for i, (_, want) in brute(list(enumerate(texts)), 4, 85).items()}
+    assert len(found) > 5 and moved == {ids[i] for pair in near for i in pair}
+
+
+def test_shuffles_of_what_is_staged_are_removed(spark):
+    import time
+
+    cleaned = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files, names = manager.getAllFiles(), []
+        for i in range(files.size()):
+            names.append(files.apply(i).getName())
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before = shuffles(), spark.conf.get(cleaned, "false")
+    kept = J.stage(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count())
+    for _ in range(50):
+        if not (left := shuffles() - before[0]):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(cleaned, "false") == before[1]
+    assert sorted(r["count"] for r in kept.collect()) == [142, 143, 143, 143, 143, 143, 143]
