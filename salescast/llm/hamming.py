@@ -127,7 +127,9 @@ def top_k(rows: DataFrame, queries: DataFrame, words: int, k: int = 10, key: str
     codes = codes.select(segments(F.col("c"), sizes).alias("sc"), "ids")
     asked = asked.select("query_id", segments(F.col("q"), sizes).alias("sq"))
     index = stage(codes.select(F.posexplode("sc").alias("seg", "value"), "sc", F.col("ids")[0].alias("first")))
-    right = F.broadcast(index) if fits_broadcast(index) else index
+    # beyond that the join must shuffle: what queries look up is planned by the size of the queries, of which
+    # there may be few, and broadcast it would fill the driver
+    right = F.broadcast(index) if fits_broadcast(index) else index.hint("merge")
     active = stage(asked.select("sq", F.lit(None).cast("int").alias("bound")).distinct())
     best, done, last = None, [], max(sizes)
     every = range(len(sizes))

@@ -1,4 +1,5 @@
 import random
+import re
 from math import comb
 
 from helpers import as_rows
@@ -80,3 +81,21 @@ def test_last_round_takes_no_more_segments_than_cover_the_bound(spark, monkeypat
     assert sum(some for some, *_ in asked) < sum(whole for _, whole, *_ in asked)
     for _, _, each, count, radius in asked:
         assert all(r.segs == (count if r.bound is None else min(count, r.bound + 1 - count * radius)) for r in each)
+
+
+def test_what_is_looked_up_is_never_broadcast(spark, monkeypatch):
+    """A few staged queries look small, but each looks up thousands of values."""
+    monkeypatch.setattr("salescast.operators.joins.MAX_BROADCAST_ROWS", 0)
+    draw, plans = random.Random(3), []
+
+    def noted(df, made=H.stage):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return made(df)
+
+    monkeypatch.setattr(H, "stage", noted)
+    rows = [(i, tuple(draw.getrandbits(16) for _ in range(2))) for i in range(300)]
+    queries = [r for r in rows if r[0] % 100 == 0]
+    frame = spark.createDataFrame([(i, list(c)) for i, c in rows], "vec_id long, code array<int>")
+    assert as_rows(top_k(frame, frame.filter("vec_id % 100 = 0"), 2)) == brute(rows, queries, 10)
+    joins = [line for p in plans for line in p.splitlines() if re.search(r"Join.*\[seg#\d+, value#", line)]
+    assert joins and all("SortMergeJoin" in line for line in joins)
