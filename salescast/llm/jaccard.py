@@ -256,7 +256,8 @@ def texts_of(
     """
     keys = sets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     if not keys.filter("n > 1 or key is null").limit(1).count():
-        owners = stage(sets.join(wanted, "id").groupBy("id").agg(F.min("key").alias("key")))
+        # a row per set first: many documents may have one set
+        owners = stage(sets.groupBy("id").agg(F.min("key").alias("key")).join(wanted, "id"))
         right = F.broadcast(owners) if fits_broadcast(owners) else owners
         texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(right, "key")
         return texts.select("id", "text")
